@@ -32,8 +32,8 @@ def cleaned_text(text: Column) -> Column:
 
 def balanced_text(text: Column) -> Column:
     """Text with the braces added that it lacks, at the end or at the start."""
-    opened = F.regexp_count(text, F.lit(r"\{"))
-    closed = F.regexp_count(text, F.lit(r"\}"))
+    opened = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    closed = F.length(text) - F.length(F.replace(text, F.lit("}"), F.lit("")))
     return (
         F.when(opened > closed, F.concat(text, F.repeat(F.lit("}"), opened - closed)))
         .when(closed > opened, F.concat(F.repeat(F.lit("{"), closed - opened), text))
@@ -57,10 +57,14 @@ def _is_strict(text: str | None) -> bool:
 
 
 def strict_json(text: Column) -> Column:
-    """True if text is JSON by the standard (F1). Spark's own parsers are lenient."""
+    """True if text is JSON by the standard (F1). Spark's own parsers are lenient.
+
+    Declared as not deterministic so that Catalyst does not push filters on its
+    result below it, which would run the check, and what feeds it, twice.
+    """
 
     @F.pandas_udf("boolean")
     def check(values: pd.Series) -> pd.Series:
         return values.map(_is_strict).astype("boolean")
 
-    return check(text)
+    return check.asNondeterministic()(text)

@@ -28,12 +28,12 @@ def repair_json(df: DataFrame, col: str) -> DataFrame:
     braces were added, else `JSON_PARSE_FAILED`.
     """
     cleaned = df.withColumn("cleaned", cleaned_text(F.col(col)))
-    judged = cleaned.withColumn("_first", strict_json(F.col("cleaned")))
-    # Text that is valid already is not judged a second time, and neither is text
-    # whose braces balance.
-    second = F.when(~F.col("_first"), F.nullif(balanced_text(F.col("cleaned")), F.col("cleaned")))
-    judged = judged.withColumn("_balanced", second)
-    judged = judged.withColumn("_second", strict_json(F.col("_balanced")))
+    # Both checks are independent, so they share one exchange of Arrow batches.
+    # Where braces balance there is no second text to check.
+    completed = F.nullif(balanced_text(F.col("cleaned")), F.col("cleaned"))
+    judged = cleaned.withColumn("_balanced", completed).withColumns(
+        {"_first": strict_json(F.col("cleaned")), "_second": strict_json(F.col("_balanced"))}
+    )
     status = (
         F.when(F.col("_first"), F.lit("ok"))
         .when(F.col("_second"), F.lit("balanced"))
