@@ -1,9 +1,10 @@
 """Ordered work within groups that stays spread out when one group is very large.
 
 A window over a key puts all rows of the key in one task, and a collected list
-puts them in one row. The helpers here split a key by an ordered slice of its
-rows (a stretch of time, a block of ids), work per (key, slice), and carry only
-one value per slice from slice to slice.
+puts them in one row. Here the sizes of the groups are checked first, and a
+group over a limit is split along its order: by stretches of time, then by
+blocks of ids, until no part is over the limit. Windows then run per part, and
+one value per part is carried from part to part.
 """
 
 from __future__ import annotations
@@ -13,61 +14,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEY_BROADCAST_ROWS = 10_000
+# Groups up to this size are collected into one row, or sorted in one task.
 PART_ROWS = 10_000
+WINDOW_ROWS = 1_000_000
+# Tables of up to this many rows are broadcast, after they have been counted.
+BROADCAST_ROWS = 100_000
+# Stands for a missing level: sorts first, as nulls do.
 _NULL_LEVEL = -(2**63)
 
 
-def previous_value(
-    rows: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[str], value: str, out: str
-) -> DataFrame:
-    """`lag(value)` within `keys` by `order`; `slice_col` must not decrease along `order`."""
-    inner = Window.partitionBy(*keys, slice_col).orderBy(*order)
-    ends = rows.groupBy(*keys, slice_col).agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end")
-    )
-    carried = ends.select(
-        *keys,
-        slice_col,
-        F.lag("_end").over(Window.partitionBy(*keys).orderBy(slice_col)).alias("_carried"),
-    )
-    return (
-        rows.withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(inner))
-        .join(carried, [*keys, slice_col], "left")
-        .withColumn(out, F.coalesce("_before", "_carried")["v"])
-        .drop("_before", "_carried")
-    )
-
-
-def latest_value(
-    rows: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[str], value: str, out: str
-) -> DataFrame:
-    """The last non-null `value` up to each row within `keys` by `order`."""
-    inner = (
-        Window.partitionBy(*keys, slice_col)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    earlier = (
-        Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ends = rows.groupBy(*keys, slice_col).agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end")
-    )
-    carried = ends.select(
-        *keys, slice_col, F.last("_end", ignorenulls=True).over(earlier).alias("_carried")
-    )
-    return (
-        rows.withColumn("_so_far", F.last(value, ignorenulls=True).over(inner))
-        .join(carried, [*keys, slice_col], "left")
-        .withColumn(out, F.coalesce("_so_far", "_carried"))
-        .drop("_so_far", "_carried")
-    )
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, marked for broadcast if a count finds it has at most `max_rows` rows."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def split_large_groups(
-    rows: DataFrame, keys: Sequence[str], levels: Sequence[Column], size: int = PART_ROWS
-) -> DataFrame:
+def split_groups(
+    rows: DataFrame, keys: Sequence[str], levels: Sequence[Column], size: int
+) -> tuple[DataFrame, bool]:
     """Add `part`, an array that splits every group of more than `size` rows.
 
     A group of up to `size` rows has the empty part. A larger one is split by
@@ -76,8 +39,9 @@ def split_large_groups(
     parts of a group, sorted, keep that order. If the last level is a block of
     at most `size` unique ids, no (keys, part) holds more than `size` rows.
 
-    The group sizes are checked by an aggregate over the keys alone. In the
-    usual case it finds nothing and the rows are not touched.
+    The sizes come from an aggregate over the keys alone, combined before its
+    shuffle. In the usual case it finds no large group, the rows are not
+    touched, and the second result is False.
     """
     part = F.array().cast("array<bigint>")
     names = [f"_level{i}" for i in range(len(levels))]
@@ -87,7 +51,7 @@ def split_large_groups(
             for n, level in zip(names, levels)
         }
     )
-    marked = leveled
+    marked, found = leveled, False
     for depth, name in enumerate(names):
         group = [*keys, *names[:depth]]
         flag = f"_large{depth}"
@@ -97,13 +61,65 @@ def split_large_groups(
             .where(F.col("_rows") > size)
             .select(*group, F.lit(True).alias(flag))
         )
-        found = large.limit(HOT_KEY_BROADCAST_ROWS + 1).count()
-        if found == 0:
+        count = large.limit(BROADCAST_ROWS + 1).count()
+        if count == 0:
             break
-        side = F.broadcast(large) if found <= HOT_KEY_BROADCAST_ROWS else large
-        marked = marked.join(side, group, "left")
+        found = True
+        marked = marked.join(F.broadcast(large) if count <= BROADCAST_ROWS else large, group, "left")
         part = F.when(F.col(flag), F.concat(part, F.array(F.col(name)))).otherwise(part)
-    return marked.withColumn("part", part).select(*rows.columns, "part")
+    return marked.withColumn("part", part).select(*rows.columns, "part"), found
+
+
+def split_large_groups(
+    rows: DataFrame, keys: Sequence[str], levels: Sequence[Column], size: int = PART_ROWS
+) -> DataFrame:
+    """`split_groups` for callers that treat all groups alike."""
+    return split_groups(rows, keys, levels, size)[0]
+
+
+def previous_value(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, split: bool
+) -> DataFrame:
+    """`lag(value)` within `keys` by `order`. With `split`, `rows` has a `part` column."""
+    one = F.struct(F.col(value).alias("v"))
+    if not split:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn(out, F.lag(value).over(window))
+    inner = Window.partitionBy(*keys, "part").orderBy(*order)
+    ends = rows.groupBy(*keys, "part").agg(F.max_by(one, F.struct(*order)).alias("_end"))
+    carried = ends.select(
+        *keys, "part", F.lag("_end").over(Window.partitionBy(*keys).orderBy("part")).alias("_carried")
+    )
+    return (
+        rows.withColumn("_before", F.lag(one).over(inner))
+        .join(carried, [*keys, "part"], "left")
+        .withColumn(out, F.coalesce("_before", "_carried")["v"])
+        .drop("_before", "_carried")
+    )
+
+
+def latest_value(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, split: bool
+) -> DataFrame:
+    """The last non-null `value` up to each row within `keys` by `order`."""
+    start = Window.unboundedPreceding
+    if not split:
+        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(start, Window.currentRow)
+        return rows.withColumn(out, F.last(value, ignorenulls=True).over(window))
+    inner = Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(start, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(start, -1)
+    ends = rows.groupBy(*keys, "part").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end")
+    )
+    carried = ends.select(
+        *keys, "part", F.last("_end", ignorenulls=True).over(earlier).alias("_carried")
+    )
+    return (
+        rows.withColumn("_so_far", F.last(value, ignorenulls=True).over(inner))
+        .join(carried, [*keys, "part"], "left")
+        .withColumn(out, F.coalesce("_so_far", "_carried"))
+        .drop("_so_far", "_carried")
+    )
 
 
 def pack_ordered(
@@ -127,6 +143,11 @@ def pack_ordered(
     )
 
 
+def time_levels(time: str, id_col: str, size: int) -> list[Column]:
+    """Levels for rows in order of epoch seconds, then unique id: hour, second, block of ids."""
+    return [F.floor(F.col(time) / 3600), F.col(time), id_block(id_col, size)]
+
+
 def id_block(column: str, size: int = PART_ROWS) -> Column:
     """Block of `size` consecutive ids a row falls in."""
     return F.floor(F.col(column) / size)

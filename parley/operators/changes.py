@@ -93,8 +93,9 @@ def upsert_contacts(
     keys = ["account_id", "wxid"]
     profile = [c for c in CONTACT_COLUMNS if c not in keys and c in friends.columns]
     once = last_per_key(contacts.select(*keys, *profile, seq), keys, [seq]).drop(seq)
-    target = friends.groupBy(*keys).agg(F.min("id").alias("id"))
-    # Inner join on the pair: each incoming row finds the one row it updates.
+    # Only stored rows a contact matches are grouped; each contact finds the one it updates.
+    named = friends.select(*keys, "id").join(once, keys, "left_semi")
+    target = named.groupBy(*keys).agg(F.min("id").alias("id"))
     patches = target.join(once, keys).select("id", *profile)
     updated = apply_patch(friends, patches, "id", profile, as_of)
     added = once.join(target, keys, "left_anti")

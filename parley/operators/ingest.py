@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from parley.functions.clock import epoch_of, moment
 from parley.functions.ordered import (
     PART_ROWS,
+    WINDOW_ROWS,
+    broadcast_if_small,
     first_per_key,
     latest_value,
     pack_ordered,
     previous_value,
+    split_groups,
+    time_levels,
 )
 from parley.functions.values import literal_map
 
@@ -22,7 +26,6 @@ STATUS_KIND = 51
 IGNORED, OWN, MEMBER, MEMBER_AI = 0, 1, 2, 3
 
 BURST_GAP_SECONDS = 10
-SLICE_SECONDS = 3600
 
 
 def dedup_messages(batch: DataFrame, order: Sequence[str] = ("create_time",)) -> DataFrame:
@@ -34,10 +37,10 @@ def new_messages(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Messages not stored yet.
 
     The store is far larger than a batch, so it is first reduced to the ids of
-    the batch; only its `msg_id` column is read, and it is not shuffled when
-    the batch fits a broadcast.
+    the batch: only its `msg_id` column is read, and it is not shuffled if the
+    ids of the batch are few enough for a broadcast.
     """
-    asked = batch.select("msg_id").distinct()
+    asked = broadcast_if_small(batch.select("msg_id").distinct())
     seen = stored.select("msg_id").join(asked, "msg_id", "left_semi").distinct()
     return batch.join(seen, "msg_id", "left_anti")
 
@@ -113,27 +116,25 @@ def assign_bursts(
     messages: DataFrame,
     gap: int = BURST_GAP_SECONDS,
     keys: Sequence[str] = ("from_user", "to_user"),
-    order: Sequence[str] = ("create_time", "msg_id"),
-    slice_seconds: int = SLICE_SECONDS,
+    id_col: str = "id",
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Messages with `burst_start`, the time the burst they belong to began (T4).
 
-    A burst ends when its sender is quiet for more than `gap` seconds. Senders
-    are worked on in slices of time, so a very active one does not end up in
-    one task.
+    A burst ends when its sender is quiet for more than `gap` seconds. `id_col`
+    is a unique whole number that breaks ties in time. Senders of more than
+    `window_rows` messages are worked on in parts.
     """
-    time = order[0]
-    sliced = messages.withColumn("_slice", F.floor(F.col(time) / slice_seconds))
-    following = previous_value(sliced, keys, "_slice", order, time, "_previous")
-    begins = F.col("_previous").isNull() | (F.col(time) - F.col("_previous") > gap)
-    marked = following.withColumn("_begins", F.when(begins, F.col(time)))
-    known = latest_value(marked, keys, "_slice", order, "_begins", "burst_start")
-    return known.drop("_slice", "_previous", "_begins")
-
-
-def burst_levels(time: str = "create_time", id_col: str = "id", size: int = PART_ROWS) -> list[Column]:
-    """Levels that split a very long burst: hour, second, then block of ids."""
-    return [F.floor(F.col(time) / SLICE_SECONDS), F.col(time), F.floor(F.col(id_col) / size)]
+    order = ["create_time", id_col]
+    parts, split = split_groups(
+        messages, keys, time_levels("create_time", id_col, window_rows), window_rows
+    )
+    following = previous_value(parts, keys, order, "create_time", "_previous", split)
+    time = F.col("create_time")
+    begins = F.col("_previous").isNull() | (time - F.col("_previous") > gap)
+    marked = following.withColumn("_begins", F.when(begins, time))
+    known = latest_value(marked, keys, order, "_begins", "burst_start", split)
+    return known.drop("part", "_previous", "_begins")
 
 
 def merge_bursts(
@@ -149,7 +150,7 @@ def merge_bursts(
     than `size` messages comes in several rows by `part`, whose texts joined by
     newlines are the whole text.
     """
-    bursts = assign_bursts(messages, gap, keys, ("create_time", id_col))
+    bursts = assign_bursts(messages, gap, keys, id_col)
     return merge_assigned(bursts, keys, id_col, size)
 
 
@@ -165,7 +166,7 @@ def merge_assigned(
         [*keys, "burst_start"],
         ["create_time", id_col],
         F.struct(F.coalesce("content", F.lit("")).alias("content"), F.col("create_time").alias("time")),
-        burst_levels("create_time", id_col, size),
+        time_levels("create_time", id_col, size),
         size,
     )
     return packed.select(
@@ -229,15 +230,17 @@ def connection_status(state_events: DataFrame) -> DataFrame:
     )
 
 
-def state_changes(state_events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def state_changes(state_events: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Events that change the state of their connection, the first one included."""
-    sliced = state_events.withColumn(
-        "_slice", F.floor(epoch_of(F.col("timestamp")) / slice_seconds)
-    )
+    second = epoch_of(F.col("timestamp"))
+    micro = F.date_part(F.lit("SECOND"), F.col("timestamp")) * 1_000_000
+    levels = [F.floor(second / 3600), second, micro, F.floor(F.col("event_id") / window_rows)]
+    parts, split = split_groups(state_events, ["url"], levels, window_rows)
     following = previous_value(
-        sliced, ["url"], "_slice", ["timestamp", "event_id"], "state", "previous_state"
+        parts, ["url"], ["timestamp", "event_id"], "state", "previous_state", split
     )
-    return following.where(~F.col("state").eqNullSafe(F.col("previous_state"))).drop("_slice")
+    changed = ~F.col("state").eqNullSafe(F.col("previous_state"))
+    return following.where(changed).drop("part")
 
 
 def ws_status_patches(accounts: DataFrame, status: DataFrame, url_col: str = "auth_key") -> DataFrame:

@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.clock import hours_before, spoken_now, time_text
-from parley.functions.ordered import PART_ROWS, first_per_key, part_text, split_large_groups
+from parley.functions.ordered import (
+    PART_ROWS,
+    first_per_key,
+    part_text,
+    split_large_groups,
+    time_levels,
+)
 from parley.functions.values import blank, fill_template, or_else, pair_key, raw_json
 from parley.operators.filters import by_party, with_pair_key
 from parley.operators.tasks import active_task_json, display_remark
@@ -191,7 +197,7 @@ def _insert_lists(filled: DataFrame, lists: DataFrame, key: str, placeholder: st
 
 def _history_json(turns: DataFrame, size: int) -> DataFrame:
     """Histories as the inside of a JSON list, in parts: `request_id, part, items`."""
-    levels = [F.floor(F.col("create_time") / 3600), F.col("create_time"), F.floor(F.col("message_id") / size)]
+    levels = time_levels("create_time", "message_id", size)
     parts = split_large_groups(turns, ["request_id"], levels, size)
     item = F.struct("create_time", "message_id", raw_json(F.struct("role", "content")).alias("item"))
     return parts.groupBy("request_id", "part").agg(
@@ -252,7 +258,9 @@ def build_prompts(
             },
         ).alias("prompt"),
     )
-    task_lists = active_task_json(tasks, size).select("friend_id", "part", "items")
+    # Only tasks of contacts asked for are shuffled and listed.
+    theirs = tasks.join(asked.select("friend_id").distinct(), "friend_id", "left_semi")
+    task_lists = active_task_json(theirs, size).select("friend_id", "part", "items")
     prompted = _insert_lists(filled, task_lists, "friend_id", "task_list")
     texts = requests.join(asked.select("request_id"), "request_id", "left_semi")
     piece = F.col("part") if "part" in requests.columns else None

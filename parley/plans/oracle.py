@@ -14,14 +14,16 @@ GAP = 1800
 
 # What each cron sample reads as.
 CRON_TEXTS = (
-    "每天20:00，每周1-4执行",
+    "每天20:00，每周周一到周四执行",
     "每天10:00，每周周日、周六执行",
     "7月8日周二 15:19:50执行",
     "每天00:32执行",
     "每天0/24:00执行",
     "无效的Cron表达式: 30 8 * * *",
     "每天09:30，每周周一执行",
-    "每15分8到9点1、15日、?执行",
+    "每天8-9:*/15，每月1、15日执行",
+    "0分6点1日、3月、?执行",
+    "每分钟3点?、3月、五、六周执行",
 )
 
 
@@ -77,9 +79,9 @@ TABLES = {
         FROM nation""",
     "tasks": f"""
         SELECT o_orderkey AS id, o_custkey AS friend_id, o_orderpriority AS task_name,
-               {_listed(CRONS)}[o_orderkey % 8 + 1] AS cron_expression,
-               {_listed(CRON_TEXTS)}[o_orderkey % 8 + 1] AS cron_words,
-               CAST(o_orderkey % 8 AS INTEGER) AS cron_no,
+               {_listed(CRONS)}[o_orderkey % 10 + 1] AS cron_expression,
+               {_listed(CRON_TEXTS)}[o_orderkey % 10 + 1] AS cron_words,
+               CAST(o_orderkey % 10 AS INTEGER) AS cron_no,
                CAST(o_orderkey % 7 AS INTEGER) AS execution_count,
                strftime(o_orderdate, '%Y-%m-%d') AS start_date,
                CASE WHEN o_orderkey % 5 = 0 THEN ''
@@ -495,7 +497,7 @@ SELECT coalesce(w.id, p.id) AS id, p.cron AS old_cron, w.cron_expression AS new_
             WHEN p.cron IS NOT DISTINCT FROM w.cron_expression THEN 'unchanged' ELSE 'changed' END AS action
 FROM (SELECT * FROM tasks WHERE is_active = 1) w
 FULL JOIN (SELECT o_orderkey + 10 AS id,
-                  CASE WHEN (o_orderkey + 10) % 3 <> 0 THEN {_listed(CRONS)}[(o_orderkey + 10) % 8 + 1]
+                  CASE WHEN o_orderkey % 3 <> 0 THEN {_listed(CRONS)}[o_orderkey % 10 + 1]
                        WHEN o_orderkey % 2 = 0 THEN '0 0 1 * * *' END AS cron
            FROM orders WHERE o_orderkey % 5 <> 0) p ON p.id = w.id""")
 oracle("active_task_json", "task_lists", "SELECT friend_id, '' AS part, task_count, items FROM task_lists")
@@ -548,7 +550,10 @@ fires AS (
     UNION ALL SELECT 3, m FROM clock WHERE mi = 32 AND h = 0
     UNION ALL SELECT 4, m FROM clock WHERE mi = 0 AND h = 0
     UNION ALL SELECT 6, m FROM clock WHERE mi = 30 AND h = 9 AND dow = 1
-    UNION ALL SELECT 7, m FROM clock WHERE mi % 15 = 0 AND h IN (8, 9) AND dom IN (1, 15))"""
+    UNION ALL SELECT 7, m FROM clock WHERE mi % 15 = 0 AND h IN (8, 9) AND dom IN (1, 15)
+    UNION ALL SELECT 8, m + to_seconds(s) FROM clock, range(60) r(s)
+              WHERE mi = 0 AND h = 6 AND dom = 1 AND mon = 3
+    UNION ALL SELECT 9, m FROM clock WHERE h = 3 AND mon = 3 AND dow IN (5, 6))"""
 
 
 oracle("cron_fires", "tasks", """
@@ -569,6 +574,15 @@ SELECT arrival, auth_key, msg_id, from_user, to_user, msg_type, content, create_
 ROUTE = """CASE WHEN a.id IS NOT NULL THEN 1 WHEN f.ai_active = 0 THEN 2 WHEN f.ai_active = 1 THEN 3 ELSE 0 END"""
 ROUTED = """LEFT JOIN accounts a ON a.wx_id = m.from_user AND a.auth_key = m.auth_key
      LEFT JOIN friends f ON f.wxid = m.from_user AND f.is_active = 1"""
+oracle("bad_frames", "incoming", f"""
+SELECT id AS arrival, CASE WHEN id % 10 = 0 THEN left(whole, length(whole) - 3) ELSE whole || ' xx' END AS value
+FROM (SELECT id, '{{"msg_id":' || id
+        || CASE WHEN id % 13 <> 0 THEN ',"from_user_name":{{"str":"' || from_user || '"}}' ELSE '' END
+        || ',"to_user_name":{{"str":"' || to_user || '"}},"msg_type":'
+        || CASE WHEN id % 17 = 0 THEN 51 ELSE msg_type END || ',"content":{{'
+        || CASE WHEN id % 19 <> 0 THEN '"str":' || to_json(content) ELSE '' END || '}},"create_time":'
+        || CASE WHEN id % 2 = 0 THEN create_time ELSE create_time * 1000 END || '}}' AS whole
+      FROM incoming WHERE id % 10 = 0 OR id % 11 = 0) f""")
 oracle("route_messages", "messages accounts friends", f"""
 SELECT m.id, m.from_user, {ROUTE} AS route FROM messages m {ROUTED}""")
 oracle("message_rows", "frames accounts friends", f"""

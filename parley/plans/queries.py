@@ -464,17 +464,12 @@ def schedule_diff(s):
     present = s.tasks().where("id % 5 <> 0").select(
         (F.col("id") + 10).alias("id"),
         F.when(every("id", 3), pick(("0 0 1 * * *", None), F.col("id") % 2))
-        .otherwise(pick(_shifted_crons(), F.col("id") % 8))
+        .otherwise(pick(CRONS, F.col("id") % len(CRONS)))
         .alias("cron"),
     )
     return changes.schedule_diff(s.tasks().where("is_active = 1"), present)
 
 
-def _shifted_crons():
-    # The cron a task ten ids further on has.
-    return CRONS[2:] + CRONS[:2]
-
-
 @query
 def active_task_json(s):
     listed = tasks.active_task_json(s.tasks())
@@ -640,7 +635,7 @@ def stream_bursts(s):
 
 
 def _bursts(s):
-    return ingest.assign_bursts(s.messages(both_ways=False), BURST_GAP, order=("create_time", "id"))
+    return ingest.assign_bursts(s.messages(both_ways=False), BURST_GAP)
 
 
 def _handled(s):

@@ -13,7 +13,7 @@ from parley.functions.clock import epoch_of
 
 ACCOUNTS = 25
 
-# Eight cron samples; the sixth has too few fields.
+# Ten cron samples; the sixth has too few fields.
 CRONS = (
     "0 0 20 * * 1-4",
     "0 0 10 * * 0,6",
@@ -23,6 +23,8 @@ CRONS = (
     "30 8 * * *",
     "0 30 9 ? * 1",
     "0 */15 8-9 1,15 * ?",
+    "* 0 6 1 3 ?",
+    "0 * 3 ? 3 5,6",
 )
 KINDS = {"view": 1, "click": 1, "signup": 3, "purchase": 34, "error": 49}
 STATES = {

@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parley.functions.ordered import latest_value
+from parley.functions.ordered import WINDOW_ROWS, id_block, latest_value, split_groups
 from parley.operators.ingest import (
     BURST_GAP_SECONDS,
     IGNORED,
     MEMBER_AI,
-    SLICE_SECONDS,
     drop_senderless,
     merge_assigned,
     new_messages,
@@ -95,11 +94,16 @@ def merge_closed_bursts(
         F.lit(0).alias("_kind"),
         F.struct("burst_start", "last_received").alias("_bounds"),
     )
-    both = members.unionByName(starts, allowMissingColumns=True).withColumn(
-        "_slice", F.floor(F.col("create_time") / SLICE_SECONDS)
-    )
+    both = members.unionByName(starts, allowMissingColumns=True)
     order = ["create_time", "_kind", id_col]
-    known = latest_value(both, keys, "_slice", order, "_bounds", "_burst")
+    levels = [
+        F.floor(F.col("create_time") / 3600),
+        F.col("create_time"),
+        F.col("_kind"),
+        id_block(id_col, WINDOW_ROWS),
+    ]
+    parts, split = split_groups(both, keys, levels, WINDOW_ROWS)
+    known = latest_value(parts, keys, order, "_bounds", "_burst", split)
     inside = (F.col("_kind") == 1) & (F.col("create_time") <= F.col("_burst.last_received"))
     found = known.where(inside).select(
         *keys, F.col("_burst.burst_start").alias("burst_start"), "create_time", id_col, "content"
@@ -112,17 +116,22 @@ def store_batch(batch: DataFrame, messages_path: str, as_of) -> None:
 
     Ids already stored are left out, so a batch that runs again adds nothing.
     """
-    spark = batch.sparkSession
-    rows = to_message_rows(batch, as_of)
+    rows = to_message_rows(batch, as_of).persist()
+    try:
+        append(_not_stored(rows, messages_path), messages_path)
+    finally:
+        rows.unpersist()
+
+
+def _not_stored(rows: DataFrame, messages_path: str) -> DataFrame:
     try:
-        stored = spark.read.schema(rows.schema).parquet(messages_path)
+        stored = rows.sparkSession.read.schema(rows.schema).parquet(messages_path)
     except AnalysisException as error:
         # The first batch finds no table.
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    else:
-        rows = new_messages(rows, stored)
-    append(rows, messages_path)
+        return rows
+    return new_messages(rows, stored)
 
 
 def store_stream(routed: DataFrame, messages_path: str, checkpoint: str, as_of) -> StreamingQuery:
