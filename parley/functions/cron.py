@@ -41,16 +41,15 @@ def split_fields(cron: Column) -> Column:
     return F.split(F.regexp_replace(cron, r"(?U)^[\s﻿]+|[\s﻿]+\z", ""), SPACE)
 
 
-def fields_of(cron: Column) -> dict[str, Column]:
-    parts = split_fields(cron)
-    return {name: F.get(parts, i) for i, name in enumerate(FIELDS)}
+def named_fields(fields: Column) -> dict[str, Column]:
+    return {name: F.get(fields, i) for i, name in enumerate(FIELDS)}
 
 
 # --- values and dates -------------------------------------------------------
 
 
-def field_values(text: Column, low: int, high: int) -> Column:
-    """The numbers a field stands for, ascending; null if the field is not valid."""
+def _listed_values(text: Column, low: int, high: int) -> Column:
+    """Numbers of a field made of lists, ranges and steps; null if it is not valid."""
 
     def bounds(term: Column) -> tuple[Column, Column, Column]:
         base = F.substring_index(term, "/", 1)
@@ -66,44 +65,54 @@ def field_values(text: Column, low: int, high: int) -> Column:
         )
         return start, stop, F.coalesce(step, F.lit(1))
 
-    def valid(term: Column) -> Column:
-        start, stop, step = bounds(term)
-        return F.coalesce(
-            term.rlike(TERM) & (start >= low) & (stop <= high) & (start <= stop) & (step > 0),
-            F.lit(False),
-        )
-
     def numbers(term: Column) -> Column:
         start, stop, step = bounds(term)
-        return F.sequence(start, stop, step)
+        valid = term.rlike(TERM) & (start >= low) & (stop <= high) & (start <= stop) & (step > 0)
+        return F.when(valid, F.sequence(start, stop, step))
+
+    # A term that is not valid is null, and makes the flattened list null.
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(text, ","), numbers))))
+
+
+def field_values(text: Column, low: int, high: int) -> Column:
+    """The numbers a field stands for, ascending; null if the field is not valid.
+
+    Wildcards and single numbers, which most fields are, take no list functions.
+    """
+    number = text.try_cast("int")
+    return (
+        F.when(text.isin("*", "?"), F.array(*[F.lit(n) for n in range(low, high + 1)]))
+        .when(text.rlike("^[0-9]{1,4}$"), F.when(number.between(low, high), F.array(number)))
+        .otherwise(_listed_values(text, low, high))
+    )
 
-    terms = F.split(text, ",")
-    listed = F.array_sort(F.array_distinct(F.flatten(F.transform(terms, numbers))))
-    return F.when(F.forall(terms, valid), listed)
 
+Plan = dict[str, Column]
 
-def schedule(cron: Column) -> Column:
-    """A struct of the value arrays of all fields; fields that are not valid are null."""
-    fields = fields_of(cron)
-    six = F.size(split_fields(cron)) == len(FIELDS)
+
+def schedule_columns(fields: Column) -> Plan:
+    """The value arrays of all fields of a cron split in fields; null where not valid."""
+    six = F.size(fields) == len(FIELDS)
+    parts = named_fields(fields)
     values = {
-        name: F.when(six, field_values(fields[name], low, high))
+        name: F.when(six, field_values(parts[name], low, high))
         for name, (low, high) in FIELDS.items()
     }
-    sunday_zero = F.transform(values["weekday"], lambda x: x % 7)
-    values["weekday"] = F.array_sort(F.array_distinct(sunday_zero))
-    return F.struct(*[v.alias(name) for name, v in values.items()])
+    sunday = F.array_contains(values["weekday"], 7)
+    zero_based = F.array_sort(F.array_distinct(F.transform(values["weekday"], lambda x: x % 7)))
+    values["weekday"] = F.when(sunday, zero_based).otherwise(values["weekday"])
+    return values
 
 
-def is_valid(plan: Column) -> Column:
-    """True if all fields of a schedule struct are valid."""
+def is_valid(plan: Plan) -> Column:
+    """True if all fields of a schedule are valid."""
     ok = F.lit(True)
     for name in FIELDS:
         ok = ok & plan[name].isNotNull()
     return ok
 
 
-def runs_on(plan: Column, date: Column) -> Column:
+def runs_on(plan: Plan, date: Column) -> Column:
     """True if the schedule has fires on a date."""
     day = F.array_contains(plan["day"], F.dayofmonth(date))
     weekday = F.array_contains(plan["weekday"], F.dayofweek(date) - 1)
@@ -114,15 +123,13 @@ def runs_on(plan: Column, date: Column) -> Column:
 
 
 def at_second(date: Column, second_of_day: Column) -> Column:
-    return date.cast("timestamp_ntz") + F.make_dt_interval(
-        secs=second_of_day.cast("decimal(18,6)")
-    )
+    return F.timestamp_add("SECOND", second_of_day, date.cast("timestamp_ntz"))
 
 
 NEAR_DAYS = 31
 
 
-def next_after(plan: Column, now: Column, horizon_days: int) -> Column:
+def next_after(plan: Plan, now: Column, horizon_days: int) -> Column:
     """The first fire after `now`, null if there is none within the horizon."""
     today = F.to_date(now)
     hour, minute, second = F.hour(now), F.minute(now), F.second(now)
@@ -158,10 +165,10 @@ def next_after(plan: Column, now: Column, horizon_days: int) -> Column:
     later_day = first_day(1, near)
     if horizon_days > near:
         later_day = F.coalesce(later_day, first_day(near + 1, horizon_days))
+    second_today = F.when(runs_on(plan, today), rest_of_today)
     return F.when(
         is_valid(plan),
-        F.when(runs_on(plan, today) & rest_of_today.isNotNull(), at_second(today, rest_of_today))
-        .otherwise(at_second(later_day, start)),
+        F.coalesce(at_second(today, second_today), at_second(later_day, start)),
     )
 
 
@@ -263,13 +270,18 @@ def _general_text(f: dict[str, Column]) -> Column:
     return F.concat(second, minute, hour, dates, F.lit("执行"))
 
 
-def describe(cron: Column) -> Column:
-    """A cron text in words (K8, F2)."""
-    f = fields_of(cron)
+def describe(cron: Column, fields: Column | None = None) -> Column:
+    """A cron text in words (K8, F2).
+
+    `fields` may be a column that holds `split_fields(cron)`: the fields are
+    looked at many times, and then split only once.
+    """
+    fields = split_fields(cron) if fields is None else fields
+    f = named_fields(fields)
     timed = _is_set(f["second"]) & _is_set(f["minute"]) & _is_set(f["hour"])
     dated = _is_set(f["day"]) & _is_set(f["month"]) & _is_set(f["weekday"])
     return (
-        F.when(F.size(split_fields(cron)) != len(FIELDS), F.concat(F.lit(INVALID), cron))
+        F.when(F.size(fields) != len(FIELDS), F.concat(F.lit(INVALID), cron))
         .when(timed & dated, _full_date_text(f))
         .when(timed, _timed_text(f))
         .otherwise(_general_text(f))

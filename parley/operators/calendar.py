@@ -8,17 +8,32 @@ from pyspark.sql import functions as F
 from parley.functions import cron
 from parley.functions.clock import moment
 
+_FIELDS = "_cron_fields"
+
+
+def _with_fields(tasks: DataFrame) -> DataFrame:
+    return tasks.withColumn(_FIELDS, cron.split_fields(F.col("cron_expression")))
+
+
+def _with_plan(tasks: DataFrame) -> tuple[DataFrame, cron.Plan]:
+    """Tasks with a column per cron field, so that each is worked out once per row."""
+    planned = _with_fields(tasks).withColumns(
+        {f"_cron_{n}": v for n, v in cron.schedule_columns(F.col(_FIELDS)).items()}
+    )
+    return planned, {name: F.col(f"_cron_{name}") for name in cron.FIELDS}
+
 
 def describe_cron(tasks: DataFrame) -> DataFrame:
     """Tasks with their cron in words (K8)."""
-    return tasks.withColumn(
-        "cron_expression_chinese", cron.describe(F.col("cron_expression"))
-    )
+    words = cron.describe(F.col("cron_expression"), F.col(_FIELDS))
+    return _with_fields(tasks).withColumn("cron_expression_chinese", words).drop(_FIELDS)
 
 
 def with_cron_validity(tasks: DataFrame) -> DataFrame:
-    valid = cron.is_valid(cron.schedule(F.col("cron_expression")))
-    return tasks.withColumn("cron_valid", F.coalesce(valid, F.lit(False)))
+    planned, plan = _with_plan(tasks)
+    return planned.withColumn("cron_valid", cron.is_valid(plan)).select(
+        *tasks.columns, "cron_valid"
+    )
 
 
 def validate_cron(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,31 +52,30 @@ def cron_fires(tasks: DataFrame, start, end) -> DataFrame:
     fires it really has. Rows stay in their partition.
     """
     first, last = moment(start), moment(end)
-    planned = tasks.withColumn("_plan", cron.schedule(F.col("cron_expression")))
-    plan = F.col("_plan")
-    days = F.filter(
-        F.sequence(F.to_date(first), F.to_date(last)), lambda d: cron.runs_on(plan, d)
-    )
+    planned, plan = _with_plan(tasks)
+    dates = F.sequence(F.to_date(first), F.to_date(last))
+    days = F.when(cron.is_valid(plan), F.filter(dates, lambda d: cron.runs_on(plan, d)))
     fire = cron.at_second(
         F.col("_day"), F.col("_hour") * 3600 + F.col("_minute") * 60 + F.col("_second")
     )
+    # Outer forms: for the plain ones Catalyst adds filters on the arrays, and
+    # works the arrays out a second time for them. The last filter drops the nulls.
     return (
-        planned.where(cron.is_valid(plan))
-        .withColumn("_day", F.explode(days))
-        .withColumn("_hour", F.explode(plan["hour"]))
-        .withColumn("_minute", F.explode(plan["minute"]))
-        .withColumn("_second", F.explode(plan["second"]))
+        planned.withColumn("_day", F.explode_outer(days))
+        .withColumn("_hour", F.explode_outer(plan["hour"]))
+        .withColumn("_minute", F.explode_outer(plan["minute"]))
+        .withColumn("_second", F.explode_outer(plan["second"]))
         .withColumn("fire_time", fire)
         .where((F.col("fire_time") >= first) & (F.col("fire_time") < last))
-        .drop("_plan", "_day", "_hour", "_minute", "_second")
+        .select(*tasks.columns, "fire_time")
     )
 
 
 def next_fire(tasks: DataFrame, as_of, horizon_days: int = 366) -> DataFrame:
     """Tasks with their first fire after `as_of`, null if none within the horizon (K7)."""
-    planned = tasks.withColumn("_plan", cron.schedule(F.col("cron_expression")))
-    fire = cron.next_after(F.col("_plan"), moment(as_of), horizon_days)
-    return planned.withColumn("next_fire", fire).drop("_plan")
+    planned, plan = _with_plan(tasks)
+    fire = cron.next_after(plan, moment(as_of), horizon_days)
+    return planned.withColumn("next_fire", fire).select(*tasks.columns, "next_fire")
 
 
 def set_next_execution(tasks: DataFrame, as_of, horizon_days: int = 366) -> DataFrame:

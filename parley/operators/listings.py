@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.clock import from_epoch, time_text
-from parley.functions.cron import describe
 from parley.functions.ordered import PART_ROWS, id_block, split_large_groups
 from parley.functions.values import raw_json
+from parley.operators.calendar import describe_cron
 from parley.operators.filters import apply_filters, paginate, search_contains
 
 # Fixed value: shown in place of a login time of 0.
@@ -64,9 +64,7 @@ def friend_listing(
 
 def tasks_of_friends(tasks: DataFrame) -> DataFrame:
     """Active tasks with their cron in words, as a list of rows."""
-    return tasks.where(F.col("is_active") == 1).withColumn(
-        "cron_expression_chinese", describe(F.col("cron_expression"))
-    )
+    return describe_cron(tasks.where(F.col("is_active") == 1))
 
 
 def tasks_of_friend(tasks: DataFrame, friend_id: int) -> DataFrame:

@@ -70,13 +70,14 @@ def chat_history(
     order of a history is `create_time`, then `id`.
     """
     if hours is None:
-        # A scalar subquery: its value still reaches the scan as a filter.
+        # A scalar subquery of the time itself still reaches the scan as a filter.
         configured = config_row(system, [HISTORY_HOURS_KEY])
-        hours = configured.select(F.col(HISTORY_HOURS_KEY).try_cast("int")).scalar()
+        look_back = F.col(HISTORY_HOURS_KEY).try_cast("int")
+        start = configured.select(hours_before(as_of, look_back)).scalar()
+    else:
+        start = hours_before(as_of, hours)
     recent = with_pair_key(
-        messages.where(
-            (F.col("msg_type") == TEXT_KIND) & (F.col("create_at") >= hours_before(as_of, hours))
-        )
+        messages.where((F.col("msg_type") == TEXT_KIND) & (F.col("create_at") >= start))
     )
     asked = pairs.where(F.col("party_a").isNotNull() & F.col("party_b").isNotNull()).select(
         "*", *pair_key(F.col("party_a"), F.col("party_b"))
