@@ -94,7 +94,7 @@ def previous_value(
         rows.withColumn("_before", F.lag(one).over(inner))
         .join(carried, [*keys, "part"], "left")
         .withColumn(out, F.coalesce("_before", "_carried")["v"])
-        .drop("_before", "_carried")
+        .select(*rows.columns, out)
     )
 
 
@@ -118,7 +118,7 @@ def latest_value(
         rows.withColumn("_so_far", F.last(value, ignorenulls=True).over(inner))
         .join(carried, [*keys, "part"], "left")
         .withColumn(out, F.coalesce("_so_far", "_carried"))
-        .drop("_so_far", "_carried")
+        .select(*rows.columns, out)
     )
 
 
