@@ -179,10 +179,12 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     )
 
 
-def numbered_ids(rows: DataFrame, keys: Sequence[str], start: DataFrame, buckets: int = 4096) -> DataFrame:
+def numbered_ids(
+    rows: DataFrame, keys: Sequence[str], highest: Column, buckets: int = 4096
+) -> DataFrame:
     """Give new rows consecutive ids after the highest id in use, in column `id`.
 
-    `keys` must be unique in `rows`; `start` is one row with column `max_id`.
+    `keys` must be unique in `rows`.
     Rows are numbered inside hash buckets of their key, and each bucket starts
     after the rows of the buckets before it: `buckets` counts are all that is
     put in one place.
@@ -197,7 +199,6 @@ def numbered_ids(rows: DataFrame, keys: Sequence[str], start: DataFrame, buckets
     return (
         placed.withColumn("_number", F.row_number().over(within))
         .join(F.broadcast(offsets), "_bucket")
-        .crossJoin(F.broadcast(start))
-        .withColumn("id", F.coalesce("max_id", F.lit(0)) + F.col("_offset") + F.col("_number"))
-        .drop("_bucket", "_number", "_offset", "max_id")
+        .withColumn("id", highest + F.col("_offset") + F.col("_number"))
+        .drop("_bucket", "_number", "_offset")
     )

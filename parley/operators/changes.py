@@ -62,8 +62,8 @@ def empty_to_null(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in cols})
 
 
-def _max_id(df: DataFrame) -> DataFrame:
-    return df.agg(F.max("id").cast("long").alias("max_id"))
+def _max_id(df: DataFrame) -> Column:
+    return F.coalesce(df.agg(F.max("id").cast("long")).scalar(), F.lit(0))
 
 
 def _insert(df: DataFrame, rows: DataFrame, keys: Sequence[str], table: str, as_of) -> DataFrame:
@@ -173,8 +173,7 @@ def apply_task_ops(tasks: DataFrame, ops: DataFrame, as_of=None) -> DataFrame:
     kept = edited.withColumns(new).select(*tasks.columns)
     added = (
         ops.where((F.col("operate") == "add") & (F.col("id") == -1))
-        .crossJoin(F.broadcast(_max_id(tasks)))
-        .withColumn("id", F.coalesce("max_id", F.lit(0)) + 1 + F.col("op_seq"))
+        .withColumn("id", _max_id(tasks) + 1 + F.col("op_seq"))
         .select("id", *TASK_OP_COLUMNS)
     )
     full = conform(added, "friends_task", as_of)

@@ -154,11 +154,9 @@ def paginate(
     df: DataFrame, order: Sequence[Column | str], page: int = 1, size: int = 10
 ) -> DataFrame:
     """One page in a total order, with the row count and the page count."""
-    counted = df.agg(F.count(F.lit(1)).alias("total_rows")).select(
-        "total_rows", F.ceil(F.col("total_rows") / size).cast("long").alias("total_pages")
-    )
     rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
-    return rows.crossJoin(F.broadcast(counted))
+    counted = rows.withColumn("total_rows", df.agg(F.count(F.lit(1))).scalar())
+    return counted.withColumn("total_pages", F.ceil(F.col("total_rows") / size).cast("long"))
 
 
 

@@ -207,12 +207,19 @@ STATE_CODES = {"CONNECTING": 0, "OPEN": 1, "CLOSING": 2, "CLOSED": 3, "ERROR": 4
 NOT_FOUND = "NOT_FOUND"
 UNKNOWN_STATE_CODE = -1
 STORED_UNKNOWN_CODE = 3
+# The names codes are read back as.
+STATE_NAMES = {0: "CONNECTING", 1: "OPEN", 2: "CLOSING", 3: "CLOSED"}
+UNKNOWN_STATE = "UNKNOWN"
 
 
 def state_code(state: Column, unknown: int) -> Column:
     return F.coalesce(F.try_element_at(literal_map(STATE_CODES), state), F.lit(unknown))
 
 
+def state_name(code: Column) -> Column:
+    return F.coalesce(F.try_element_at(literal_map(STATE_NAMES), code), F.lit(UNKNOWN_STATE))
+
+
 def connection_status(state_events: DataFrame) -> DataFrame:
     """Per connection: the state now, its code, first and last event.
 

@@ -30,6 +30,7 @@ REPLY_ROLE = 999
 OWNER_ROLE = 1000
 COPY_EDIT_ROLE = 1001
 SUMMARY_ROLE = 1010
+FIXED_ROLES = {"copy_edit": COPY_EDIT_ROLE, "summary": SUMMARY_ROLE}
 NO_STORY = "无"
 OWNER_ACCOUNT = " 我的账号是"
 HISTORY_HOURS_KEY = "hisMsgDay"
@@ -53,7 +54,8 @@ def config_row(system: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_config(df: DataFrame, system: DataFrame, keys: list[str]) -> DataFrame:
     """Every row with the configuration values attached."""
-    return df.crossJoin(F.broadcast(config_row(system, keys)))
+    row = config_row(system, keys)
+    return df.withColumns({k: row.select(k).scalar() for k in keys})
 
 
 def chat_history(
@@ -208,6 +210,16 @@ def _history_json(turns: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _templates(roles: DataFrame) -> DataFrame:
+    named = roles.select(F.col("id").alias("role_id"), F.col("prompt").alias("template"))
+    return first_per_key(named, ["role_id"], ["template"])
+
+
+def _role_prompt(roles: DataFrame, role_id: int) -> Column:
+    """The prompt of one role, null if there is none."""
+    return roles.where(F.col("id") == role_id).agg(F.min("prompt")).scalar()
+
+
 def build_prompts(
     requests: DataFrame,
     friends: DataFrame,
@@ -235,16 +247,14 @@ def build_prompts(
     So does a user turn whose request has its text in several rows by `part`.
     """
     asked = _friend_requests(requests, friends, accounts)
-    fixed_roles = {"copy_edit": COPY_EDIT_ROLE, "summary": SUMMARY_ROLE}
-    if variant in fixed_roles:
-        role_id = F.lit(fixed_roles[variant])
+    # A request whose role is not known gives no prompt.
+    if variant in FIXED_ROLES:
+        template = _role_prompt(roles, FIXED_ROLES[variant])
+        asked = asked.withColumn("template", template).where(F.col("template").isNotNull())
     else:
         role_id = F.coalesce(F.nullif("role_id", F.lit(0)), F.lit(REPLY_ROLE))
-    templates = roles.select(F.col("id").alias("role_id"), F.col("prompt").alias("template"))
-    templates = first_per_key(templates, ["role_id"], ["template"])
-    chosen = asked.withColumn("role_id", role_id.cast(templates.schema["role_id"].dataType))
-    # A request whose role is not known gives no prompt.
-    asked = chosen.join(templates, "role_id")
+        asked = asked.withColumn("role_id", role_id.cast(roles.schema["id"].dataType))
+        asked = asked.join(_templates(roles), "role_id")
     filled = asked.select(
         "request_id",
         "friend_id",
@@ -281,11 +291,8 @@ def build_prompts(
 
 def adhoc_prompts(requests: DataFrame, roles: DataFrame) -> DataFrame:
     """Prompts of a role and a text alone (`request_id, role_id, text`): system, user (K3)."""
-    templates = first_per_key(
-        roles.select(F.col("id").alias("role_id"), "prompt"), ["role_id"], ["prompt"]
-    )
-    asked = requests.where(~blank(F.col("text"))).join(templates, "role_id", "left")
-    return _turns(asked, SYSTEM, F.lit("system"), F.col("prompt")).unionByName(
+    asked = requests.where(~blank(F.col("text"))).join(_templates(roles), "role_id", "left")
+    return _turns(asked, SYSTEM, F.lit("system"), F.col("template")).unionByName(
         _turns(asked, USER, F.lit("user"), F.col("text"))
     )
 
@@ -308,10 +315,7 @@ def owner_prompts(
         asked.select("request_id", F.col("wx_id").alias("party")), "party"
     ).withColumnRenamed("id", "message_id")
     history = _turns(mine, HISTORY, F.lit("user"), F.col("raw_data"))
-    template = (
-        roles.where(F.col("id") == OWNER_ROLE).agg(F.min("prompt").alias("template"))
-    )
-    introduced = asked.crossJoin(F.broadcast(template))
+    introduced = asked.withColumn("template", _role_prompt(roles, OWNER_ROLE))
     told = F.concat("template", F.lit(OWNER_ACCOUNT), F.col("wx_id"))
     return (
         history.unionByName(_turns(introduced, SYSTEM, F.lit("system"), told))

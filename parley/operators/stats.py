@@ -11,13 +11,15 @@ from parley.operators.filters import with_pair_key
 
 def overview_counts(friends: DataFrame, accounts: DataFrame, messages: DataFrame) -> DataFrame:
     """Totals for the overview: contacts, accounts online, messages, messages sent (A1)."""
-    people = friends.agg(F.count(F.lit(1)).alias("friends"))
-    online = accounts.agg(F.count("onlineTime").alias("online"))
+    people = friends.agg(F.count(F.lit(1)))
+    online = accounts.agg(F.count("onlineTime"))
     talk = messages.agg(
         F.count(F.lit(1)).alias("messages_all"),
         F.count_if(F.col("type") == 1).alias("messages_sent"),
     )
-    return people.crossJoin(F.broadcast(online)).crossJoin(F.broadcast(talk))
+    return talk.select(
+        people.scalar().alias("friends"), online.scalar().alias("online"), "*"
+    )
 
 
 def day_spine(df: DataFrame, as_of, days: int) -> DataFrame:

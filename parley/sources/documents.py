@@ -93,7 +93,7 @@ def contacts_from_snapshot(documents: DataFrame, accounts: DataFrame) -> DataFra
     place in the document's list.
     """
     read = documents.select("auth_key", F.from_json("value", CONTACTS_SCHEMA).alias("_doc"))
-    owner = accounts.select("auth_key", F.col("id").alias("account_id"))
+    owner = accounts.groupBy("auth_key").agg(F.min("id").alias("account_id"))
     item = F.col("_item")
     return (
         read.where(F.col("_doc.Code") == OK_CODE)

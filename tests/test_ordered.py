@@ -192,8 +192,7 @@ def test_prompts_in_pieces_have_the_same_texts(spark, many_tasks, variant):
 
 def test_ids_of_new_rows_are_consecutive_and_new(spark):
     new = spark.createDataFrame([(f"k{n}", n % 3) for n in range(500)], "k string, g int")
-    start = spark.createDataFrame([(41,)], "max_id long")
-    ids = sorted(r.id for r in ordered.numbered_ids(new, ["k", "g"], start, 16).collect())
+    ids = sorted(r.id for r in ordered.numbered_ids(new, ["k", "g"], F.lit(41), 16).collect())
     assert ids == list(range(42, 542))
 
 
