@@ -70,6 +70,27 @@ def split_groups(
     return marked.withColumn("part", part).select(*rows.columns, "part"), found
 
 
+def row_numbers(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, split: bool
+) -> DataFrame:
+    """`row_number()` within `keys` by `order`. With `split`, `rows` has a `part` column."""
+    if not split:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn(out, F.row_number().over(window).cast("long"))
+    inner = Window.partitionBy(*keys, "part").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("_rows"))
+    carried = sizes.select(
+        *keys, "part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_carried")
+    )
+    return (
+        rows.withColumn("_number", F.row_number().over(inner))
+        .join(carried, [*keys, "part"], "left")
+        .withColumn(out, F.col("_carried") + F.col("_number"))
+        .select(*rows.columns, out)
+    )
+
+
 def split_large_groups(
     rows: DataFrame, keys: Sequence[str], levels: Sequence[Column], size: int = PART_ROWS
 ) -> DataFrame:

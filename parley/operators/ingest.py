@@ -14,8 +14,8 @@ from parley.functions.ordered import (
     broadcast_if_small,
     first_per_key,
     latest_value,
-    pack_ordered,
     previous_value,
+    row_numbers,
     split_groups,
     time_levels,
 )
@@ -119,22 +119,28 @@ def assign_bursts(
     id_col: str = "id",
     window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Messages with `burst_start`, the time the burst they belong to began (T4).
+    """Messages with the burst they belong to: `burst_start`, and their place in it (T4).
 
-    A burst ends when its sender is quiet for more than `gap` seconds. `id_col`
-    is a unique whole number that breaks ties in time. Senders of more than
-    `window_rows` messages are worked on in parts.
+    A burst ends when its sender is quiet for more than `gap` seconds.
+    `burst_position` counts from 0 in order of `create_time`, then `id_col`, a
+    unique whole number. Senders of more than `window_rows` messages are worked
+    on in parts.
     """
     order = ["create_time", id_col]
-    parts, split = split_groups(
+    rows, split = split_groups(
         messages, keys, time_levels("create_time", id_col, window_rows), window_rows
     )
-    following = previous_value(parts, keys, order, "create_time", "_previous", split)
+    rows = previous_value(rows, keys, order, "create_time", "_previous", split)
+    rows = row_numbers(rows, keys, order, "_number", split)
     time = F.col("create_time")
     begins = F.col("_previous").isNull() | (time - F.col("_previous") > gap)
-    marked = following.withColumn("_begins", F.when(begins, time))
-    known = latest_value(marked, keys, order, "_begins", "burst_start", split)
-    return known.drop("part", "_previous", "_begins")
+    first = F.when(begins, F.struct(time.alias("time"), F.col("_number").alias("number")))
+    rows = latest_value(rows.withColumn("_begins", first), keys, order, "_begins", "_burst", split)
+    return rows.select(
+        *messages.columns,
+        F.col("_burst.time").alias("burst_start"),
+        (F.col("_number") - F.col("_burst.number")).alias("burst_position"),
+    )
 
 
 def merge_bursts(
@@ -146,37 +152,29 @@ def merge_bursts(
 ) -> DataFrame:
     """One row per burst with its texts joined by newlines in time order.
 
-    `id_col` is a unique whole number that breaks ties in time. A burst of more
-    than `size` messages comes in several rows by `part`, whose texts joined by
-    newlines are the whole text.
+    A burst of more than `size` messages comes in several rows, `part` 0 and up,
+    whose texts joined by newlines are the whole text.
     """
-    bursts = assign_bursts(messages, gap, keys, id_col)
-    return merge_assigned(bursts, keys, id_col, size)
+    return merge_assigned(assign_bursts(messages, gap, keys, id_col), keys, size)
 
 
 def merge_assigned(
-    bursts: DataFrame,
-    keys: Sequence[str] = ("from_user", "to_user"),
-    id_col: str = "id",
-    size: int = PART_ROWS,
+    bursts: DataFrame, keys: Sequence[str] = ("from_user", "to_user"), size: int = PART_ROWS
 ) -> DataFrame:
-    """The messages of `assign_bursts`, merged."""
-    packed = pack_ordered(
-        bursts,
-        [*keys, "burst_start"],
-        ["create_time", id_col],
-        F.struct(F.coalesce("content", F.lit("")).alias("content"), F.col("create_time").alias("time")),
-        time_levels("create_time", id_col, size),
-        size,
-    )
-    return packed.select(
-        *keys,
-        "burst_start",
-        "part",
-        F.size("items").cast("long").alias("message_count"),
-        F.element_at("items", -1)["time"].alias("last_received"),
-        F.array_join(F.transform("items", lambda x: x["content"]), "\n").alias("content"),
+    """The messages of `assign_bursts`, merged.
+
+    Places in a burst are known, so a long one is cut without a look at sizes,
+    and the grouping goes on in the partitions the bursts were found in.
+    """
+    part = F.floor(F.col("burst_position") / size)
+    text = F.struct("burst_position", F.coalesce("content", F.lit("")).alias("content"))
+    merged = bursts.groupBy(*keys, "burst_start", part.alias("part")).agg(
+        F.count(F.lit(1)).alias("message_count"),
+        F.max("create_time").alias("last_received"),
+        F.array_sort(F.collect_list(text)).alias("_texts"),
     )
+    content = F.array_join(F.transform("_texts", lambda x: x["content"]), "\n")
+    return merged.withColumn("content", content).drop("_texts")
 
 
 def burst_status(bursts: DataFrame, friends: DataFrame, replies: DataFrame) -> DataFrame:

@@ -105,11 +105,6 @@ def chat_turns(history: DataFrame, account: str = "party_b") -> DataFrame:
     return history.withColumn("role", role).withColumn("turn_content", said)
 
 
-def _whole_text(requests: DataFrame) -> Column:
-    """True for requests whose text is in one row."""
-    return F.size("part") == 0 if "part" in requests.columns else F.lit(True)
-
-
 def _friend_requests(
     requests: DataFrame, friends: DataFrame, accounts: DataFrame
 ) -> DataFrame:
@@ -121,12 +116,15 @@ def _friend_requests(
     account = accounts.select(
         F.col("id").alias("account_id"), F.col("wx_id").alias("account_wxid")
     )
-    asked = requests.where(~_whole_text(requests) | ~blank(F.col("text"))).select(
-        "request_id", "friend_id"
-    )
+    asked = requests.where(~blank(F.col("text")))
     if "part" in requests.columns:
-        asked = asked.distinct()
-    return asked.join(contact, "friend_id").join(account, "account_id", "left")
+        # Only short texts can be blank, and those have part 0 alone.
+        asked = asked.where(F.col("part") == 0)
+    return (
+        asked.select("request_id", "friend_id")
+        .join(contact, "friend_id")
+        .join(account, "account_id", "left")
+    )
 
 
 def _history_turns(asked: DataFrame, messages: DataFrame, as_of, hours, system) -> DataFrame:
@@ -274,7 +272,9 @@ def build_prompts(
     task_lists = active_task_json(theirs, size).select("friend_id", "part", "items")
     prompted = _insert_lists(filled, task_lists, "friend_id", "task_list")
     texts = requests.join(asked.select("request_id"), "request_id", "left_semi")
-    piece = F.col("part") if "part" in requests.columns else None
+    piece = None
+    if "part" in requests.columns:
+        piece = F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>"))
     user = _turns(texts, USER, F.lit("user"), F.col("text"), piece)
     summary = variant == "summary"
     if summary:
@@ -333,13 +333,14 @@ def burst_requests(bursts: DataFrame, friends: DataFrame) -> DataFrame:
         F.col("wxid").alias("from_user"), F.col("id").alias("friend_id")
     )
     members = members.groupBy("from_user").agg(F.min("friend_id").alias("friend_id"))
-    keys = ["from_user", "to_user", "burst_start"]
-    firsts = bursts.where(F.size("part") > 0).groupBy(*keys).agg(F.min("part").alias("_first"))
-    named = bursts.join(members, "from_user").join(firsts, keys, "left")
-    later = F.col("part") > F.col("_first")
+    later = F.col("part") > 0
     text = F.when(later, F.concat(F.lit("\n"), F.col("content"))).otherwise(F.col("content"))
-    return named.where(F.col("_first").isNotNull() | ~blank(F.col("content"))).select(
-        F.concat_ws("/", *keys).alias("request_id"), "friend_id", "part", text.alias("text")
+    asked = bursts.where(later | ~blank(F.col("content")))
+    return asked.join(members, "from_user").select(
+        F.concat_ws("/", "from_user", "to_user", "burst_start").alias("request_id"),
+        "friend_id",
+        "part",
+        text.alias("text"),
     )
 
 

@@ -144,7 +144,7 @@ TABLES = {
                    ROWS UNBOUNDED PRECEDING) AS burst_start
         FROM gaps""",
     "bursts": """
-        SELECT from_user, to_user, burst_start, '' AS part, count(*) AS message_count,
+        SELECT from_user, to_user, burst_start, CAST(0 AS BIGINT) AS part, count(*) AS message_count,
                max(create_time) AS last_received,
                string_agg(content, chr(10) ORDER BY create_time, id) AS content
         FROM burst_rows GROUP BY from_user, to_user, burst_start""",
@@ -678,7 +678,7 @@ UNION ALL
 SELECT id + 500, 2, NULL, NULL, '', 'user', nickname FROM accounts""")
 oracle("burst_requests", "bursts friends", """
 SELECT b.from_user || '/' || b.to_user || '/' || b.burst_start AS request_id, f.id AS friend_id,
-       '' AS piece, b.content AS text
+       b.part, b.content AS text
 FROM bursts b JOIN friends f ON f.wxid = b.from_user AND f.is_active = 1 AND f.ai_active = 1""")
 oracle("exchange_log_rows", "", """
 SELECT conv_id, 're: ' || arg_min(role, turn) AS reply,

@@ -600,8 +600,7 @@ def dedup_messages(s):
 
 @query
 def merge_bursts(s):
-    bursts = ingest.merge_bursts(s.messages(both_ways=False), BURST_GAP)
-    return bursts.withColumn("part", part_text(F.col("part")))
+    return ingest.merge_bursts(s.messages(both_ways=False), BURST_GAP)
 
 
 @query
@@ -628,10 +627,9 @@ def stream_bursts(s):
     streams.run_stream(routed, f"{root}/routed", f"{root}/routed-checkpoint").awaitTermination()
     ranges = streams.burst_ranges_stream(routed, BURST_GAP)
     streams.run_stream(ranges, f"{root}/ranges", f"{root}/ranges-checkpoint").awaitTermination()
-    merged = streams.merge_closed_bursts(
+    return streams.merge_closed_bursts(
         spark.read.parquet(f"{root}/ranges"), spark.read.parquet(f"{root}/routed")
     )
-    return merged.withColumn("part", part_text(F.col("part")))
 
 
 def _bursts(s):
@@ -764,9 +762,7 @@ def owner_prompts(s):
 @query
 def burst_requests(s):
     bursts = ingest.merge_bursts(s.messages(both_ways=False), BURST_GAP)
-    return prompts.turns_text(
-        prompts.burst_requests(bursts, s.friends()).withColumnRenamed("part", "piece")
-    )
+    return prompts.burst_requests(bursts, s.friends())
 
 
 @query

@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parley.functions.ordered import WINDOW_ROWS, id_block, latest_value, split_groups
+from parley.functions.ordered import (
+    WINDOW_ROWS,
+    id_block,
+    latest_value,
+    row_numbers,
+    split_groups,
+)
 from parley.operators.ingest import (
     BURST_GAP_SECONDS,
     IGNORED,
@@ -102,13 +108,20 @@ def merge_closed_bursts(
         F.col("_kind"),
         id_block(id_col, WINDOW_ROWS),
     ]
-    parts, split = split_groups(both, keys, levels, WINDOW_ROWS)
-    known = latest_value(parts, keys, order, "_bounds", "_burst", split)
-    inside = (F.col("_kind") == 1) & (F.col("create_time") <= F.col("_burst.last_received"))
+    rows, split = split_groups(both, keys, levels, WINDOW_ROWS)
+    rows = row_numbers(rows, keys, order, "_number", split)
+    mark = F.when(F.col("_kind") == 0, F.struct("_bounds", "_number"))
+    known = latest_value(rows.withColumn("_mark", mark), keys, order, "_mark", "_burst", split)
+    bounds = F.col("_burst._bounds")
+    inside = (F.col("_kind") == 1) & (F.col("create_time") <= bounds["last_received"])
     found = known.where(inside).select(
-        *keys, F.col("_burst.burst_start").alias("burst_start"), "create_time", id_col, "content"
+        *keys,
+        "create_time",
+        "content",
+        bounds["burst_start"].alias("burst_start"),
+        (F.col("_number") - F.col("_burst._number") - 1).alias("burst_position"),
     )
-    return merge_assigned(found, keys, id_col)
+    return merge_assigned(found, keys)
 
 
 def store_batch(batch: DataFrame, messages_path: str, as_of) -> None:

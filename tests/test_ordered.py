@@ -62,11 +62,12 @@ def test_values_are_carried_over_parts(hot, size):
     assert split == (size == 10)
     before = ordered.previous_value(parts, ["who"], order, "v", "before", split)
     both = ordered.latest_value(before, ["who"], order, "odd", "last_odd", split)
+    both = ordered.row_numbers(both, ["who"], order, "n", split)
     for who in ("hot", "warm", "cold"):
         previous = last = None
-        for row in in_order(both, who):
+        for n, row in enumerate(in_order(both, who), 1):
             last = row.odd if row.odd is not None else last
-            assert (row.before, row.last_odd) == (previous, last)
+            assert (row.before, row.last_odd, row.n) == (previous, last, n)
             previous = row.v
 
 
@@ -75,14 +76,15 @@ def test_bursts_do_not_depend_on_the_split(hot):
         F.col("who").alias("from_user"), F.lit("x").alias("to_user"), "create_time", "id",
         F.col("v").alias("content"),
     )
-    keys = ["from_user", "to_user", "burst_start", "id"]
+    keys = ["from_user", "to_user", "burst_start", "burst_position", "id"]
     plain = ingest.assign_bursts(messages, 60).select(*keys)
     split = ingest.assign_bursts(messages, 60, window_rows=10).select(*keys)
     assert sorted(plain.collect()) == sorted(split.collect())
     whole = ingest.merge_bursts(messages, 60)
     pieces = ingest.merge_bursts(messages, 60, size=10)
     texts = {}
-    for r in sorted(pieces.collect(), key=lambda r: list(r.part)):
+    for r in sorted(pieces.collect(), key=lambda r: r.part):
+        assert r.message_count <= 10
         texts.setdefault((r.from_user, r.burst_start), []).append(r.content)
     assert {(r.from_user, r.burst_start): r.content for r in whole.collect()} == {
         k: "\n".join(v) for k, v in texts.items()
@@ -201,3 +203,22 @@ def test_first_and_last_per_key(spark):
     assert sorted(ordered.first_per_key(df, ["k"], ["o"]).collect()) == [("a", 1, "y"), ("b", 5, None)]
     assert sorted(ordered.last_per_key(df, ["k"], ["o"]).collect()) == [("a", 2, "x"), ("b", 5, None)]
     assert involving(spark.createDataFrame([("a", "b")], "from_user string, to_user string"), "b").count() == 1
+
+
+def test_a_request_in_parts_has_one_system_turn(spark, many_tasks):
+    friends = spark.createDataFrame(
+        [(1, 1, "u1", None, "", "Ann")],
+        "id int, account_id int, wxid string, role_id int, user_story string, my_remark string",
+    )
+    accounts = spark.createDataFrame([(1, "acc")], "id int, wx_id string")
+    roles = spark.createDataFrame([(999, "Hello {{name}}")], "id int, prompt string")
+    messages = spark.createDataFrame(
+        [], "id long, from_user string, to_user string, content string, msg_type int, create_time long, create_at timestamp_ntz"
+    )
+    requests = spark.createDataFrame(
+        [("r", 1, 0, "a"), ("r", 1, 1, "\nb"), ("r", 1, 2, "\n"), ("r", 1, 10, "\nc")],
+        "request_id string, friend_id int, part long, text string",
+    )
+    turns = prompts.build_prompts(requests, friends, accounts, roles, many_tasks, messages, "2024-01-30", hours=1)
+    texts, _ = prompt_texts(turns)
+    assert texts == {("r", 1, None, None, "system"): "Hello Ann", ("r", 2, None, None, "user"): "a\nb\n\nc"}
