@@ -70,27 +70,6 @@ def split_groups(
     return marked.withColumn("part", part).select(*rows.columns, "part"), found
 
 
-def row_numbers(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, split: bool
-) -> DataFrame:
-    """`row_number()` within `keys` by `order`. With `split`, `rows` has a `part` column."""
-    if not split:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumn(out, F.row_number().over(window).cast("long"))
-    inner = Window.partitionBy(*keys, "part").orderBy(*order)
-    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("_rows"))
-    carried = sizes.select(
-        *keys, "part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_carried")
-    )
-    return (
-        rows.withColumn("_number", F.row_number().over(inner))
-        .join(carried, [*keys, "part"], "left")
-        .withColumn(out, F.col("_carried") + F.col("_number"))
-        .select(*rows.columns, out)
-    )
-
-
 def split_large_groups(
     rows: DataFrame, keys: Sequence[str], levels: Sequence[Column], size: int = PART_ROWS
 ) -> DataFrame:
@@ -98,24 +77,43 @@ def split_large_groups(
     return split_groups(rows, keys, levels, size)[0]
 
 
-def previous_value(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, split: bool
+def with_previous(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    split: bool,
+    out: str = "_previous",
+    number: str = "_number",
 ) -> DataFrame:
-    """`lag(value)` within `keys` by `order`. With `split`, `rows` has a `part` column."""
-    one = F.struct(F.col(value).alias("v"))
+    """Add `lag(value)` and `row_number()` within `keys` by `order`.
+
+    With `split`, `rows` has the `part` column of `split_groups`. What a part
+    takes from the parts before it, their last value and their row count, comes
+    from an aggregate of the rows as they are, ahead of any window.
+    """
+    group = [*keys, "part"] if split else list(keys)
+    window = Window.partitionBy(*group).orderBy(*order)
     if not split:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumn(out, F.lag(value).over(window))
-    inner = Window.partitionBy(*keys, "part").orderBy(*order)
-    ends = rows.groupBy(*keys, "part").agg(F.max_by(one, F.struct(*order)).alias("_end"))
+        return rows.withColumns(
+            {out: F.lag(value).over(window), number: F.row_number().over(window).cast("long")}
+        )
+    one = F.struct(F.col(value).alias("v"))
+    ends = rows.groupBy(*group).agg(
+        F.max_by(one, F.struct(*order)).alias("_end"), F.count(F.lit(1)).alias("_rows")
+    )
+    following = Window.partitionBy(*keys).orderBy("part")
+    earlier = following.rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        *keys, "part", F.lag("_end").over(Window.partitionBy(*keys).orderBy("part")).alias("_carried")
+        *group,
+        F.lag("_end").over(following).alias("_end"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"),
     )
-    return (
-        rows.withColumn("_before", F.lag(one).over(inner))
-        .join(carried, [*keys, "part"], "left")
-        .withColumn(out, F.coalesce("_before", "_carried")["v"])
-        .select(*rows.columns, out)
+    before = F.coalesce(F.lag(one).over(window), F.col("_end"))
+    return rows.join(carried, group, "left").select(
+        *rows.columns,
+        before["v"].alias(out),
+        (F.col("_rows") + F.row_number().over(window)).alias(number),
     )
 
 

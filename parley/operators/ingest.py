@@ -14,10 +14,9 @@ from parley.functions.ordered import (
     broadcast_if_small,
     first_per_key,
     latest_value,
-    previous_value,
-    row_numbers,
     split_groups,
     time_levels,
+    with_previous,
 )
 from parley.functions.values import literal_map
 
@@ -130,8 +129,7 @@ def assign_bursts(
     rows, split = split_groups(
         messages, keys, time_levels("create_time", id_col, window_rows), window_rows
     )
-    rows = previous_value(rows, keys, order, "create_time", "_previous", split)
-    rows = row_numbers(rows, keys, order, "_number", split)
+    rows = with_previous(rows, keys, order, "create_time", split)
     time = F.col("create_time")
     begins = F.col("_previous").isNull() | (time - F.col("_previous") > gap)
     first = F.when(begins, F.struct(time.alias("time"), F.col("_number").alias("number")))
@@ -241,11 +239,10 @@ def state_changes(state_events: DataFrame, window_rows: int = WINDOW_ROWS) -> Da
     micro = F.date_part(F.lit("SECOND"), F.col("timestamp")) * 1_000_000
     levels = [F.floor(second / 3600), second, micro, F.floor(F.col("event_id") / window_rows)]
     parts, split = split_groups(state_events, ["url"], levels, window_rows)
-    following = previous_value(
-        parts, ["url"], ["timestamp", "event_id"], "state", "previous_state", split
-    )
+    order = ["timestamp", "event_id"]
+    following = with_previous(parts, ["url"], order, "state", split, "previous_state")
     changed = ~F.col("state").eqNullSafe(F.col("previous_state"))
-    return following.where(changed).drop("part")
+    return following.where(changed).drop("part", "_number")
 
 
 def ws_status_patches(accounts: DataFrame, status: DataFrame, url_col: str = "auth_key") -> DataFrame:

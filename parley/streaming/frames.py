@@ -16,8 +16,8 @@ from parley.functions.ordered import (
     WINDOW_ROWS,
     id_block,
     latest_value,
-    row_numbers,
     split_groups,
+    with_previous,
 )
 from parley.operators.ingest import (
     BURST_GAP_SECONDS,
@@ -109,7 +109,7 @@ def merge_closed_bursts(
         id_block(id_col, WINDOW_ROWS),
     ]
     rows, split = split_groups(both, keys, levels, WINDOW_ROWS)
-    rows = row_numbers(rows, keys, order, "_number", split)
+    rows = with_previous(rows, keys, order, "_kind", split)
     mark = F.when(F.col("_kind") == 0, F.struct("_bounds", "_number"))
     known = latest_value(rows.withColumn("_mark", mark), keys, order, "_mark", "_burst", split)
     bounds = F.col("_burst._bounds")

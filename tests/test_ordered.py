@@ -60,9 +60,8 @@ def test_values_are_carried_over_parts(hot, size):
     rows = hot.withColumn("odd", F.when(F.col("id") % 7 == 0, F.col("id")))
     parts, split = ordered.split_groups(rows, ["who"], ordered.time_levels(*order, size), size)
     assert split == (size == 10)
-    before = ordered.previous_value(parts, ["who"], order, "v", "before", split)
+    before = ordered.with_previous(parts, ["who"], order, "v", split, "before", "n")
     both = ordered.latest_value(before, ["who"], order, "odd", "last_odd", split)
-    both = ordered.row_numbers(both, ["who"], order, "n", split)
     for who in ("hot", "warm", "cold"):
         previous = last = None
         for n, row in enumerate(in_order(both, who), 1):
