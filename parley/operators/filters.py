@@ -131,18 +131,17 @@ def by_party(messages: DataFrame) -> DataFrame:
 
 
 def name_conflicts(candidates: DataFrame, admins: DataFrame) -> DataFrame:
-    """Candidates whose username is taken by another id.
+    """Candidates whose username is taken by another id, whatever its case.
 
     Lowest and highest id per username decide it, so a name shared by very many
     rows costs one row and no pairs are built.
     """
-    holders = admins.groupBy("username").agg(
+    holders = admins.groupBy(F.lower("username").alias("_name")).agg(
         F.min("id").alias("_lowest"), F.max("id").alias("_highest")
     )
     taken = (F.col("_lowest") != F.col("id")) | (F.col("_highest") != F.col("id"))
-    return (
-        candidates.join(holders, "username").where(taken).select(*candidates.columns)
-    )
+    asked = candidates.withColumn("_name", F.lower("username"))
+    return asked.join(holders, "_name").where(taken).select(*candidates.columns)
 
 
 def lookup_one(df: DataFrame, values: Mapping[str, object], order: Sequence[str] = ("id",)) -> DataFrame:

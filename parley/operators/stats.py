@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.clock import hours_before, moment
+from parley.functions.values import literal_map
 from parley.operators.filters import with_pair_key
 
 
@@ -141,8 +142,18 @@ def hourly_tasks(tasks: DataFrame, as_of, hours: int = 3) -> DataFrame:
     )
 
 
-# Codes of the message kinds that have their own name.
+# Codes of the message kinds that have their own name, and the
+# labels kinds and task states are shown with.
 MESSAGE_KINDS = {1: "text", 3: "image", 34: "voice"}
+KIND_LABELS = {"text": "文本", "image": "图片", "voice": "语音", "other": "其他"}
+STATUS_LABELS = {
+    "running": "执行中", "pending": "待启动", "finished": "已结束", "inactive": "未激活",
+}
+
+
+def with_labels(df: DataFrame, column: str, labels: dict[str, str]) -> DataFrame:
+    """Codes with the label they are shown with, as `label`."""
+    return df.withColumn("label", F.try_element_at(literal_map(labels), F.col(column)))
 
 
 def message_kind(msg_type: Column) -> Column:

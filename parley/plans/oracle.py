@@ -128,7 +128,7 @@ TABLES = {
                     WHEN f.is_active <> 1 THEN 'friend_inactive'
                     WHEN f.ai_active <> 1 THEN 'friend_ai_off'
                     ELSE 'ok' END AS verdict
-        FROM validity v LEFT JOIN (SELECT * FROM friends WHERE id % 10 <> 9) f ON f.id = v.friend_id""",
+        FROM validity v LEFT JOIN (SELECT * FROM friends WHERE account_id <> 3) f ON f.id = v.friend_id""",
     "frames": """
         SELECT id AS arrival, auth_key, msg_id,
                CASE WHEN id % 13 <> 0 THEN from_user END AS from_user, to_user,
@@ -148,10 +148,10 @@ TABLES = {
                max(create_time) AS last_received,
                string_agg(content, chr(10) ORDER BY create_time, id) AS content
         FROM burst_rows GROUP BY from_user, to_user, burst_start""",
-    "status_patches": """
+    "status_patches": f"""
         SELECT b.msg_id, CASE WHEN b.user_id % 7 = 0 THEN 'failed' ELSE 'processed' END AS status
         FROM burst_rows b
-        WHERE b.user_id % 5 <> 0 AND EXISTS (
+        WHERE b.burst_start < epoch({EVENTS_NOW}) AND EXISTS (
             SELECT 1 FROM friends f WHERE f.wxid = b.from_user AND f.is_active = 1 AND f.ai_active = 1)""",
     "history": f"""
         SELECT f.wxid AS party_a, 'a' || f.own_account AS party_b, f.id AS friend_id, m.*
@@ -210,7 +210,7 @@ TABLES = {
         SELECT c_nationkey AS account_id,
                CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_custkey ELSE 'u' || c_custkey END AS wxid,
                c_name || '*' AS nickname, c_mktsegment AS province
-        FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 5 <> 0""",
+        FROM customer WHERE c_custkey % 5 <> 0""",
     "logins": """
         SELECT s_suppkey AS seq, 'a' || (s_suppkey % 40) AS wx_id, 'd' || s_suppkey AS auth_key,
                s_name AS nickname, CAST(s_nationkey AS VARCHAR) AS remaining
@@ -406,17 +406,17 @@ FROM friends""")
 # --- changes ----------------------------------------------------------------
 
 oracle("patch_members", "friends", f"""
-SELECT id, nickname, CASE WHEN id % 3 = 0 THEN nickname || '!' ELSE remark END AS remark,
-       CASE WHEN id % 3 <> 0 THEN role_id WHEN id % 2 = 0 THEN 1009 END AS role_id,
-       CASE WHEN id % 3 = 0 THEN {EVENTS_NOW} ELSE update_time END AS update_time
+SELECT id, nickname, CASE WHEN user_story = '' THEN nickname || '!' ELSE remark END AS remark,
+       CASE WHEN user_story <> '' THEN role_id WHEN id % 2 = 0 THEN 1009 END AS role_id,
+       CASE WHEN user_story = '' THEN {EVENTS_NOW} ELSE update_time END AS update_time
 FROM friends""")
 oracle("close_tasks", "friends tasks", f"""
 SELECT t.id, t.friend_id, CASE WHEN f.id IS NOT NULL THEN 0 ELSE t.is_active END AS is_active,
        CASE WHEN f.id IS NOT NULL THEN {ORDERS_NOW} ELSE t.update_time END AS update_time
 FROM tasks t LEFT JOIN friends f ON f.id = t.friend_id AND f.is_active = 0""")
 oracle("delete_rows", "roles", """
-SELECT id, name, 'kept' AS outcome FROM roles WHERE id % 3 <> 0 OR guarded
-UNION ALL SELECT id, name, 'refused' FROM roles WHERE id % 3 = 0 AND guarded""")
+SELECT id, name, 'kept' AS outcome FROM roles WHERE name NOT LIKE 'red%' OR guarded
+UNION ALL SELECT id, name, 'refused' FROM roles WHERE name LIKE 'red%' AND guarded""")
 oracle("upsert_contacts", "friends snapshot", f"""
 SELECT f.id AS old_id, f.account_id, f.wxid, coalesce(s.nickname, f.nickname) AS nickname,
        CASE WHEN s.wxid IS NULL THEN f.remark ELSE '' END AS remark,
@@ -447,12 +447,11 @@ SELECT a.id,
        CASE WHEN s_suppkey IS NULL THEN a.other END AS loginErrMsg,
        CASE WHEN s_suppkey IS NULL THEN a.other END AS onlineDays
 FROM accounts a LEFT JOIN supplier ON 'k' || s_suppkey = a.auth_key""")
-oracle("reset_online", "accounts friends", """
+oracle("reset_online", "accounts", """
 SELECT a.id, a.nickname, CASE WHEN NOT leaves THEN onlineTime END AS onlineTime,
        CASE WHEN NOT leaves THEN other END AS expiryTime, CASE WHEN NOT leaves THEN other END AS loginErrMsg,
        CASE WHEN NOT leaves THEN other END AS onlineDays, CASE WHEN NOT leaves THEN other END AS totalOnline
-FROM (SELECT *, id % 4 = 1 AND id IN (SELECT account_id FROM friends WHERE ai_active = 1) AS leaves
-      FROM accounts) a""")
+FROM (SELECT *, id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 3000) AS leaves FROM accounts) a""")
 oracle("upsert_by_id", "friends tasks", f"""
 SELECT t.id AS old_id, CASE WHEN f.id IS NULL THEN t.friend_id ELSE f.id END AS friend_id,
        coalesce(f.nickname, t.task_name) AS task_name,
@@ -499,7 +498,7 @@ FROM (SELECT * FROM tasks WHERE is_active = 1) w
 FULL JOIN (SELECT o_orderkey + 10 AS id,
                   CASE WHEN o_orderkey % 3 <> 0 THEN {_listed(CRONS)}[o_orderkey % 10 + 1]
                        WHEN o_orderkey % 2 = 0 THEN '0 0 1 * * *' END AS cron
-           FROM orders WHERE o_orderkey % 5 <> 0) p ON p.id = w.id""")
+           FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01') p ON p.id = w.id""")
 oracle("active_task_json", "task_lists", "SELECT friend_id, '' AS part, task_count, items FROM task_lists")
 oracle("apply_task_ops", "tasks ops", f"""
 SELECT t.id, t.friend_id, coalesce(n.task_name, t.task_name) AS task_name,
@@ -592,7 +591,7 @@ SELECT msg_id, from_user, to_user, content, CASE route WHEN 1 THEN 'done' ELSE '
 FROM (SELECT m.*, {ROUTE} AS route FROM frames m {ROUTED}) r
 WHERE from_user IS NOT NULL AND route <> 0 AND msg_type <> 51 AND content <> ''""")
 oracle("dedup_messages", "messages", """
-SELECT msg_id, create_time, content FROM messages WHERE id % 3 <> 0""")
+SELECT msg_id, create_time, content FROM messages WHERE type <> 1""")
 oracle("merge_bursts", "bursts", "SELECT * FROM bursts")
 AI_MEMBERS = "SELECT wxid FROM friends WHERE is_active = 1 AND ai_active = 1"
 oracle("stream_bursts", "bursts friends", f"SELECT * FROM bursts WHERE from_user IN ({AI_MEMBERS})")

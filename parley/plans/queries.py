@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions.clock import time_text
+from parley.functions.clock import epoch_of, moment, time_text
 from parley.functions.ordered import first_per_key, pack_ordered, part_text
 from parley.functions.values import salted_md5
 from parley.operators import (
@@ -242,8 +242,8 @@ def expire_members(s):
 
 @query
 def patch_members(s):
-    """Two patches for every third contact, the later one with empty times."""
-    asked = s.friends().where(every("id", 3))
+    """Two patches for every contact without a story; the later one counts."""
+    asked = s.friends().where("user_story = ''")
     patch = asked.select(
         "id",
         F.concat("nickname", F.lit("!")).alias("remark"),
@@ -267,7 +267,7 @@ def close_tasks(s):
 
 @query
 def delete_rows(s):
-    asked = s.roles().where(every("id", 3)).select("id")
+    asked = s.roles().where("name LIKE 'red%'").select("id")
     kept, refused = changes.delete_rows(s.roles(), asked, "id", F.col("is_system") == 1)
     return kept.select("id", "name", F.lit("kept").alias("outcome")).unionByName(
         refused.select("id", "name", F.lit("refused").alias("outcome"))
@@ -275,7 +275,7 @@ def delete_rows(s):
 
 
 def _snapshots(s):
-    """A contact snapshot per odd customer: stored contacts, and new ones for every third."""
+    """A contact snapshot per customer: stored contacts, and new ones for every third."""
     key = F.col("c_custkey")
     name = F.when(every("c_custkey", 3), prefixed("n", key)).otherwise(prefixed("u", key))
     item = F.struct(
@@ -286,7 +286,7 @@ def _snapshots(s):
     )
     data = F.struct(F.lit(2).alias("count"), F.array(item, item).alias("friendList"))
     code = F.when(every("c_custkey", 5), 500).otherwise(200)
-    return s.raw("customer").where("c_custkey % 2 = 1").select(
+    return s.raw("customer").select(
         prefixed("k", F.col("c_nationkey")).alias("auth_key"),
         F.to_json(F.struct(code.alias("Code"), data.alias("Data"))).alias("value"),
     )
@@ -379,8 +379,8 @@ def account_online(s):
 
 @query
 def reset_online(s):
-    leaving = s.friends().where("ai_active = 1 AND account_id % 4 = 1").select(
-        prefixed("k", F.col("account_id")).alias("auth_key")
+    leaving = s.raw("supplier").where("s_acctbal < 3000").select(
+        prefixed("k", F.col("s_suppkey")).alias("auth_key")
     )
     return changes.reset_online(s.accounts(), leaving).select(
         "id", "nickname", *changes.ONLINE_COLUMNS
@@ -423,15 +423,15 @@ def retire_tasks(s):
 
 
 def _eligible(s):
-    # Some contacts are left out, so that some tasks have none.
-    friends = s.friends().where("id % 10 <> 9")
+    # One account's contacts are gone, so that some tasks have none.
+    friends = s.friends().where("account_id <> 3")
     return tasks.task_eligibility(s.tasks(), friends, ORDERS_NOW)
 
 
 @query
 def task_eligibility(s):
     due = s.tasks().select((F.col("id") * 2).alias("task_id"))
-    friends = s.friends().where("id % 10 <> 9")
+    friends = s.friends().where("account_id <> 3")
     judged = tasks.task_eligibility(s.tasks(), friends, ORDERS_NOW, due)
     return judged.select("task_id", "friend_id", "wxid", "verdict")
 
@@ -461,7 +461,7 @@ def resolve_targets(s):
 
 @query
 def schedule_diff(s):
-    present = s.tasks().where("id % 5 <> 0").select(
+    present = s.tasks().where("create_time < '2000-01-01'").select(
         (F.col("id") + 10).alias("id"),
         F.when(every("id", 3), pick(("0 0 1 * * *", None), F.col("id") % 2))
         .otherwise(pick(CRONS, F.col("id") % len(CRONS)))
@@ -588,12 +588,10 @@ def message_rows(s):
 
 @query
 def dedup_messages(s):
-    """Every event arrives, every second one again later; a third of them is stored already."""
+    """Every message arrives, and again five seconds later; those sent are stored already."""
     first = s.messages().select("msg_id", "create_time", "content")
-    again = first.where("cast(msg_id AS bigint) % 2 = 0").withColumn(
-        "create_time", F.col("create_time") + 5
-    )
-    stored = s.messages().where(every("id", 3))
+    again = first.withColumn("create_time", F.col("create_time") + 5)
+    stored = s.messages().where("type = 1")
     once = ingest.dedup_messages(first.unionByName(again))
     return ingest.new_messages(once, stored)
 
@@ -637,10 +635,11 @@ def _bursts(s):
 
 
 def _handled(s):
-    """Replies for bursts: those of every seventh sender failed, of every fifth none yet."""
+    """Replies for the bursts that began by now; those to every seventh sender failed."""
     sender = F.substring("from_user", 2, 20).cast("long")
     heads = _bursts(s).select("from_user", "to_user", "burst_start").distinct()
-    return heads.where(sender % 5 != 0).withColumn("failed", sender % 7 == 0)
+    begun = heads.where(F.col("burst_start") < epoch_of(moment(EVENTS_NOW)))
+    return begun.withColumn("failed", sender % 7 == 0)
 
 
 @query

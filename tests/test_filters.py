@@ -71,7 +71,7 @@ def test_membership_by_literals_and_by_table(people, rows):
 
 
 def test_name_conflicts_need_another_id(rows):
-    admins = rows("id int, username string", (1, "x"), (2, "x"), (3, "y"), (4, "z"))
+    admins = rows("id int, username string", (1, "x"), (2, "x"), (3, "y"), (4, "Z"))
     asked = rows("id int, username string", (1, "x"), (3, "y"), (9, "z"), (9, "new"), (None, "q"))
     assert ids(filters.name_conflicts(asked, admins)) == [1, 9]
 

@@ -61,6 +61,8 @@ def test_hourly_tasks_include_the_current_hour(rows):
 
 def test_kinds_and_states_with_nulls(rows):
     messages = rows(MESSAGE, *[(at(NOW), 0, 0, k) for k in (1, 3, 34, 49, None, 1)])
+    labels = stats.with_labels(stats.message_kind_distribution(messages, NOW), "kind", stats.KIND_LABELS)
+    assert {r.kind: r.label for r in labels.collect()}["voice"] == "语音"
     kinds = {r.kind: r.message_count for r in stats.message_kind_distribution(messages, NOW).collect()}
     assert kinds == {"text": 2, "image": 1, "voice": 1, "other": 2}
     tasks = rows(
