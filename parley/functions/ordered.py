@@ -23,9 +23,18 @@ BROADCAST_ROWS = 100_000
 _NULL_LEVEL = -(2**63)
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """True if a count that stops at `max_rows` finds no more rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, marked for broadcast if a count finds it has at most `max_rows` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """`df`, marked for broadcast if it has at most `max_rows` rows.
+
+    Worth its count where the other side of the join is a large table that
+    would be shuffled otherwise. A larger `df` is left to the planner.
+    """
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def split_groups(

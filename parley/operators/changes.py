@@ -41,7 +41,8 @@ def apply_patch(
 
     If `seq` is given, keys may have several patches and the highest `seq`
     wins; otherwise they must be unique. Rows without a patch stay as they
-    are. Changed rows get `as_of` as their update time.
+    are. Changed rows get `as_of` as their update time. Few patches for a large
+    table may be passed through `broadcast_if_small`: then it is not shuffled.
     """
     keys = [key] if isinstance(key, str) else list(key)
     wanted = patches.select(*keys, *cols, *([seq] if seq and seq not in cols else []))

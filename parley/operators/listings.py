@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.clock import from_epoch, time_text
-from parley.functions.ordered import PART_ROWS, id_block, split_large_groups
+from parley.functions.ordered import PART_ROWS, id_block, is_small, split_large_groups
 from parley.functions.values import raw_json
 from parley.operators.calendar import describe_cron
 from parley.operators.filters import apply_filters, paginate, search_contains
@@ -79,8 +79,12 @@ def friends_with_tasks(
     """Every contact with its active tasks, nested in id order.
 
     A contact with more than `size` tasks comes in several rows, one per `part`,
-    which in order hold all its tasks.
+    which in order hold all its tasks. For a page or another small set of
+    contacts only their tasks are shuffled.
     """
+    people = friends.select(F.col("id").alias("friend_id"))
+    if is_small(people):
+        tasks = tasks.join(F.broadcast(people), "friend_id", "left_semi")
     listed = split_large_groups(
         tasks_of_friends(tasks), ["friend_id"], [id_block("id", size)], size
     )

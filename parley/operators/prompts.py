@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from parley.functions.clock import hours_before, spoken_now, time_text
 from parley.functions.ordered import (
     PART_ROWS,
+    broadcast_if_small,
     first_per_key,
     part_text,
     split_large_groups,
@@ -84,7 +85,9 @@ def chat_history(
     asked = pairs.where(F.col("party_a").isNotNull() & F.col("party_b").isNotNull()).select(
         "*", *pair_key(F.col("party_a"), F.col("party_b"))
     )
-    return recent.join(asked, ["party_low", "party_high"]).drop("party_low", "party_high")
+    return recent.join(broadcast_if_small(asked), ["party_low", "party_high"]).drop(
+        "party_low", "party_high"
+    )
 
 
 def history_order() -> list[str]:
@@ -268,7 +271,8 @@ def build_prompts(
         ).alias("prompt"),
     )
     # Only tasks of contacts asked for are shuffled and listed.
-    theirs = tasks.join(asked.select("friend_id").distinct(), "friend_id", "left_semi")
+    people = broadcast_if_small(asked.select("friend_id").distinct())
+    theirs = tasks.join(people, "friend_id", "left_semi")
     task_lists = active_task_json(theirs, size).select("friend_id", "part", "items")
     prompted = _insert_lists(filled, task_lists, "friend_id", "task_list")
     texts = requests.join(asked.select("request_id"), "request_id", "left_semi")
@@ -311,9 +315,8 @@ def owner_prompts(
     recent = messages.where(
         (F.col("msg_type") == TEXT_KIND) & (F.col("create_at") >= hours_before(as_of, hours))
     )
-    mine = by_party(recent).join(
-        asked.select("request_id", F.col("wx_id").alias("party")), "party"
-    ).withColumnRenamed("id", "message_id")
+    parties = broadcast_if_small(asked.select("request_id", F.col("wx_id").alias("party")))
+    mine = by_party(recent).join(parties, "party").withColumnRenamed("id", "message_id")
     history = _turns(mine, HISTORY, F.lit("user"), F.col("raw_data"))
     introduced = asked.withColumn("template", _role_prompt(roles, OWNER_ROLE))
     told = F.concat("template", F.lit(OWNER_ACCOUNT), F.col("wx_id"))

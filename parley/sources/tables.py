@@ -46,9 +46,21 @@ def load_table_jdbc(
     return reader.load().select(*columns)
 
 
-def append(df: DataFrame, path: str, table: str | None = None, as_of=None, partition_by: Sequence[str] = ()) -> None:
-    """Add rows to a table; with `table`, shaped and with defaults."""
+def append(
+    df: DataFrame,
+    path: str,
+    table: str | None = None,
+    as_of=None,
+    partition_by: Sequence[str] = (),
+    rebalance: bool = False,
+) -> None:
+    """Add rows to a table; with `table`, shaped and with defaults.
+
+    `rebalance` has the rows shuffled into files of even size: for small batches
+    spread over many partitions, and for results of skewed joins.
+    """
     rows = conform(df, table, as_of) if table else df
+    rows = rows.hint("rebalance") if rebalance else rows
     writer = rows.write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -131,7 +131,7 @@ def store_batch(batch: DataFrame, messages_path: str, as_of) -> None:
     """
     rows = to_message_rows(batch, as_of).persist()
     try:
-        append(_not_stored(rows, messages_path), messages_path)
+        append(_not_stored(rows, messages_path), messages_path, rebalance=True)
     finally:
         rows.unpersist()
 

@@ -3,7 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from parley.functions.ordered import broadcast_if_small
+from parley.operators.changes import apply_patch
 from parley.plans.queries import QUERIES
 from tests.conftest import SF_DIR
 
@@ -50,12 +53,27 @@ def test_json_is_checked_once(spark):
         assert len(re.findall(r"\+- \*? ?ArrowEvalPython", plan_of(QUERIES[name](spark, SF_DIR)))) == 1
 
 
-def test_large_sides_are_not_broadcast_by_hint(spark):
-    """With automatic broadcast off, no join on the tables is one."""
+def test_tables_are_not_broadcast_by_hint(spark):
+    """With automatic broadcast off, joins of whole tables are not broadcast."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for name in ("route_messages", "chat_history", "task_eligibility", "friends_with_tasks", "build_prompts",
-                     "close_tasks", "patch_members", "set_message_status", "burst_status"):
+        for name in ("route_messages", "task_eligibility", "close_tasks", "patch_members",
+                     "resolve_targets", "set_message_status", "burst_status", "schedule_diff"):
             assert "BroadcastHashJoin" not in plan_of(QUERIES[name](spark, SF_DIR)), name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_broadcast_depends_on_a_count(spark):
+    df = spark.range(50)
+    other = spark.range(50).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = other.join(broadcast_if_small(df, 50), F.col("id") == F.col("k"))
+        large = other.join(broadcast_if_small(df, 49), F.col("id") == F.col("k"))
+        assert "BroadcastHashJoin" in plan_of(small) and "BroadcastHashJoin" not in plan_of(large)
+        patches = broadcast_if_small(df.withColumn("v", F.lit(1)).withColumn("seq", F.lit(1)))
+        table = spark.range(60).withColumn("v", F.lit(0))
+        assert "BroadcastHashJoin" in plan_of(apply_patch(table, patches, "id", ["v"], seq="seq"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
