@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parley.functions.values import literal_map
+from parley.functions.values import BLANKS, literal_map
 
 # Field names with their lowest and highest number.
 FIELDS = {
@@ -32,13 +32,12 @@ WEEKDAYS_SHORT = {
 MONTHS = {str(n): f"{n}月" for n in range(1, 13)}
 INVALID = "无效的Cron表达式: "
 
-SPACE = r"(?U)[\s﻿]+"
 TERM = r"^(\*|\?|[0-9]{1,4}(-[0-9]{1,4})?)(/[0-9]{1,4})?$"
 
 
 def split_fields(cron: Column) -> Column:
     """The blank-separated fields of a cron text."""
-    return F.split(F.regexp_replace(cron, r"(?U)^[\s﻿]+|[\s﻿]+\z", ""), SPACE)
+    return F.split(F.btrim(cron, F.lit(BLANKS)), f"[{BLANKS}]+")
 
 
 def named_fields(fields: Column) -> dict[str, Column]:

@@ -8,26 +8,53 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The cleanups in their order, as (pattern, replacement).
-CLEANUPS = (
-    (r"(?U)^[\s﻿]+|[\s﻿]+\z", ""),
-    ("[“”]", '"'),
-    ("[‘’]", "'"),
-    (r"(?U),([\s﻿]*[}\]])", "$1"),
-    ("十六", "16"),
-    ("二十", "20"),
-    (":{2,}", ":"),
-    ("([0-9]{2}:[0-9]{2})::([0-9]{2})", "$1:$2"),
-    (r"(?U)^```json[\s﻿]*", ""),
-    (r"(?U)[\s﻿]*```\z", ""),
-    ("\n```\\z", ""),
-)
+from parley.functions.values import BLANKS
+
+# What the cleanups look for, and what they put in its place.
+QUOTES = (("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"))
+NUMERALS = (("十六", "16"), ("二十", "20"))
+COMMA_BEFORE_END = f",([{BLANKS}]*[}}\\]])"
+REPEATED_COLONS = ":{2,}"
+FENCE = "```"
+OPENING_FENCE = "```json"
+TO_END = 2**31 - 1
+
+
+def tidied_text(text: Column) -> Column:
+    """The cleanups up to the numerals, in their order."""
+    text = F.btrim(text, F.lit(BLANKS))
+    for found, wanted in QUOTES:
+        text = F.replace(text, F.lit(found), F.lit(wanted))
+    text = F.regexp_replace(text, COMMA_BEFORE_END, "$1")
+    for found, wanted in NUMERALS:
+        text = F.replace(text, F.lit(found), F.lit(wanted))
+    return text
+
+
+def unwrapped_text(tidied: Column) -> Column:
+    """The other cleanups: repeated colons, then fences.
+
+    A repair of times with doubled colons is not among them: it would come after
+    the one for all repeated colons, and never find any. Few texts need these,
+    and plain tests are much cheaper than patterns.
+    """
+    rest = F.regexp_replace(tidied, REPEATED_COLONS, ":")
+    opened = F.ltrim(F.substring(rest, len(OPENING_FENCE) + 1, TO_END), F.lit(BLANKS))
+    rest = F.when(F.startswith(rest, F.lit(OPENING_FENCE)), opened).otherwise(rest)
+    closed = F.rtrim(F.left(rest, F.length(rest) - len(FENCE)), F.lit(BLANKS))
+    rest = F.when(F.endswith(rest, F.lit(FENCE)), closed).otherwise(rest)
+    # A fence on a line of its own may have stood before the one just removed.
+    second = "\n" + FENCE
+    rest = F.when(
+        F.endswith(rest, F.lit(second)), F.left(rest, F.length(rest) - len(second))
+    ).otherwise(rest)
+    needed = F.contains(tidied, F.lit("::")) | F.contains(tidied, F.lit(FENCE))
+    return F.when(needed, rest).otherwise(tidied)
 
 
 def cleaned_text(text: Column) -> Column:
-    for pattern, replacement in CLEANUPS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    """Text after all cleanups."""
+    return unwrapped_text(tidied_text(text))
 
 
 def balanced_text(text: Column) -> Column:

@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The characters that count as blank, as they stand in a character class.
+BLANKS = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+
 def or_else(value: Column, other: Column) -> Column:
     """`value`, or `other` where it is null or empty text."""
     return F.coalesce(F.nullif(value, F.lit("")), other)

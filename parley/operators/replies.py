@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.replies import balanced_text, cleaned_text, strict_json
+from parley.functions.replies import balanced_text, strict_json, tidied_text, unwrapped_text
 from parley.operators.changes import TASK_OP_COLUMNS
 
 # Fixed value: what a text that cannot be repaired is reported as.
@@ -27,7 +27,9 @@ def repair_json(df: DataFrame, col: str) -> DataFrame:
     Status is `ok` if the cleaned text is valid, `balanced` if it is after
     braces were added, else `JSON_PARSE_FAILED`.
     """
-    cleaned = df.withColumn("cleaned", cleaned_text(F.col(col)))
+    # In steps, as each is looked at several times by the next.
+    tidied = df.withColumn("cleaned", tidied_text(F.col(col)))
+    cleaned = tidied.withColumn("cleaned", unwrapped_text(F.col("cleaned")))
     # Both checks are independent, so they share one exchange of Arrow batches.
     # Where braces balance there is no second text to check.
     completed = F.nullif(balanced_text(F.col("cleaned")), F.col("cleaned"))

@@ -15,6 +15,9 @@ CASES = {
     "blanks": ("﻿ \n　" + GOOD + "  ", GOOD, "ok"),
     "fenced": ("```json\n" + GOOD + "\n```", GOOD, "ok"),
     "other fence": ("```\n" + GOOD + "\n```", "```\n" + GOOD, "JSON_PARSE_FAILED"),
+    "two fences": ("```json " + GOOD + "\n```\n```", GOOD, "ok"),
+    "blank before fence": (GOOD + " \u3000\n```", GOOD, "ok"),
+    "four ticks": (GOOD + "````", GOOD + "`", "JSON_PARSE_FAILED"),
     "commas": ('{"message":["a" , ],"cron":[],\n}', '{"message":["a"  ],"cron":[]\n}', "ok"),
     "two commas": ('{"cron":[1,,]}', '{"cron":[1,]}', "JSON_PARSE_FAILED"),
     "curly quotes": ("{“message”:[“a”]}", '{"message":["a"]}', "ok"),
