@@ -23,6 +23,11 @@ BROADCAST_ROWS = 100_000
 _NULL_LEVEL = -(2**63)
 
 
+def no_part() -> Column:
+    """The part of a group that is not split."""
+    return F.array().cast("array<bigint>")
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True if a count that stops at `max_rows` finds no more rows."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -52,7 +57,7 @@ def split_groups(
     shuffle. In the usual case it finds no large group, the rows are not
     touched, and the second result is False.
     """
-    part = F.array().cast("array<bigint>")
+    part = no_part()
     names = [f"_level{i}" for i in range(len(levels))]
     leveled = rows.withColumns(
         {

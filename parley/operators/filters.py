@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.clock import hours_before
 from parley.functions.values import blank, pair_key
+from parley.schemas import LENGTHS
 
 # Fixed value: the accepted form of a time typed in by hand.
 TIME_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\z"
@@ -93,7 +94,8 @@ def apply_filters(
     for c in equal:
         if c in given:
             kind = df.schema[c].dataType
-            value = F.lit(given[c]).cast(kind)
+            # An input that does not fit the column's type matches no row.
+            value = F.lit(str(given[c])).try_cast(kind)
             column = F.col(c)
             if kind.typeName() == "string":
                 column, value = F.collate(column, collation), F.collate(value, collation)
@@ -160,6 +162,16 @@ def paginate(
 
 
 
+def check_lengths(df: DataFrame, table: str) -> DataFrame:
+    """Add `errors`: the texts longer than their column in `table` holds."""
+    checks = [
+        F.when(F.length(c) > limit, F.lit(f"{c} is longer than {limit}"))
+        for c, limit in LENGTHS[table].items()
+        if c in df.columns
+    ]
+    return df.withColumn("errors", F.array_compact(F.array(*checks)))
+
+
 def validate_rows(
     df: DataFrame, required: Sequence[str] = (), times: Sequence[str] = ("start_time",)
 ) -> DataFrame:

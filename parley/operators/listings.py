@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.clock import from_epoch, time_text
-from parley.functions.ordered import PART_ROWS, id_block, is_small, split_large_groups
+from parley.functions.ordered import PART_ROWS, id_block, is_small, no_part, split_large_groups
 from parley.functions.values import raw_json
 from parley.operators.calendar import describe_cron
 from parley.operators.filters import apply_filters, paginate, search_contains
@@ -96,7 +96,7 @@ def friends_with_tasks(
     return (
         friends.join(nested.withColumnRenamed("friend_id", "id"), "id", "left")
         .withColumn("tasks", F.coalesce("tasks", none))
-        .withColumn("part", F.coalesce("part", F.array().cast("array<bigint>")))
+        .withColumn("part", F.coalesce("part", no_part()))
         .select(*friends.columns, "part", "tasks")
     )
 

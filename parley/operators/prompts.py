@@ -15,6 +15,7 @@ from parley.functions.ordered import (
     PART_ROWS,
     broadcast_if_small,
     first_per_key,
+    no_part,
     part_text,
     split_large_groups,
     time_levels,
@@ -151,7 +152,7 @@ def _turns(
         F.lit(section).alias("section"),
         (F.col("create_time") if is_history else null).alias("create_time"),
         (F.col("message_id") if is_history else null).alias("message_id"),
-        (piece if piece is not None else F.array().cast("array<bigint>")).alias("piece"),
+        (piece if piece is not None else no_part()).alias("piece"),
         role.alias("role"),
         content.alias("content"),
     )
@@ -259,7 +260,7 @@ def build_prompts(
     filled = asked.select(
         "request_id",
         "friend_id",
-        F.array().cast("array<bigint>").alias("piece"),
+        no_part().alias("piece"),
         fill_template(
             F.col("template"),
             {
@@ -278,7 +279,7 @@ def build_prompts(
     texts = requests.join(asked.select("request_id"), "request_id", "left_semi")
     piece = None
     if "part" in requests.columns:
-        piece = F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>"))
+        piece = F.when(F.col("part") > 0, F.array("part")).otherwise(no_part())
     user = _turns(texts, USER, F.lit("user"), F.col("text"), piece)
     summary = variant == "summary"
     if summary:

@@ -81,6 +81,33 @@ DEFAULTS: dict[str, dict[str, object]] = {
     "accounts": {"ws_status": "0"},
 }
 
+# Lengths of the text columns that have a limit.
+LENGTHS: dict[str, dict[str, int]] = {
+    "admin": {
+        "username": 25, "password": 255, "password_salt": 255, "last_login_ip": 60,
+    },
+    "friends": {
+        "avatar": 255, "nickname": 255, "wxid": 255, "my_remark": 255, "remark": 255,
+        "province": 255, "city": 255, "country": 255, "user_story": 255, "mark": 2000,
+    },
+    "friends_task": {
+        "task_name": 255, "cron_expression": 100, "start_date": 255, "end_date": 255,
+        "require_content": 255, "message_content": 255, "task_content": 255, "cron_text": 255,
+    },
+    "friends_task_record": {
+        "task_name": 1000, "result": 1000, "summarize": 1000, "suggestion": 1000, "date": 255,
+    },
+    "messages": {"from_user": 255, "to_user": 255, "msg_id": 255, "status": 255},
+    "roles": {"name": 255},
+    "system": {"key": 255, "value": 255, "desc": 255},
+    "task_logs": {"task_name": 1000, "status": 255},
+    "accounts": {
+        "auth_key": 255, "wx_id": 255, "auth_key_remaining_time": 255, "avatar": 255,
+        "nickname": 255, "onlineTime": 255, "totalOnline": 255, "onlineDays": 255,
+        "expiryTime": 255, "loginErrMsg": 255, "alias": 255, "ws_status": 255,
+    },
+}
+
 # Columns filled with the time of the write when a row is added without them.
 CREATED_AT: dict[str, tuple[str, ...]] = {
     "friends": ("creaate_time", "update_time"),

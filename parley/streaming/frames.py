@@ -19,6 +19,7 @@ from parley.functions.ordered import (
     split_groups,
     with_previous,
 )
+from parley.operators.filters import since
 from parley.operators.ingest import (
     BURST_GAP_SECONDS,
     IGNORED,
@@ -124,19 +125,26 @@ def merge_closed_bursts(
     return merge_assigned(found, keys)
 
 
-def store_batch(batch: DataFrame, messages_path: str, as_of) -> None:
+def store_batch(
+    batch: DataFrame, messages_path: str, as_of, look_back_hours: int | None = None
+) -> None:
     """Write one micro-batch of routed messages to the message table.
 
     Ids already stored are left out, so a batch that runs again adds nothing.
+    With `look_back_hours`, only rows stored since then are compared: for long
+    tables of which copies cannot come later than that.
     """
     rows = to_message_rows(batch, as_of).persist()
     try:
-        append(_not_stored(rows, messages_path), messages_path, rebalance=True)
+        fresh = _not_stored(rows, messages_path, as_of, look_back_hours)
+        append(fresh, messages_path, rebalance=True)
     finally:
         rows.unpersist()
 
 
-def _not_stored(rows: DataFrame, messages_path: str) -> DataFrame:
+def _not_stored(
+    rows: DataFrame, messages_path: str, as_of, look_back_hours: int | None
+) -> DataFrame:
     try:
         stored = rows.sparkSession.read.schema(rows.schema).parquet(messages_path)
     except AnalysisException as error:
@@ -144,13 +152,25 @@ def _not_stored(rows: DataFrame, messages_path: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return rows
+    if look_back_hours is not None:
+        stored = since(stored, "create_at", as_of, look_back_hours)
     return new_messages(rows, stored)
 
 
-def store_stream(routed: DataFrame, messages_path: str, checkpoint: str, as_of) -> StreamingQuery:
+def store_stream(
+    routed: DataFrame,
+    messages_path: str,
+    checkpoint: str,
+    as_of,
+    look_back_hours: int | None = None,
+) -> StreamingQuery:
     """Start storing routed messages batch by batch."""
+
+    def store(batch: DataFrame, _: int) -> None:
+        store_batch(batch, messages_path, as_of, look_back_hours)
+
     return (
-        routed.writeStream.foreachBatch(lambda b, _: store_batch(b, messages_path, as_of))
+        routed.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

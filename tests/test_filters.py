@@ -38,6 +38,8 @@ def test_empty_inputs_do_not_filter_but_zero_does(people):
     assert ids(filters.apply_filters(people, {"nickname": "", "id": None})) == [1, 2, 3, 4]
     assert ids(filters.apply_filters(people, {"is_active": "0"})) == [2, 4]
     assert ids(filters.apply_filters(people, {"wxid": "w1", "is_active": "1"})) == [1, 3]
+    assert ids(filters.apply_filters(people, {"id": "x"})) == []
+    assert ids(filters.apply_filters(people, {"id": 2})) == [2]
 
 
 def test_pages_make_up_the_sorted_whole(people):
@@ -87,6 +89,12 @@ def test_row_checks(rows):
     assert errors == {1: [], 2: ["name is required"], 3: ["name is required", bad_time], 4: [], 5: [bad_time]}
 
 
+def test_lengths(rows):
+    df = rows("id int, username string", (1, "u" * 25), (2, "漢" * 26), (3, None))
+    errors = {r.id: r.errors for r in filters.check_lengths(df, "admin").collect()}
+    assert errors == {1: [], 2: ["username is longer than 25"], 3: []}
+
+
 def test_select_and_equality(people):
     renamed = filters.select_cols(people, {"key": "id", "nickname": "nickname"})
     assert renamed.columns == ["key", "nickname"]

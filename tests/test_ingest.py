@@ -182,10 +182,10 @@ def test_stream_equals_batch(spark, accounts, friends, frame_files, tmp_path):
 
 def test_stored_stream_adds_each_message_once(spark, accounts, friends, frame_files, tmp_path):
     table = str(tmp_path / "messages")
-    for attempt in ("one", "two"):
+    for attempt, look_back in (("one", None), ("two", None), ("three", 24)):
         raw = documents.read_frames_stream(spark, frame_files, files_per_trigger=1)
         routed = streams.process_stream(raw, accounts, friends, watermark="10 minutes")
-        streams.store_stream(routed, table, str(tmp_path / attempt), NOW).awaitTermination()
+        streams.store_stream(routed, table, str(tmp_path / attempt), NOW, look_back).awaitTermination()
         stored = spark.read.parquet(table)
         ids = sorted(int(r.msg_id) for r in stored.collect())
         assert ids == [0, 1, 2, 3, 4, 20, 50, 60]
