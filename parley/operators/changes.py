@@ -145,10 +145,10 @@ def normal_cron(cron: Column) -> Column:
 def apply_task_ops(tasks: DataFrame, ops: DataFrame, as_of=None) -> DataFrame:
     """Operations of model replies applied to the tasks, in order of `op_seq` (M5).
 
-    `ops` has `op_seq` (unique), `id`, `operate`, the task columns and `given`,
-    the names of the columns the operation states. `add` needs id -1. `update`
-    sets the columns it states. A deleted task stays deleted. Other operations
-    do nothing. An added task's id is the highest id plus its `op_seq` + 1.
+    `ops` has `op_seq` (unique, of any type that has an order), `id`, `operate`,
+    the task columns and `given`, the names of the columns the operation states.
+    `add` needs id -1. `update` sets the columns it states. A deleted task stays
+    deleted. Other operations do nothing.
     """
     ops = ops.withColumn("cron_expression", normal_cron(F.col("cron_expression")))
     deleted = ops.where(F.col("operate") == "delete").select("id")
@@ -172,15 +172,9 @@ def apply_task_ops(tasks: DataFrame, ops: DataFrame, as_of=None) -> DataFrame:
     }
     new.update(_touched(tasks, as_of, F.col("_patch").isNotNull()))
     kept = edited.withColumns(new).select(*tasks.columns)
-    added = (
-        ops.where((F.col("operate") == "add") & (F.col("id") == -1))
-        .withColumn("id", _max_id(tasks) + 1 + F.col("op_seq"))
-        .select("id", *TASK_OP_COLUMNS)
-    )
-    full = conform(added, "friends_task", as_of)
-    return kept.unionByName(
-        full.select(*[F.col(c).cast(tasks.schema[c].dataType).alias(c) for c in tasks.columns])
-    )
+    added = ops.where((F.col("operate") == "add") & (F.col("id") == -1))
+    new_rows = added.select("op_seq", *TASK_OP_COLUMNS)
+    return kept.unionByName(_insert(tasks, new_rows, ["op_seq"], "friends_task", as_of))
 
 
 def record_executions(tasks: DataFrame, runs: DataFrame) -> DataFrame:

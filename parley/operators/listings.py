@@ -62,8 +62,8 @@ def friend_listing(
     return flags_as_text(with_owner(rows, accounts).orderBy(*friend_order()))
 
 
-def tasks_of_friends(tasks: DataFrame) -> DataFrame:
-    """Active tasks with their cron in words, as a list of rows."""
+def active_tasks(tasks: DataFrame) -> DataFrame:
+    """Active tasks with their cron in words."""
     return describe_cron(tasks.where(F.col("is_active") == 1))
 
 
@@ -86,7 +86,7 @@ def friends_with_tasks(
     if is_small(people):
         tasks = tasks.join(F.broadcast(people), "friend_id", "left_semi")
     listed = split_large_groups(
-        tasks_of_friends(tasks), ["friend_id"], [id_block("id", size)], size
+        active_tasks(tasks), ["friend_id"], [id_block("id", size)], size
     )
     columns = ["id", *[c for c in listed.columns if c not in ("id", "friend_id", "part")]]
     nested = listed.groupBy("friend_id", "part").agg(

@@ -60,6 +60,13 @@ def with_config(df: DataFrame, system: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumns({k: row.select(k).scalar() for k in keys})
 
 
+def friend_pairs(friends: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Each contact with the account it belongs to, as `friend_id, party_a, party_b`."""
+    account = accounts.select(F.col("id").alias("account_id"), F.col("wx_id").alias("party_b"))
+    contact = friends.select(F.col("id").alias("friend_id"), "account_id", F.col("wxid").alias("party_a"))
+    return contact.join(account, "account_id").select("friend_id", "party_a", "party_b")
+
+
 def chat_history(
     messages: DataFrame,
     pairs: DataFrame,

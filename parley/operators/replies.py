@@ -63,8 +63,8 @@ def reply_messages(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
 def reply_task_ops(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per task operation, in order, with the columns it states in `given` (K6).
 
-    The form is the one `apply_task_ops` takes, but for `op_seq`: a unique
-    number over all replies is for the caller to make, of `keys` and `position`.
+    The form is the one `apply_task_ops` takes: operations apply in the order
+    of `keys`, then of their place in the reply.
     """
     listed = replies.select(*keys, F.posexplode("reply_doc.cron").alias("position", "_op"))
     op = F.col("_op")
@@ -80,6 +80,7 @@ def reply_task_ops(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.try_element_at(op, F.lit("operate")).alias("operate"),
         *stated,
         F.array_sort(F.map_keys(op)).alias("given"),
+        F.struct(*keys, "position").alias("op_seq"),
     )
 
 

@@ -354,7 +354,7 @@ SELECT doc_id AS id, lang AS reson, source AS msg, count(*) OVER () AS total_row
 FROM documents WHERE text ILIKE '%the%' AND lang ILIKE '%en%' ORDER BY doc_id DESC LIMIT 10 OFFSET 10""")
 oracle("search_all_logs", "", """
 SELECT doc_id AS id, lang AS reson, source AS msg, CAST(length(text) AS INTEGER) AS text_length
-FROM documents WHERE text ILIKE '%a%i_n%' AND source ILIKE '%src%'""")
+FROM documents WHERE text ILIKE '%t_e%' AND source ILIKE '%src%'""")
 oracle("name_conflicts", "admins", """
 SELECT a.id, a.username FROM admins a
 WHERE EXISTS (SELECT 1 FROM admins b WHERE b.username = a.username AND b.id <> a.id)""")
@@ -383,6 +383,8 @@ WHERE create_at >= {EVENTS_NOW} - INTERVAL 48 HOUR AND type = 1 AND is_ai = 0
 oracle("first_contact", "messages", """
 SELECT from_user, create_time, id, content FROM messages
 QUALIFY row_number() OVER (PARTITION BY from_user ORDER BY create_time, id) = 1""")
+oracle("active_tasks", "tasks", """
+SELECT id, friend_id, cron_words AS cron_expression_chinese FROM tasks WHERE is_active = 1""")
 oracle("tasks_of_friend", "tasks", """
 SELECT id, task_name, create_time FROM tasks WHERE friend_id = 7 AND is_active = 1""")
 
@@ -501,7 +503,7 @@ FULL JOIN (SELECT o_orderkey + 10 AS id,
            FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01') p ON p.id = w.id""")
 oracle("active_task_json", "task_lists", "SELECT friend_id, '' AS part, task_count, items FROM task_lists")
 oracle("apply_task_ops", "tasks ops", f"""
-SELECT t.id, t.friend_id, coalesce(n.task_name, t.task_name) AS task_name,
+SELECT t.id AS old_id, t.friend_id, coalesce(n.task_name, t.task_name) AS task_name,
        CASE WHEN c.id IS NULL THEN t.cron_expression ELSE c.cron_expression END AS cron_expression,
        CASE WHEN c.id IS NULL THEN t.start_date END AS start_date,
        CASE WHEN n.id IS NULL THEN t.end_date ELSE '2030-01-01' END AS end_date,
@@ -514,7 +516,7 @@ LEFT JOIN (SELECT * FROM ops WHERE operate = 'update' AND NOT gives_cron
            QUALIFY row_number() OVER (PARTITION BY id ORDER BY op_seq DESC) = 1) n ON n.id = t.id
 WHERE t.id NOT IN (SELECT id FROM ops WHERE operate = 'delete')
 UNION ALL
-SELECT (SELECT max(o_orderkey) FROM orders) + 1 + op_seq, friend_id, task_name, cron_expression, NULL,
+SELECT NULL, friend_id, task_name, cron_expression, NULL,
        '2030-01-01', 1, 0, {ORDERS_NOW}
 FROM ops WHERE operate = 'add' AND id = -1""")
 oracle("record_executions", "tasks runs", """

@@ -137,7 +137,7 @@ def search_logs(s):
 @query
 def search_all_logs(s):
     """All finds, with wildcards taken from the text as they stand."""
-    found = filters.search_contains(s.logs(), {"text": "a%i_n", "msg": "SRC"}, escape=False)
+    found = filters.search_contains(s.logs(), {"text": "T_E", "msg": "SRC"}, escape=False)
     return found.select("id", "reson", "msg", F.length("text").alias("text_length"))
 
 
@@ -203,6 +203,11 @@ def first_contact(s):
     )
 
 
+@query
+def active_tasks(s):
+    return listings.active_tasks(s.tasks()).select("id", "friend_id", "cron_expression_chinese")
+
+
 @query
 def tasks_of_friend(s):
     return listings.tasks_of_friend(s.tasks(), 7).select("id", "task_name", "create_time")
@@ -497,8 +502,10 @@ def _ops(s):
 @query
 def apply_task_ops(s):
     changed = changes.apply_task_ops(s.tasks(), _ops(s), ORDERS_NOW)
+    added = (F.col("update_time") == F.col("create_time")) & (F.year("create_time") == 2001)
+    is_new = added & F.col("task_name").startswith("t") & F.col("start_date").isNull()
     return changed.select(
-        "id", "friend_id", "task_name", "cron_expression", "start_date", "end_date", "is_active",
+        F.when(~is_new, F.col("id")).alias("old_id"), "friend_id", "task_name", "cron_expression", "start_date", "end_date", "is_active",
         "execution_count", "update_time",
     )
 
@@ -686,9 +693,7 @@ def members_with_config(s):
 
 
 def _pairs(s):
-    return s.friends(own_account=True).select(
-        F.col("wxid").alias("party_a"), prefixed("a", F.col("account_id")).alias("party_b")
-    )
+    return prompts.friend_pairs(s.friends(own_account=True), s.accounts()).drop("friend_id")
 
 
 @query

@@ -127,12 +127,15 @@ def test_task_operations(tasks, rows):
         (7, 77, "update", None, "nobody", None, None, None, None, ["task_name"]),
         (8, -1, "add", 9, "second", None, None, None, None, []),
     )
-    got = by_id(changes.apply_task_ops(tasks, ops, NOW), "task_name", "cron_expression", "end_date", "is_active", "friend_id", "execution_count", "update_time")
+    result = changes.apply_task_ops(tasks, ops, NOW)
+    got = by_id(result, "task_name", "cron_expression", "end_date", "is_active", "friend_id", "execution_count", "update_time")
+    added = [got.pop(4), got.pop(5)]
+    assert sorted(added, key=lambda r: r[0]) == [
+        ("new", "0 0 8 * * *", None, 0, 9, 0, THEN), ("second", None, None, 1, 9, 0, THEN),
+    ]
     assert got == {
         1: (None, "* 1 * * * *", "2030-01-01", 1, 1, None, THEN),
         3: ("c", "0 0 8 * * *", "", 1, 1, 0, OLD),
-        8: ("new", "0 0 8 * * *", None, 0, 9, 0, THEN),
-        12: ("second", None, None, 1, 9, 0, THEN),
     }
 
 
