@@ -10,6 +10,8 @@ one value per part is carried from part to part.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def _left_join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which null keys are equal, as they are in a grouping."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, reduce(and_, same), "left").drop(*[f"_right_{k}" for k in keys])
+
+
 def split_groups(
     rows: DataFrame, keys: Sequence[str], levels: Sequence[Column], size: int
 ) -> tuple[DataFrame, bool]:
@@ -79,7 +88,8 @@ def split_groups(
         if count == 0:
             break
         found = True
-        marked = marked.join(F.broadcast(large) if count <= BROADCAST_ROWS else large, group, "left")
+        side = F.broadcast(large) if count <= BROADCAST_ROWS else large
+        marked = _left_join_same(marked, side, group)
         part = F.when(F.col(flag), F.concat(part, F.array(F.col(name)))).otherwise(part)
     return marked.withColumn("part", part).select(*rows.columns, "part"), found
 
@@ -124,7 +134,7 @@ def with_previous(
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"),
     )
     before = F.coalesce(F.lag(one).over(window), F.col("_end"))
-    return rows.join(carried, group, "left").select(
+    return _left_join_same(rows, carried, group).select(
         *rows.columns,
         before["v"].alias(out),
         (F.col("_rows") + F.row_number().over(window)).alias(number),
@@ -147,11 +157,9 @@ def latest_value(
     carried = ends.select(
         *keys, "part", F.last("_end", ignorenulls=True).over(earlier).alias("_carried")
     )
-    return (
-        rows.withColumn("_so_far", F.last(value, ignorenulls=True).over(inner))
-        .join(carried, [*keys, "part"], "left")
-        .withColumn(out, F.coalesce("_so_far", "_carried"))
-        .select(*rows.columns, out)
+    known = rows.withColumn("_so_far", F.last(value, ignorenulls=True).over(inner))
+    return _left_join_same(known, carried, [*keys, "part"]).select(
+        *rows.columns, F.coalesce("_so_far", "_carried").alias(out)
     )
 
 

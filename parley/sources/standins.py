@@ -174,7 +174,7 @@ class Standins:
             "text",
             F.col("lang").alias("reson"),
             F.col("source").alias("msg"),
-            F.left(F.col("text"), F.lit(200)).alias("reply"),
+            F.col("text").alias("reply"),
         )
 
     def roles(self) -> DataFrame:
