@@ -592,6 +592,7 @@ SELECT msg_id, from_user, to_user, content, CASE route WHEN 1 THEN 'done' ELSE '
        {EVENTS_NOW} AS create_at, {EVENTS_NOW} AS update_at
 FROM (SELECT m.*, {ROUTE} AS route FROM frames m {ROUTED}) r
 WHERE from_user IS NOT NULL AND route <> 0 AND msg_type <> 51 AND content <> ''""")
+ORACLE["stream_messages"] = ORACLE["message_rows"]
 oracle("dedup_messages", "messages", """
 SELECT msg_id, create_time, content FROM messages WHERE type <> 1""")
 oracle("merge_bursts", "bursts", "SELECT * FROM bursts")

@@ -505,8 +505,8 @@ def apply_task_ops(s):
     added = (F.col("update_time") == F.col("create_time")) & (F.year("create_time") == 2001)
     is_new = added & F.col("task_name").startswith("t") & F.col("start_date").isNull()
     return changed.select(
-        F.when(~is_new, F.col("id")).alias("old_id"), "friend_id", "task_name", "cron_expression", "start_date", "end_date", "is_active",
-        "execution_count", "update_time",
+        F.when(~is_new, F.col("id")).alias("old_id"), "friend_id", "task_name", "cron_expression",
+        "start_date", "end_date", "is_active", "execution_count", "update_time",
     )
 
 
@@ -637,6 +637,20 @@ def stream_bursts(s):
     )
 
 
+@query
+def stream_messages(s):
+    """The rows of `message_rows`, stored by a stream over frames that all come twice."""
+    spark = s.spark
+    root = shared_dir(spark, "stream-messages")
+    s.frames().unionByName(s.frames()).write.json(f"{root}/frames")
+    raw = documents.read_frames_stream(spark, f"{root}/frames", files_per_trigger=2)
+    routed = streams.route_stream(raw, s.accounts(), s.friends())
+    streams.store_stream(
+        routed, f"{root}/messages", f"{root}/checkpoint", EVENTS_NOW
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/messages").drop("raw_data")
+
+
 def _bursts(s):
     return ingest.assign_bursts(s.messages(both_ways=False), BURST_GAP)
 

@@ -1,14 +1,16 @@
 """Message frames as a stream: the ingest operators on Structured Streaming.
 
-Frames become routed messages without any state but the ids of recent ones.
-Bursts keep only their bounds and counts as state; their texts are joined from
-the routed messages once a burst is closed, so no long text is held in state.
+Storing takes no state: copies are found in the batch and in the table, however
+late they come. Bursts need event time: for them, frames are deduplicated as far
+back as the watermark reaches, later ones are left out, and only the bounds and
+counts of open bursts are state. The texts of a burst are joined from the routed
+messages once it is closed, so no long text is held in state.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,6 +26,7 @@ from parley.operators.ingest import (
     BURST_GAP_SECONDS,
     IGNORED,
     MEMBER_AI,
+    dedup_messages,
     drop_senderless,
     merge_assigned,
     new_messages,
@@ -36,12 +39,25 @@ from parley.sources.tables import append
 DEFAULT_WATERMARK = "1 minute"
 
 
-def dedup_stream(frames: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+def route_stream(
+    raw: DataFrame, accounts: DataFrame, friends: DataFrame, strict: bool = True
+) -> DataFrame:
+    """Raw frames to routed messages, copies included, without the ignored ones."""
+    good, _ = parse_frames(raw, strict)
+    routed = route_messages(drop_senderless(good), accounts, friends)
+    return routed.where(F.col("route") != IGNORED)
+
+
+def dedup_stream(
+    frames: DataFrame, watermark: str = DEFAULT_WATERMARK, received: Column | None = None
+) -> DataFrame:
     """Frames seen once by `msg_id`, as far back as the watermark reaches.
 
-    A frame without a time counts as sent when it is processed.
+    A frame without a time counts as sent at `received` (epoch seconds), by
+    default when it is processed. A replay should pass the time of recording.
     """
-    sent = F.coalesce(F.nullif("create_time", F.lit(0).cast("long")), F.unix_timestamp())
+    now = F.unix_timestamp() if received is None else received
+    sent = F.coalesce(F.nullif("create_time", F.lit(0).cast("long")), now)
     timed = frames.withColumn("create_time", sent).withColumn(
         "event_time", F.timestamp_seconds("create_time")
     )
@@ -54,10 +70,11 @@ def process_stream(
     friends: DataFrame,
     watermark: str = DEFAULT_WATERMARK,
     strict: bool = True,
+    received: Column | None = None,
 ) -> DataFrame:
-    """Raw frames to routed messages, without the ignored ones."""
+    """Raw frames to routed messages, once each, for the bursts."""
     good, _ = parse_frames(raw, strict)
-    once = dedup_stream(drop_senderless(good), watermark)
+    once = dedup_stream(drop_senderless(good), watermark, received)
     return route_messages(once, accounts, friends).where(F.col("route") != IGNORED)
 
 
@@ -130,11 +147,12 @@ def store_batch(
 ) -> None:
     """Write one micro-batch of routed messages to the message table.
 
-    Ids already stored are left out, so a batch that runs again adds nothing.
+    Of copies in the batch the first to arrive counts. Ids already stored are
+    left out, so a batch that runs again adds nothing.
     With `look_back_hours`, only rows stored since then are compared: for long
     tables of which copies cannot come later than that.
     """
-    rows = to_message_rows(batch, as_of).persist()
+    rows = to_message_rows(dedup_messages(batch, ["arrival"]), as_of).persist()
     try:
         fresh = _not_stored(rows, messages_path, as_of, look_back_hours)
         append(fresh, messages_path, rebalance=True)
@@ -164,7 +182,7 @@ def store_stream(
     as_of,
     look_back_hours: int | None = None,
 ) -> StreamingQuery:
-    """Start storing routed messages batch by batch."""
+    """Start storing the messages of `route_stream` batch by batch."""
 
     def store(batch: DataFrame, _: int) -> None:
         store_batch(batch, messages_path, as_of, look_back_hours)

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 from types import SimpleNamespace
 
@@ -182,14 +183,35 @@ def test_stream_equals_batch(spark, accounts, friends, frame_files, tmp_path):
 
 def test_stored_stream_adds_each_message_once(spark, accounts, friends, frame_files, tmp_path):
     table = str(tmp_path / "messages")
+    late = [(100, frame(70, time=5, content="late")), (101, frame(3, time=1012, content="again")), (102, frame(70, time=5))]
+    write_frames(tmp_path / "in", "c.json", late)
+    os.utime(tmp_path / "in" / "c.json", (4e9, 4e9))
     for attempt, look_back in (("one", None), ("two", None), ("three", 24)):
         raw = documents.read_frames_stream(spark, frame_files, files_per_trigger=1)
-        routed = streams.process_stream(raw, accounts, friends, watermark="10 minutes")
+        routed = streams.route_stream(raw, accounts, friends)
         streams.store_stream(routed, table, str(tmp_path / attempt), NOW, look_back).awaitTermination()
         stored = spark.read.parquet(table)
         ids = sorted(int(r.msg_id) for r in stored.collect())
-        assert ids == [0, 1, 2, 3, 4, 20, 50, 60]
-    assert {r.msg_id: r.status for r in stored.collect()}["50"] == "done"
+        assert ids == [0, 1, 2, 3, 4, 20, 50, 60, 70]
+    texts = {r.msg_id: (r.status, r.content) for r in stored.collect()}
+    assert texts["50"] == ("done", "hi") and texts["1"] == ("queued", "c1") and texts["70"][1] == "late"
+
+
+def test_late_frames_are_left_out_of_bursts(spark, accounts, friends, frame_files, tmp_path):
+    write_frames(tmp_path / "in", "c.json", [(100, frame(70, time=900, content="late"))])
+    os.utime(tmp_path / "in" / "c.json", (4e9, 4e9))
+    raw = documents.read_frames_stream(spark, frame_files, files_per_trigger=1)
+    routed = run(streams.process_stream(raw, accounts, friends), tmp_path, "routed")
+    assert "70" not in {r.msg_id for r in routed.collect()}
+
+
+def test_frames_without_a_time_take_that_of_recording(spark, accounts, friends, tmp_path):
+    frames = [(0, frame(1, time=1000)), (1, frame(2, time=None)), (2, frame(3, time=0)), (3, frame(4, sender="zz", time=9000))]
+    write_frames(tmp_path / "in", "a.json", frames)
+    raw = documents.read_frames_stream(spark, str(tmp_path / "in"))
+    routed = streams.process_stream(raw, accounts, friends, received=F.col("arrival") + 1004)
+    ranges = run(streams.burst_ranges_stream(routed), tmp_path, "ranges")
+    assert [(r.burst_start, r.last_received, r.message_count) for r in ranges.collect()] == [(1000, 1006, 3)]
 
 
 def test_tables_round_trip(spark, rows, tmp_path):

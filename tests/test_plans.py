@@ -17,7 +17,7 @@ def plan_of(frame):
     )
 
 
-BATCH = [n for n in QUERIES if n != "stream_bursts"]
+BATCH = [n for n in QUERIES if not n.startswith("stream_")]
 WITH_JSON_CHECK = {
     "parse_frames", "bad_frames", "message_rows", "repair_json", "reply_messages", "reply_task_ops",
     "reply_summaries", "task_change_notices",

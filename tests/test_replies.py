@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from parley.functions.replies import cleaned_text
 from parley.functions.values import raw_json
 from parley.operators import listings, prompts, replies, tasks
 
@@ -49,6 +50,12 @@ def test_repair(rows):
     assert all((r.parsed is None) == (r.status == "JSON_PARSE_FAILED") for r in got.values())
 
 
+def test_cleanups_as_one_expression(rows):
+    df = rows("name string, text string", *[(n, c[0]) for n, c in CASES.items()])
+    got = {r.name: r.c for r in df.select("name", cleaned_text(F.col("text")).alias("c")).collect()}
+    assert got == {n: c[1] for n, c in CASES.items()}
+
+
 def test_valid_text_is_kept(rows):
     texts = ['{"a": [1, {"b": null}], "c": "x\\ny é 漢"}', '"text"', "12.5e3", "true", '{"t":"8:05"}']
     df = rows("text string", *[(t,) for t in texts])
