@@ -16,6 +16,7 @@ from parley.functions.ordered import (
     broadcast_if_small,
     first_per_key,
     no_part,
+    pack_ordered,
     part_text,
     split_large_groups,
     time_levels,
@@ -355,6 +356,21 @@ def burst_requests(bursts: DataFrame, friends: DataFrame) -> DataFrame:
     )
 
 
+def packed_prompts(turns: DataFrame, size: int = PART_ROWS) -> DataFrame:
+    """Prompts with their turns in one ordered array: `request_id, part, turns`.
+
+    A prompt of more than `size` turns comes in several rows by `part`. The
+    turns are looked at twice, for their number and for the arrays: prompts that
+    take long to build should be written or persisted first.
+    """
+    levels = [F.col("section"), *time_levels("create_time", "message_id", size)]
+    order = ["section", "create_time", "message_id", "piece"]
+    packed = pack_ordered(
+        turns, ["request_id"], order, F.struct("role", "content"), levels, size
+    )
+    return packed.withColumnRenamed("items", "turns")
+
+
 def turns_text(turns: DataFrame) -> DataFrame:
     """Turns with `piece` as text, for output."""
     return turns.withColumn("piece", part_text(F.col("piece")))

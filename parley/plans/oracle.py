@@ -652,6 +652,11 @@ SELECT request_id, 2, NULL, NULL, '', 'user', nickname FROM filled p WHERE role_
 
 
 oracle("build_prompts", "spoken filled", _prompt_oracle("coalesce(p.role_id, 999)"))
+oracle("prompt_arrays", "spoken filled", f"""
+SELECT request_id, '' AS part, count(*) AS turn_count,
+       CAST(to_json(list({{'role': role, 'content': content}}
+                         ORDER BY section, coalesce(create_time, 0), message_id)) AS VARCHAR) AS turns
+FROM ({_prompt_oracle("coalesce(p.role_id, 999)")}) t GROUP BY request_id""")
 oracle("copy_edit_prompts", "spoken filled", _prompt_oracle("1001"))
 oracle("summary_prompts", "spoken filled", f"""
 SELECT request_id, 1 AS section, CAST(NULL AS BIGINT) AS create_time, CAST(NULL AS BIGINT) AS message_id,

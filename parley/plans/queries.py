@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.clock import epoch_of, moment, time_text
 from parley.functions.ordered import first_per_key, pack_ordered, part_text
-from parley.functions.values import salted_md5
+from parley.functions.values import raw_json, salted_md5
 from parley.operators import (
     calendar,
     changes,
@@ -745,6 +745,21 @@ def build_prompts(s):
     return _prompts(s, "reply")
 
 
+@query
+def prompt_arrays(s):
+    turns = prompts.build_prompts(
+        _requests(s), s.friends(own_account=True), s.accounts(), s.roles(), s.tasks(),
+        s.messages(), EVENTS_NOW, "reply", LOOK_BACK,
+    )
+    packed = prompts.packed_prompts(turns)
+    return packed.select(
+        "request_id",
+        part_text(F.col("part")).alias("part"),
+        F.size("turns").cast("long").alias("turn_count"),
+        raw_json(F.col("turns")).alias("turns"),
+    )
+
+
 @query
 def copy_edit_prompts(s):
     return _prompts(s, "copy_edit")

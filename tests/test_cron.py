@@ -1,5 +1,6 @@
 """Cron rows against a plain scan over every second or minute of some days."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -81,6 +82,34 @@ def test_fires_equal_a_scan_of_seconds(tasks):
     assert sorted((r.id, r.fire_time) for r in got) == sorted(want)
 
 
+def random_field(rng, low, high):
+    def term():
+        a, b = sorted((rng.randint(low, high), rng.randint(low, high)))
+        return rng.choice(["*", "?", f"{a}", f"{a}-{b}", f"{a}/{rng.randint(1, 9)}", f"*/{rng.randint(1, high)}",
+                           f"{a}-{b}/{rng.randint(1, 5)}"])
+
+    return ",".join(term() for _ in range(rng.choice([1, 1, 1, 2, 3])))
+
+
+def test_random_crons_equal_a_scan(tasks):
+    rng = random.Random(11)
+    crons = ["0 " + " ".join(random_field(rng, *SPANS[f]) for f in list(SPANS)[1:]) for _ in range(120)]
+    start, end = datetime(2024, 2, 28, 22, 0), datetime(2024, 3, 3, 2, 0)
+    table = tasks(crons)
+    got = sorted((r.id, r.fire_time) for r in calendar.cron_fires(table, start, end).collect())
+    want, plans, t = [], [plan(c) for c in crons], start
+    while t < end:
+        want += [(i, t) for i, p in enumerate(plans) if fires_at(p, t)]
+        t += timedelta(minutes=1)
+    assert got == sorted(want) and len({i for i, _ in want}) > 40
+    following = {r.id: r.next_fire for r in calendar.next_fire(table, start - timedelta(seconds=1), 5).collect()}
+    firsts = {}
+    for i, t in got:
+        firsts.setdefault(i, t)
+    assert all(following[i] == t for i, t in firsts.items())
+    assert all(following[i] is None or following[i] >= end for i in set(following) - set(firsts))
+
+
 @pytest.mark.parametrize(
     "now",
     ["2024-02-28 23:59:30", "2024-02-29 00:00:00", "2024-03-01 08:15:00", "2024-12-31 23:59:59", "2024-06-15 22:05:00.5"],

@@ -178,6 +178,12 @@ def test_prompts_in_pieces_have_the_same_texts(spark, many_tasks, variant):
     pieces, many = prompt_texts(build(7))
     assert one == 1 and many > 5
     assert pieces == whole
+    packed = {}
+    for r in sorted(prompts.packed_prompts(build(10_000), 7).collect(), key=lambda r: list(r.part)):
+        assert len(r.turns) <= 7
+        packed.setdefault(r.request_id, []).extend((t.role, t.content) for t in r.turns)
+    in_turn = sorted(whole, key=lambda k: (k[1], -1 if k[2] is None else k[2], k[3] or -1))
+    assert packed == {n: [(k[4], whole[k]) for k in in_turn if k[0] == n] for n in {k[0] for k in whole}}
     asked = {k[0] for k in whole}
     assert asked == ({10, 20} if variant == "reply" else {10, 20, 40})
     system = whole[(10, 1, None, None, "system")]

@@ -1,5 +1,7 @@
 import hashlib
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,30 @@ def test_valid_text_is_kept(rows):
     assert {r.parsed for r in replies.repair_json(df, "text").collect()} == set(texts)
 
 
+def random_json(rng, depth=3):
+    kind = rng.randrange(8 if depth else 5)
+    if kind == 0:
+        return rng.choice([None, True, False])
+    if kind == 1:
+        return rng.choice([0, -3, 1.5e-7, 10**18, 0.25])
+    if kind < 5:
+        return "".join(rng.choice('aé漢😀 "\\/{}[],\n\t\x01') for _ in range(rng.randrange(8)))
+    if kind == 5:
+        return [random_json(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return {f"k{n}": random_json(rng, depth - 1) for n in range(rng.randrange(4))}
+
+
+def test_random_json_is_valid_and_a_cut_one_is_not(rows):
+    rng = random.Random(2)
+    texts = [json.dumps(random_json(rng), ensure_ascii=rng.random() < 0.5, separators=rng.choice([(",", ":"), (", ", ": ")])) for _ in range(400)]
+    # A comma before a closing bracket is edited even inside of a text.
+    texts = [t for t in texts if not re.search(r",\s*[}\]]", t)]
+    got = replies.repair_json(rows("text string", *[(t,) for t in texts]), "text").collect()
+    assert len(got) > 300 and all((r.status, r.parsed) == ("ok", r.text) for r in got)
+    cut = [(t[:-1],) for t in texts if t.startswith("[") and len(t) > 2]
+    assert {r.status for r in replies.repair_json(rows("text string", *cut), "text").collect()} == {"JSON_PARSE_FAILED"}
+
+
 @pytest.fixture
 def parsed(rows):
     text = json.dumps(
