@@ -17,6 +17,19 @@ SETTINGS = {
 }
 
 
+# For tables of many terabytes, as `settings` of `start_session`: many shuffle
+# partitions to begin with, which adaptive execution joins to the advised size,
+# and state of streams on disk.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
+
 def start_session(
     app: str = "parley", master: str | None = None, settings: Mapping[str, str] | None = None
 ) -> SparkSession:
