@@ -44,11 +44,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def _left_join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _left_join_same(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
     """Left join in which null keys are equal, as they are in a grouping."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return left.join(renamed, reduce(and_, same), "left").drop(*[f"_right_{k}" for k in keys])
+    return left.join(renamed, reduce(and_, same), how).drop(*[f"_right_{k}" for k in keys])
 
 
 def split_groups(
@@ -74,12 +76,12 @@ def split_groups(
             for n, level in zip(names, levels)
         }
     )
-    marked, found = leveled, False
+    marked, judged, found = leveled, leveled, False
     for depth, name in enumerate(names):
         group = [*keys, *names[:depth]]
         flag = f"_large{depth}"
         large = (
-            leveled.groupBy(*group)
+            judged.groupBy(*group)
             .agg(F.count(F.lit(1)).alias("_rows"))
             .where(F.col("_rows") > size)
             .select(*group, F.lit(True).alias(flag))
@@ -90,6 +92,8 @@ def split_groups(
         found = True
         side = F.broadcast(large) if count <= BROADCAST_ROWS else large
         marked = _left_join_same(marked, side, group)
+        # Only rows of large groups are judged by the next level.
+        judged = _left_join_same(judged, side, group, "left_semi")
         part = F.when(F.col(flag), F.concat(part, F.array(F.col(name)))).otherwise(part)
     return marked.withColumn("part", part).select(*rows.columns, "part"), found
 
