@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +44,44 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def left_join_unique(
+    rows: DataFrame,
+    side: DataFrame,
+    keys: Sequence[str],
+    broadcast_rows: int = BROADCAST_ROWS,
+    heavy_rows: int = WINDOW_ROWS,
+) -> DataFrame:
+    """Left join to a table that is unique by `keys`, spread out when keys are heavy.
+
+    Adaptive execution does not split skewed partitions of a join to an
+    aggregate. So a small `side` is broadcast, and for a large one the rows of
+    keys with more than `heavy_rows` rows, and of null keys, are joined to the
+    few side rows of just those keys, by broadcast. A stream is joined plainly.
+    """
+    columns = [*rows.columns, *[c for c in side.columns if c not in keys]]
+    if rows.isStreaming:
+        return rows.join(side, list(keys), "left").select(*columns)
+    if is_small(side, broadcast_rows):
+        return rows.join(F.broadcast(side), list(keys), "left").select(*columns)
+    heavy = (
+        rows.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > heavy_rows)
+        .select(*keys)
+    )
+    count = heavy.limit(broadcast_rows + 1).count()
+    if count == 0 or count > broadcast_rows:
+        return rows.join(side, list(keys), "left").select(*columns)
+    flag = heavy.withColumn("_heavy", F.lit(True))
+    marked = rows.join(F.broadcast(flag), list(keys), "left")
+    null_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    is_heavy = F.col("_heavy").isNotNull() | null_key
+    heavy_side = side.join(F.broadcast(heavy), list(keys), "left_semi")
+    spread = marked.where(is_heavy).join(F.broadcast(heavy_side), list(keys), "left")
+    plain = marked.where(~is_heavy).join(side, list(keys), "left")
+    return plain.select(*columns).unionByName(spread.select(*columns))
+
+
 def _left_join_same(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:

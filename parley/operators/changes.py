@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.clock import moment, validity_state
-from parley.functions.ordered import last_per_key, numbered_ids
+from parley.functions.ordered import last_per_key, left_join_unique, numbered_ids
 from parley.functions.values import literal_map
 from parley.schemas import conform
 
@@ -228,7 +228,7 @@ def close_tasks(tasks: DataFrame, friend_ids: DataFrame, as_of=None) -> DataFram
     closing = F.coalesce("_close", F.lit(False))
     new = {"is_active": F.when(closing, 0).otherwise(F.col("is_active"))}
     new.update(_touched(tasks, as_of, closing))
-    return tasks.join(named, "friend_id", "left").withColumns(new).select(*tasks.columns)
+    return left_join_unique(tasks, named, ["friend_id"]).withColumns(new).select(*tasks.columns)
 
 
 ONLINE_COLUMNS = ("onlineTime", "expiryTime", "loginErrMsg", "onlineDays", "totalOnline")

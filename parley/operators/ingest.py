@@ -14,6 +14,7 @@ from parley.functions.ordered import (
     broadcast_if_small,
     first_per_key,
     latest_value,
+    left_join_unique,
     split_groups,
     time_levels,
     with_previous,
@@ -66,12 +67,9 @@ def route_messages(messages: DataFrame, accounts: DataFrame, friends: DataFrame)
         .when(F.col("_ai") == 1, MEMBER_AI)
         .otherwise(IGNORED)
     )
-    return (
-        messages.join(own, ["from_user", "auth_key"], "left")
-        .join(members, "from_user", "left")
-        .withColumn("route", route)
-        .drop("_own", "_ai")
-    )
+    known = left_join_unique(messages, own, ["from_user", "auth_key"])
+    known = left_join_unique(known, members, ["from_user"])
+    return known.withColumn("route", route).drop("_own", "_ai")
 
 
 def drop_senderless(frames: DataFrame) -> DataFrame:

@@ -227,3 +227,11 @@ def test_a_request_in_parts_has_one_system_turn(spark, many_tasks):
     turns = prompts.build_prompts(requests, friends, accounts, roles, many_tasks, messages, "2024-01-30", hours=1)
     texts, _ = prompt_texts(turns)
     assert texts == {("r", 1, None, None, "system"): "Hello Ann", ("r", 2, None, None, "user"): "a\nb\n\nc"}
+
+
+@pytest.mark.parametrize("broadcast_rows, heavy_rows", [(100, 5), (2, 10), (2, 1000), (0, 10)])
+def test_join_to_a_unique_table_does_not_depend_on_the_way(hot, spark, broadcast_rows, heavy_rows):
+    side = spark.createDataFrame([("hot", 1), ("cold", 2), ("none", 3), (None, 4)], "who string, n int")
+    got = ordered.left_join_unique(hot, side, ["who"], broadcast_rows, heavy_rows)
+    assert got.columns == [*hot.columns, "n"]
+    assert sorted(got.collect(), key=repr) == sorted(hot.join(side, "who", "left").select(got.columns).collect(), key=repr)

@@ -57,8 +57,8 @@ def test_tables_are_not_broadcast_by_hint(spark):
     """With automatic broadcast off, joins of whole tables are not broadcast."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for name in ("route_messages", "task_eligibility", "close_tasks", "patch_members",
-                     "resolve_targets", "set_message_status", "burst_status", "schedule_diff"):
+        for name in ("task_eligibility", "patch_members", "resolve_targets",
+                     "set_message_status", "burst_status", "schedule_diff"):
             assert "BroadcastHashJoin" not in plan_of(QUERIES[name](spark, SF_DIR)), name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
