@@ -18,3 +18,65 @@ WITH bare AS (
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM ranked
 """
+
+ORACLE["op1_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1),
+           '(^|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&+', '') AS query
+  FROM cut
+), keyed AS (
+  SELECT page_id, host, path,
+         regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '')
+           || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS key
+  FROM parts
+), listed AS (
+  SELECT DISTINCT key FROM keyed
+  WHERE key <> '' AND list_has_any(string_split(host, '.'), ['spam-farm', 'casino-win'])
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+         ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fitting AS (
+  SELECT page_id, k.host, k.path, k.key, rule_host || rule_path AS rule, verdict
+  FROM keyed k LEFT JOIN rules r
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), best AS (
+  SELECT page_id, host, path, key, max_by(rule, length(rule)) AS rule,
+         max_by(verdict, length(rule)) AS rule_verdict
+  FROM fitting GROUP BY page_id, host, path, key
+)
+SELECT page_id, host, path, rule,
+       coalesce(rule_verdict, CASE WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END)
+         AS verdict
+FROM best
+"""
+
+ORACLE["op2_chat_format"] = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role,
+         coalesce(text, '') AS text
+  FROM conversations
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+         list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS turns,
+         string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), ''
+                    ORDER BY turn, role, text) AS text
+  FROM turns GROUP BY conv_id
+), distinct_ones AS (
+  SELECT min(conv_id) AS conv_id, turns, any_value(n_turns) AS n_turns, count(*) AS n_logged,
+         any_value(text) AS text
+  FROM whole GROUP BY turns
+)
+SELECT conv_id, CAST(0 AS BIGINT) AS part, n_turns, n_logged, text FROM distinct_ones a
+WHERE NOT EXISTS (
+  SELECT 1 FROM distinct_ones b
+  WHERE b.turns[1] = a.turns[1] AND b.n_turns > a.n_turns AND b.turns[1:a.n_turns] = a.turns
+)
+"""
