@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parley.llm import chat, exact_dedup, packing, url_filter
+from parley.llm import chat, exact_dedup, packing, secrets, url_filter
 from parley.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +40,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_texts(read_table(spark, sf_dir, "conversations"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.col("found")).alias("spans"),
+        "n_random",
+    )
