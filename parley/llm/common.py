@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parley.sources.tables import shared_dir
 
@@ -53,3 +54,8 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a value that is worked out once, however often `f` uses it."""
+    return F.transform(F.array(value), f)[0]

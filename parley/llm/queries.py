@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chat, exact_dedup, packing, secrets, url_filter
+from parley.llm import chat, exact_dedup, mixing, packing, secrets, url_filter
 from parley.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined(F.col("found")).alias("spans"),
         "n_random",
     )
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.mixing_rates(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+    return rates.select(
+        "doc_id",
+        "tokens",
+        F.col("posterior")["0"].alias("p_low"),
+        F.col("posterior")["1"].alias("p_high"),
+        "rate",
+        "copies",
+    )
