@@ -257,9 +257,13 @@ def mix(
     The rates are worked out again from the text of each row, so that nothing is joined.
     """
     _, scores, path, _ = _fitted(docs, labels, targets, label_col, budget, max_rate, steps)
-    p = posteriors(bins(F.coalesce(F.col("text"), F.lit(""))), scores)
-    copies = _copies(
-        rate(p, path, max_rate), F.col("doc_id").cast("long"), F.xxhash64("text")
+    identity = (F.col("doc_id").cast("long"), F.xxhash64("text"))
+    copies = let(
+        posteriors(bins(F.coalesce(F.col("text"), F.lit(""))), scores),
+        lambda p: let(rate(p, path, max_rate), lambda r: _copies(r, *identity)),
+    )
+    times = let(
+        copies,
+        lambda n: F.when(n > 0, F.array_repeat(F.lit(0), n.cast("int"))),
     )
-    times = F.when(copies > 0, F.array_repeat(F.lit(0), copies.cast("int")))
     return docs.withColumn("_copy", F.explode(times)).drop("_copy")
