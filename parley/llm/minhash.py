@@ -8,8 +8,10 @@ the similarity asked for is missed with a chance of at most `MISS`.
 
 Documents with equal sets are one node. The nodes of a key are first held against one of them; what is
 linked then forms components, and only pairs of one key in different components are held against each
-other afterwards. So large groups of copies cost a few comparisons a document, and no link between
-components is lost. All links are confirmed on the full sets.
+other afterwards. Of the nodes that are left it is counted how many shingles each has alone: what two
+documents share is at most the rest, which rules out most pairs by numbers. So large groups
+of copies cost a few comparisons a document, and no link between components is lost. All links are confirmed
+on the full sets.
 """
 
 from __future__ import annotations
@@ -259,6 +261,17 @@ def _read_sets(size: int, words: np.ndarray):
     return read
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of each node."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        if sets:
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(np.concatenate(sets))], ["node", "shingle"]
+            )
+
+
 def _listed(words: np.ndarray, text_id: bytes) -> bool:
     x = int.from_bytes(text_id, "little")
     return bool(int(words[(x >> 32) % len(words)]) >> (x & 63) & 1)
@@ -357,14 +370,13 @@ class _Job:
             "near",
         )
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """`node` and `shingles` of some nodes, from the texts."""
         wanted = stash(
-            self.nodes.join(ends, "node", "left_semi").select("node", "set_id", "text_id"),
+            self.nodes.join(nodes, "node", "left_semi").select("node", "set_id", "text_id"),
             "wanted",
         )
-        sets = stash(
+        return stash(
             self.texts.mapInArrow(
                 _read_sets(self.words, _filter_of(wanted)), "set_id binary, shingles binary"
             )
@@ -373,6 +385,9 @@ class _Job:
             .select("node", "shingles"),
             "sets",
         )
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose full sets are similar enough."""
         one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
         two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
         with settings(self.texts.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch="256"):
@@ -383,9 +398,6 @@ class _Job:
                 "links",
             )
 
-    def labels(self, links: DataFrame) -> DataFrame:
-        return components(links).select("node", "component")
-
     def run(self) -> DataFrame:
         """`node` and `component` for the nodes that are linked with another."""
         members = self.members()
@@ -394,51 +406,95 @@ class _Job:
             .select(F.col("node").alias("a"), F.col("hub").alias("b"))
             .distinct()
         )
-        # The nearest hub of each node first.
-        best = stars.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("best")).select(
-            "a", F.col("best.b").alias("b")
+        best = self.nearest(stars)
+        ends = best.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        links = self.confirmed(best, self.sets(ends))
+        labels = components(links)
+        left = self.open_keys(members.select("key", "node"), labels)
+        if left.isEmpty():
+            return labels
+        # Then whatever may still join two components, first to the node of a key that has least alone.
+        sets = self.sets(left.select("node").distinct())
+        left = stash(left.join(self.alone(sets), "node"), "sized")
+        hubs = stash(
+            left.groupBy("key")
+            .agg(F.min(F.struct(F.col("alone") / F.col("n"), "node")).alias("hub"))
+            .select("key", F.col("hub.node").alias("node")),
+            "hubs",
         )
-        links = self.confirmed(stash(best, "best"))
-        labels = self.labels(links)
-        # Then whatever may still join two components: other hubs, and members of a key to each other.
-        rest = self.across(members, labels).join(best, ["a", "b"], "left_anti")
-        rest = self.near(rest)
-        if not rest.isEmpty():
-            links = links.unionAll(self.confirmed(rest))
-            labels = self.labels(links)
-        return labels
-
-    def across(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Distinct pairs of one key in different components, larger node first."""
-        sized = self.nodes.select("node", "n")
-        known = (
-            members.select("key", "node")
-            .join(labels, "node", "left")
-            .withColumn("component", F.coalesce("component", "node"))
+        hubs = stash(left.join(hubs, ["key", "node"]), "hubs")
+        tried = self.nearest(self.near(self.across(left, hubs)))
+        links = stash(links.unionAll(self.confirmed(tried, sets)), "links")
+        labels = components(links)
+        left = self.open_keys(left.select("key", "node", "n", "alone"), labels)
+        rest = self.near(
+            self.across(left, left)
+            .join(best.unionAll(tried), ["a", "b"], "left_anti")
         )
-        known = stash(known, "known")
-        open_keys = stash(
+        if rest.isEmpty():
+            return labels
+        return components(links.unionAll(self.confirmed(rest, sets)))
+
+    @staticmethod
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """For each `a` the pair whose signatures differ least."""
+        best = pairs.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("best"))
+        return stash(best.select("a", F.col("best.b").alias("b")), "nearest")
+
+    @staticmethod
+    def open_keys(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """The members, with `component`, of keys that have nodes of different components."""
+        known = stash(
+            members.join(labels, "node", "left").withColumn(
+                "component", F.coalesce("component", "node")
+            ),
+            "known",
+        )
+        keys = stash(
             known.groupBy("key")
             .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
             .filter("_low <> _high")
             .select("key"),
             "open",
         )
-        left = stash(known.join(open_keys, "key", "left_semi").join(sized, "node"), "across")
-        one = left.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n")))
-        two = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n")))
-        sizes = (
-            100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        return stash(known.join(keys, "key", "left_semi"), "left")
+
+    def alone(self, sets: DataFrame) -> DataFrame:
+        """`node`, its number of shingles `n`, and `alone`: those that no other of the nodes has."""
+        each = sets.mapInArrow(_spread, "node long, shingle long")
+        unshared = (
+            each.groupBy("shingle")
+            .agg(F.count("*").alias("nodes"), F.min("node").alias("node"))
+            .filter("nodes = 1")
+            .groupBy("node")
+            .agg(F.count("*").alias("alone"))
+        )
+        return stash(
+            sets.select("node", (F.length("shingles") / 8).cast("long").alias("n"))
+            .join(unshared, "node", "left")
+            .withColumn("alone", F.coalesce("alone", F.lit(0).cast("long"))),
+            "alone",
+        )
+
+    def across(self, some: DataFrame, others: DataFrame) -> DataFrame:
+        """Distinct pairs of one key in different components whose numbers allow a link."""
+        one, two = (
+            side.select("key", *(F.col(c).alias(f"{c}_{x}") for c in _NUMBERS))
+            for side, x in ((some, "x"), (others, "y"))
         )
+        shared = F.least(F.col("n_x") - F.col("alone_x"), F.col("n_y") - F.col("alone_y"))
+        possible = 100 * shared >= self.percent * (F.col("n_x") + F.col("n_y") - shared)
         return (
             one.join(two, "key")
-            .filter((F.col("node_a") > F.col("node_b")) & sizes)
-            .filter("component_a <> component_b")
-            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+            .filter((F.col("component_x") != F.col("component_y")) & possible)
+            .select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"))
             .distinct()
         )
 
 
+_NUMBERS = ("node", "component", "n", "alone")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle_words: int = SHINGLE_WORDS,
