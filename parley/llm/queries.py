@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chat, embedding_dedup, exact_dedup, minhash, mixing, packing, secrets, url_filter
+from parley.llm import (
+    chat,
+    embedding_dedup,
+    exact_dedup,
+    minhash,
+    mixing,
+    packing,
+    secrets,
+    toxicity,
+    url_filter,
+)
 from parley.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +91,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
