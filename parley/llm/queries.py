@@ -14,6 +14,7 @@ from parley.llm import (
     minhash,
     mixing,
     packing,
+    pii,
     secrets,
     toxicity,
     url_filter,
@@ -98,3 +99,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     )
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("found")).alias("spans"),
+    )
