@@ -8,8 +8,8 @@ the similarity asked for is missed with a chance of at most `MISS`.
 
 Documents with equal sets are one node. The nodes of a key are first held against one of them; what is
 linked then forms components, and only pairs of one key in different components are held against each
-other afterwards. Of the nodes that are left it is counted how many shingles each has alone: what two
-documents share is at most the rest, which rules out most pairs by numbers. So large groups
+other afterwards. Of the nodes that are left it is counted how many shingles no other component has: what nodes of two
+components share is at most the rest, which rules out most pairs by numbers. So large groups
 of copies cost a few comparisons a document, and no link between components is lost. All links are confirmed
 on the full sets.
 """
@@ -40,7 +40,7 @@ FAR = 1e-7
 #: Words of 64 bits of the filter that tells which texts to read again: 2 MB.
 FILTER_WORDS = 1 << 18
 #: Bytes of text that are hashed at a time.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 _U = np.uint64
 
@@ -262,13 +262,18 @@ def _read_sets(size: int, words: np.ndarray):
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shingle of each node."""
+    """One row for each shingle of each node, with its component."""
     for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
         if sets:
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            sizes = [len(x) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes), pa.array(np.concatenate(sets))], ["node", "shingle"]
+                [
+                    *(pa.array(np.repeat(batch.column(c).to_numpy(), sizes))
+                      for c in ("node", "component")),
+                    pa.array(np.concatenate(sets)),
+                ],
+                ["node", "component", "shingle"],
             )
 
 
@@ -415,7 +420,7 @@ class _Job:
             return labels
         # Then whatever may still join two components, first to the node of a key that has least alone.
         sets = self.sets(left.select("node").distinct())
-        left = stash(left.join(self.alone(sets), "node"), "sized")
+        left = self.numbered(left, sets)
         hubs = stash(
             left.groupBy("key")
             .agg(F.min(F.struct(F.col("alone") / F.col("n"), "node")).alias("hub"))
@@ -426,7 +431,8 @@ class _Job:
         tried = self.nearest(self.near(self.across(left, hubs)))
         links = stash(links.unionAll(self.confirmed(tried, sets)), "links")
         labels = components(links)
-        left = self.open_keys(left.select("key", "node", "n", "alone"), labels)
+        left = self.open_keys(left.select("key", "node"), labels)
+        left = self.numbered(left, sets)
         rest = self.near(
             self.across(left, left)
             .join(best.unionAll(tried), ["a", "b"], "left_anti")
@@ -459,21 +465,28 @@ class _Job:
         )
         return stash(known.join(keys, "key", "left_semi"), "left")
 
-    def alone(self, sets: DataFrame) -> DataFrame:
-        """`node`, its number of shingles `n`, and `alone`: those that no other of the nodes has."""
-        each = sets.mapInArrow(_spread, "node long, shingle long")
-        unshared = (
+    def numbered(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """The members with `n` shingles, of which `alone` are in no node of another component."""
+        nodes = stash(
+            members.select("node", "component").distinct().join(sets, "node"), "component-sets"
+        )
+        each = nodes.mapInArrow(_spread, "node long, component long, shingle long")
+        within = stash(
             each.groupBy("shingle")
-            .agg(F.count("*").alias("nodes"), F.min("node").alias("node"))
-            .filter("nodes = 1")
-            .groupBy("node")
-            .agg(F.count("*").alias("alone"))
+            .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+            .filter("_low = _high")
+            .select("shingle"),
+            "within",
         )
-        return stash(
-            sets.select("node", (F.length("shingles") / 8).cast("long").alias("n"))
-            .join(unshared, "node", "left")
+        alone = each.join(within, "shingle").groupBy("node").agg(F.count("*").alias("alone"))
+        numbers = stash(
+            nodes.select("node", (F.length("shingles") / 8).cast("long").alias("n"))
+            .join(alone, "node", "left")
             .withColumn("alone", F.coalesce("alone", F.lit(0).cast("long"))),
-            "alone",
+            "numbers",
+        )
+        return stash(
+            members.select("key", "node", "component").join(numbers, "node"), "numbered"
         )
 
     def across(self, some: DataFrame, others: DataFrame) -> DataFrame:
