@@ -29,8 +29,11 @@ BURST_GAP_SECONDS = 10
 
 
 def dedup_messages(batch: DataFrame, order: Sequence[str] = ("create_time",)) -> DataFrame:
-    """The first message of each `msg_id`."""
-    return first_per_key(batch, ["msg_id"], order)
+    """The first message of each `msg_id` (T2, Q11); messages without one are all kept."""
+    # A number of its own for each message without an id, which also spreads them.
+    own = F.when(F.col("msg_id").isNull(), F.monotonically_increasing_id())
+    marked = batch.withColumn("_own", own)
+    return first_per_key(marked, ["msg_id", "_own"], order).drop("_own")
 
 
 def new_messages(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -120,8 +123,10 @@ def assign_bursts(
 
     A burst ends when its sender is quiet for more than `gap` seconds.
     `burst_position` counts from 0 in order of `create_time`, then `id_col`, a
-    unique whole number. Senders of more than `window_rows` messages are worked
-    on in parts.
+    unique whole number. A message without a time is a burst of its own;
+    `burst_number`, the place of a burst's first message among the sender's, tells
+    such bursts apart. Senders of more than `window_rows` messages are worked on in
+    parts.
     """
     order = ["create_time", id_col]
     rows, split = split_groups(
@@ -135,6 +140,7 @@ def assign_bursts(
     return rows.select(
         *messages.columns,
         F.col("_burst.time").alias("burst_start"),
+        F.col("_burst.number").alias("burst_number"),
         (F.col("_number") - F.col("_burst.number")).alias("burst_position"),
     )
 
@@ -164,13 +170,14 @@ def merge_assigned(
     """
     part = F.floor(F.col("burst_position") / size)
     text = F.struct("burst_position", F.coalesce("content", F.lit("")).alias("content"))
-    merged = bursts.groupBy(*keys, "burst_start", part.alias("part")).agg(
+    number = [c for c in ("burst_number",) if c in bursts.columns]
+    merged = bursts.groupBy(*keys, "burst_start", *number, part.alias("part")).agg(
         F.count(F.lit(1)).alias("message_count"),
         F.max("create_time").alias("last_received"),
         F.array_sort(F.collect_list(text)).alias("_texts"),
     )
     content = F.array_join(F.transform("_texts", lambda x: x["content"]), "\n")
-    return merged.withColumn("content", content).drop("_texts")
+    return merged.withColumn("content", content).drop("_texts", *number)
 
 
 def burst_status(bursts: DataFrame, friends: DataFrame, replies: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.replies import balanced_text, strict_json, tidied_text, unwrapped_text
@@ -16,9 +16,13 @@ PARSE_FAILED = "JSON_PARSE_FAILED"
 # Operations are read as maps: an absent column and a null one mean different things.
 REPLY_SCHEMA = (
     "`continue` string, message array<string>, cron array<map<string,string>>, "
-    "summarize array<struct<friend_id: int, task_name: string, result: string, "
-    "summarize: string, suggestion: string, date: string, score: int>>"
+    "summarize array<map<string,string>>"
 )
+# Columns of a summary record; numbers may come as text or with a fraction.
+SUMMARY_COLUMNS = {
+    "friend_id": "int", "task_name": "string", "result": "string", "summarize": "string",
+    "suggestion": "string", "date": "string", "score": "int",
+}
 
 
 def repair_json(df: DataFrame, col: str) -> DataFrame:
@@ -85,10 +89,19 @@ def reply_task_ops(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def reply_summaries(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per summary record, as the record table takes it (K6)."""
-    return replies.select(*keys, F.posexplode("reply_doc.summarize").alias("position", "_record")).where(
-        F.col("_record").isNotNull()
-    ).select(*keys, "position", "_record.*")
+    """One row per summary record, as the record table takes it (K6).
+
+    A number may be text; a fraction is rounded, and what is no number is null.
+    """
+    listed = replies.select(*keys, F.posexplode("reply_doc.summarize").alias("position", "_record"))
+
+    def value(name: str, kind: str) -> Column:
+        text = F.try_element_at("_record", F.lit(name))
+        return F.round(text.try_cast("double")).try_cast("int") if kind == "int" else text
+
+    return listed.where(F.col("_record").isNotNull()).select(
+        *keys, "position", *(value(c, kind).alias(c) for c, kind in SUMMARY_COLUMNS.items())
+    )
 
 
 # The wording of the notice.

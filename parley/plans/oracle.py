@@ -128,7 +128,7 @@ TABLES = {
                     WHEN f.is_active <> 1 THEN 'friend_inactive'
                     WHEN f.ai_active <> 1 THEN 'friend_ai_off'
                     ELSE 'ok' END AS verdict
-        FROM validity v LEFT JOIN (SELECT * FROM friends WHERE account_id <> 3) f ON f.id = v.friend_id""",
+        FROM validity v LEFT JOIN friends f ON f.id + 20 = v.friend_id""",
     "frames": """
         SELECT id AS arrival, auth_key, msg_id,
                CASE WHEN id % 13 <> 0 THEN from_user END AS from_user, to_user,
@@ -500,7 +500,7 @@ FROM (SELECT * FROM tasks WHERE is_active = 1) w
 FULL JOIN (SELECT o_orderkey + 10 AS id,
                   CASE WHEN o_orderkey % 3 <> 0 THEN {_listed(CRONS)}[o_orderkey % 10 + 1]
                        WHEN o_orderkey % 2 = 0 THEN '0 0 1 * * *' END AS cron
-           FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01') p ON p.id = w.id""")
+           FROM orders) p ON p.id = w.id""")
 oracle("active_task_json", "task_lists", "SELECT friend_id, '' AS part, task_count, items FROM task_lists")
 oracle("apply_task_ops", "tasks ops", f"""
 SELECT t.id AS old_id, t.friend_id, coalesce(n.task_name, t.task_name) AS task_name,
@@ -616,8 +616,9 @@ oracle("ws_status_patches", "state_events accounts", f"""
 SELECT id, ws_status, CAST(code AS VARCHAR) AS new_status, state
 FROM (SELECT a.id, a.ws_status, coalesce(s.state, 'NOT_FOUND') AS state,
              CASE s.state {CODE} ELSE 3 END AS code
-      FROM accounts a LEFT JOIN (SELECT url, arg_max(state, timestamp) AS state FROM state_events
-                                 WHERE url <> 'a3' GROUP BY url) s ON s.url = a.wx_id) p
+      FROM accounts a LEFT JOIN (SELECT CASE url WHEN 'a3' THEN 'gone' ELSE url END AS url,
+                                        arg_max(state, timestamp) AS state
+                                 FROM state_events GROUP BY 1) s ON s.url = a.wx_id) p
 WHERE CAST(ws_status AS INTEGER) <> code""")
 
 # --- conversations and prompts ----------------------------------------------

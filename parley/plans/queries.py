@@ -427,17 +427,19 @@ def retire_tasks(s):
     return changes.retire_tasks(s.tasks(), ORDERS_NOW).select("id", "is_active", "update_time")
 
 
+def _shifted_friends(s):
+    """All contacts under ids further on, so that some tasks have none."""
+    return s.friends().withColumn("id", (F.col("id") + 20).cast(s.friends().schema["id"].dataType))
+
+
 def _eligible(s):
-    # One account's contacts are gone, so that some tasks have none.
-    friends = s.friends().where("account_id <> 3")
-    return tasks.task_eligibility(s.tasks(), friends, ORDERS_NOW)
+    return tasks.task_eligibility(s.tasks(), _shifted_friends(s), ORDERS_NOW)
 
 
 @query
 def task_eligibility(s):
     due = s.tasks().select((F.col("id") * 2).alias("task_id"))
-    friends = s.friends().where("account_id <> 3")
-    judged = tasks.task_eligibility(s.tasks(), friends, ORDERS_NOW, due)
+    judged = tasks.task_eligibility(s.tasks(), _shifted_friends(s), ORDERS_NOW, due)
     return judged.select("task_id", "friend_id", "wxid", "verdict")
 
 
@@ -466,7 +468,7 @@ def resolve_targets(s):
 
 @query
 def schedule_diff(s):
-    present = s.tasks().where("create_time < '2000-01-01'").select(
+    present = s.tasks().select(
         (F.col("id") + 10).alias("id"),
         F.when(every("id", 3), pick(("0 0 1 * * *", None), F.col("id") % 2))
         .otherwise(pick(CRONS, F.col("id") % len(CRONS)))
@@ -688,7 +690,9 @@ def state_changes(s):
 
 @query
 def ws_status_patches(s):
-    tracked = ingest.connection_status(s.state_events().where("url <> 'a3'"))
+    # Events of one connection come under a name no account has.
+    renamed = F.when(F.col("url") == "a3", "gone").otherwise(F.col("url"))
+    tracked = ingest.connection_status(s.state_events().withColumn("url", renamed))
     return ingest.ws_status_patches(s.accounts(), tracked, "wx_id")
 
 

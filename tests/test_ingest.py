@@ -230,3 +230,29 @@ def test_shared_folder_is_the_one_the_session_names():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: settings.get(key, default)))
     assert shared_dir(session, "x").startswith("/shared/place/x-")
     assert shared_dir(session, "x") != shared_dir(session, "x")
+
+
+def test_messages_without_a_time_are_bursts_of_their_own(spark, rows):
+    messages = rows(
+        "id int, from_user string, to_user string, create_time bigint, content string",
+        *[(i, "a", "b", None, f"t{i}") for i in range(25)],
+        (100, "a", "b", 50, "x"), (101, "a", "b", 55, "y"), (102, "a", "b", 90, "z"),
+    )
+    got = ingest.merge_bursts(messages, 10, size=10).collect()
+    assert sorted(r.content for r in got) == sorted([*(f"t{i}" for i in range(25)), "x\ny", "z"])
+    assert all(r.part == 0 for r in got)
+    # The same where the sender is worked on in parts.
+    parts = ingest.merge_assigned(ingest.assign_bursts(messages, 10, window_rows=4)).collect()
+    assert sorted(r.content for r in parts) == sorted(r.content for r in got)
+
+
+def test_messages_without_an_id_are_all_kept(rows):
+    batch = rows(
+        "msg_id string, create_time bigint, content string",
+        (None, 1, "a"), (None, 1, "a"), ("m", 2, "late"), ("m", 1, "first"),
+    )
+    got = ingest.dedup_messages(batch)
+    assert got.columns == ["msg_id", "create_time", "content"]
+    assert sorted((str(r.msg_id), r.content) for r in got.collect()) == [
+        ("None", "a"), ("None", "a"), ("m", "first")
+    ]
