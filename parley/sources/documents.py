@@ -9,11 +9,11 @@ from parley.functions.clock import epoch_seconds
 from parley.functions.replies import strict_json
 
 # Shapes of the documents.
+# Scalars are read as text, so that a number sent as text, or an odd field, spoils no frame.
 FRAME_SCHEMA = (
-    "msg_id long, from_user_name struct<str: string>, to_user_name struct<str: string>, "
-    "msg_type int, content struct<str: string>, status int, img_status int, "
-    "img_buf struct<len: int, buffer: string>, create_time long, msg_source string, "
-    "push_content string, new_msg_id long"
+    "msg_id string, from_user_name struct<str: string>, to_user_name struct<str: string>, "
+    "msg_type string, content struct<str: string>, create_time string, push_content string, "
+    "new_msg_id string"
 )
 CONTACTS_SCHEMA = (
     "Code string, Data struct<count: long, IsInitFinished: boolean, friendList: array<struct<"
@@ -39,33 +39,37 @@ OK_CODE = "200"
 RAW_SCHEMA = "value string, auth_key string, arrival long"
 
 
+def _whole(text: Column) -> Column:
+    """A whole number in text; fractions are cut."""
+    return F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long"))
+
+
 def parse_frames(raw: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Frames of JSON text in `value`: the good ones flattened, and the bad ones (S3).
 
-    Spark's reader takes some text that is not JSON, such as text after the
-    closing brace. `strict` refuses that too, at the price of an Arrow UDF.
-    Other columns of `raw` are kept. `raw_data` is the text as it came.
+    A frame is good if it is one JSON object; fields that are not of their kind are null. Spark's
+    reader takes some text that is not JSON, such as text after the closing brace; `strict`
+    refuses that too. Other columns of `raw` are kept. `raw_data` is the text as it came.
     """
     carried = [c for c in raw.columns if c != "value"]
     schema = FRAME_SCHEMA + ", _corrupt string"
     options = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
     read = raw.withColumn("_frame", F.from_json("value", schema, options))
-    fine = F.col("_frame").isNotNull() & F.col("_frame._corrupt").isNull()
-    if strict:
-        fine = fine & strict_json(F.col("value"))
+    whole = F.startswith(F.ltrim("value", F.lit(" \t\r\n")), F.lit("{"))
+    fine = whole & (strict_json(F.col("value")) if strict else F.col("_frame._corrupt").isNull())
     # One column, so that the check of a row is made once.
     read = read.withColumn("_fine", F.coalesce(fine, F.lit(False)))
     frame = F.col("_frame")
     good = read.where("_fine").select(
         *carried,
-        frame["msg_id"].cast("string").alias("msg_id"),
+        frame["msg_id"].alias("msg_id"),
         frame["from_user_name"]["str"].alias("from_user"),
         frame["to_user_name"]["str"].alias("to_user"),
-        frame["msg_type"].alias("msg_type"),
+        _whole(frame["msg_type"]).try_cast("int").alias("msg_type"),
         frame["content"]["str"].alias("content"),
-        epoch_seconds(frame["create_time"]).alias("create_time"),
+        epoch_seconds(_whole(frame["create_time"])).alias("create_time"),
         frame["push_content"].alias("push_content"),
-        frame["new_msg_id"].alias("new_msg_id"),
+        _whole(frame["new_msg_id"]).alias("new_msg_id"),
         F.col("value").alias("raw_data"),
     )
     bad = read.where(~F.col("_fine")).select(*carried, "value")

@@ -256,3 +256,18 @@ def test_messages_without_an_id_are_all_kept(rows):
     assert sorted((str(r.msg_id), r.content) for r in got.collect()) == [
         ("None", "a"), ("None", "a"), ("m", "first")
     ]
+
+
+def test_frames_with_fields_of_another_kind_are_good(rows):
+    texts = [
+        '{"msg_id":"m1","from_user_name":{"str":"u"},"create_time":"1000","msg_type":"1"}',
+        '{"msg_id":2,"from_user_name":{"str":"u"},"create_time":1000.5,"img_buf":"odd","msg_type":[]}',
+        '{"msg_id":3,"from_user_name":"u"}', "[1]", "3", '{"msg_id":4}x',
+    ]
+    raw = rows(RAW, *[(t, "k", i) for i, t in enumerate(texts)])
+    good, bad = documents.parse_frames(raw)
+    got = {r.arrival: (r.msg_id, r.from_user, r.create_time, r.msg_type) for r in good.collect()}
+    assert got == {
+        0: ("m1", "u", 1000, 1), 1: ("2", "u", 1000, None), 2: ("3", None, None, None)
+    }
+    assert sorted(r.arrival for r in bad.collect()) == [3, 4, 5]

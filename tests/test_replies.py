@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from parley.functions.replies import cleaned_text
+from parley.functions.replies import cleaned_text, strict_json
 from parley.functions.values import raw_json
 from parley.operators import listings, prompts, replies, tasks
 
@@ -236,3 +236,46 @@ def test_spoken_time_and_passwords(rows):
     assert row.h == hashlib.md5(b"secrets").hexdigest()
     assert row.before == "1969-12-31 23:59:59"
     assert row.e == 1710037800
+
+
+def test_strict_json_agrees_with_a_strict_reader(rows):
+    """Texts of all kinds and small damages, against the standard library with constants refused."""
+
+    def refuse(name):
+        raise ValueError(name)
+
+    def valid(text):
+        try:
+            json.loads(text, parse_constant=refuse)
+        except ValueError:
+            return False
+        return True
+
+    texts = [
+        "", " ", "{}", "[]", "1", "-0", "01", "1.", ".5", "1E+", '"a"', "'a'", '{"a":1}x', '{"a":1}{"b":2}',
+        "[1,]", "{a:1}", "NaN", "[Infinity]", "true", "nul", '"\t"', '"\\x"', '1,"y":2', "1}",
+        '1},{"x":2', ' {"a":1} \n', "\xa0{}", '{"a":1,"a":2}', "/*c*/1", '{"x":1,"e":2}', "\x00",
+    ]
+    rnd, signs = random.Random(1), '{}[]",:\\ 01-.eEtruefalsn\'\n ab'
+    for _ in range(1500):
+        text = list('{"a":[1,2.5e3,true,null,"x\\"y"],"b":{"c":"d"}}')
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(text))
+            text[i : i + rnd.randint(0, 1)] = [rnd.choice(signs)] * rnd.randint(0, 1)
+        texts.append("".join(text))
+    df = rows("i int, text string", *enumerate(texts), (-1, None))
+    got = {r.i: r.ok for r in df.select("i", strict_json(F.col("text")).alias("ok")).collect()}
+    assert got.pop(-1) is False
+    assert [texts[i] for i, ok in got.items() if ok != valid(texts[i])] == []
+
+
+def test_summary_numbers_may_be_text(rows):
+    text = json.dumps({"summarize": [
+        {"friend_id": "3", "score": "8"}, {"friend_id": 4, "score": 7.5}, {"friend_id": "x", "score": None},
+        None, {"friend_id": [1]},
+    ]})
+    parsed = replies.parse_replies(rows("reply_id int, text string", (1, text)), "text")
+    got = sorted(replies.reply_summaries(parsed, ["reply_id"]).collect(), key=lambda r: r.position)
+    assert [(r.position, r.friend_id, r.score) for r in got] == [
+        (0, 3, 8), (1, 4, 8), (2, None, None), (4, None, None)
+    ]
