@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.clock import hours_after, moment
@@ -52,6 +52,7 @@ def member_reminder(members: DataFrame, block_ids: int = PART_ROWS) -> DataFrame
     The list covers all members and has no bound, so it comes in blocks of
     consecutive ids: the lists of the blocks, in order and joined with commas,
     are the whole list. Only one block is ever put together in one place.
+    `reminder_pieces` makes the one message of them.
     """
     block = F.floor(F.col("id") / block_ids).cast("long")
     # A missing name still takes its place in the list, as empty text.
@@ -66,6 +67,21 @@ def member_reminder(members: DataFrame, block_ids: int = PART_ROWS) -> DataFrame
     )
 
 
+def reminder_pieces(listed: DataFrame, ending: str = EXPIRED_END) -> DataFrame:
+    """The blocks of `member_reminder` as pieces of one message: `piece, member_count, content`.
+
+    In order of `piece` the contents, put together, are the message: it opens once and ends once.
+    """
+    order = Window.orderBy("block")
+    start = F.when(F.row_number().over(order) == 1, REMINDER_START).otherwise(",")
+    end = F.when(F.lead("block").over(order).isNull(), ending).otherwise("")
+    return listed.select(
+        (F.row_number().over(order) - 1).cast("long").alias("piece"),
+        "member_count",
+        F.concat(start, F.col("names"), end).alias("content"),
+    )
+
+
 def reminder_text(names: Column, ending: str = EXPIRED_END) -> Column:
     """The reminder message around a list of names."""
     return F.concat(F.lit(REMINDER_START), names, F.lit(ending))

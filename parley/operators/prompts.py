@@ -349,7 +349,10 @@ def burst_requests(bursts: DataFrame, friends: DataFrame) -> DataFrame:
     text = F.when(later, F.concat(F.lit("\n"), F.col("content"))).otherwise(F.col("content"))
     asked = bursts.where(later | ~blank(F.col("content")))
     return asked.join(members, "from_user").select(
-        F.concat_ws("/", "from_user", "to_user", "burst_start").alias("request_id"),
+        # A missing receiver keeps its place, so that ids of other bursts are not met.
+        F.concat_ws(
+            "/", "from_user", F.coalesce("to_user", F.lit("")), "burst_start"
+        ).alias("request_id"),
         "friend_id",
         "part",
         text.alias("text"),

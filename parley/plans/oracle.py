@@ -396,9 +396,12 @@ oracle("expiring_members", "friends", f"""
 SELECT id, nickname, end_time FROM friends
 WHERE is_active = 1 AND end_time BETWEEN {EVENTS_NOW} AND {EVENTS_NOW} + INTERVAL 24 HOUR""")
 oracle("member_reminder", "friends", f"""
-SELECT id // 10000 AS block, count(*) AS member_count,
-       '注意：' || string_agg(coalesce(nullif(remark, ''), nickname), ',' ORDER BY id) || ' 会员已到期' AS content
-FROM friends WHERE {LAPSED} GROUP BY 1""")
+SELECT row_number() OVER (ORDER BY block) - 1 AS piece, member_count,
+       CASE WHEN row_number() OVER (ORDER BY block) = 1 THEN '注意：' ELSE ',' END || names
+         || CASE WHEN lead(block) OVER (ORDER BY block) IS NULL THEN ' 会员已到期' ELSE '' END AS content
+FROM (SELECT id // 10000 AS block, count(*) AS member_count,
+             string_agg(coalesce(nullif(remark, ''), nickname), ',' ORDER BY id) AS names
+      FROM friends WHERE {LAPSED} GROUP BY 1) b""")
 oracle("expire_members", "friends", f"""
 SELECT id, CASE WHEN {LAPSED} THEN 0 ELSE is_active END AS is_active,
        CASE WHEN {LAPSED} THEN 0 ELSE ai_active END AS ai_active,

@@ -229,10 +229,7 @@ def expiring_members(s):
 @query
 def member_reminder(s):
     lapsed = members.expired_members(s.friends(), EVENTS_NOW)
-    listed = members.member_reminder(lapsed)
-    return listed.select(
-        "block", "member_count", members.reminder_text(F.col("names")).alias("content")
-    )
+    return members.reminder_pieces(members.member_reminder(lapsed))
 
 
 @query

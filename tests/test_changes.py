@@ -66,6 +66,10 @@ def test_members_at_the_boundaries(rows):
     text = members.reminder_text(F.col("names"), members.EXPIRING_END)
     (row,) = members.member_reminder(friends.where("id IN (2, 3)")).select(text.alias("t")).collect()
     assert row.t == "注意：r2,n3 会员将在24小时内到期"
+    pieces = members.reminder_pieces(members.member_reminder(friends.where("id IN (2, 3)"), 3))
+    assert [(r.piece, r.member_count, r.content) for r in pieces.orderBy("piece").collect()] == [
+        (0, 1, "注意：r2"), (1, 1, ",n3 会员已到期")
+    ]
 
 
 CONTACT = "account_id int, position int, wxid string, nickname string, avatar string, remark string, signature string, province string, city string, country string"
