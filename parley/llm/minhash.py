@@ -429,13 +429,17 @@ class _Job:
         )
         hubs = stash(left.join(hubs, ["key", "node"]), "hubs")
         tried = self.nearest(self.near(self.across(left, hubs)))
+        done = best.unionAll(tried).select(
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+        )
         links = stash(links.unionAll(self.confirmed(tried, sets)), "links")
         labels = components(links)
         left = self.open_keys(left.select("key", "node"), labels)
         left = self.numbered(left, sets)
         rest = self.near(
             self.across(left, left)
-            .join(best.unionAll(tried), ["a", "b"], "left_anti")
+            .filter("a > b")
+            .join(done, ["a", "b"], "left_anti")
         )
         if rest.isEmpty():
             return labels
@@ -490,7 +494,8 @@ class _Job:
         )
 
     def across(self, some: DataFrame, others: DataFrame) -> DataFrame:
-        """Distinct pairs of one key in different components whose numbers allow a link."""
+        """Distinct pairs (a of some, b of others) of a key, in different components, that their
+        numbers allow to be linked."""
         one, two = (
             side.select("key", *(F.col(c).alias(f"{c}_{x}") for c in _NUMBERS))
             for side, x in ((some, "x"), (others, "y"))
@@ -500,7 +505,7 @@ class _Job:
         return (
             one.join(two, "key")
             .filter((F.col("component_x") != F.col("component_y")) & possible)
-            .select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"))
+            .select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
             .distinct()
         )
 
