@@ -30,18 +30,6 @@ def stash(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder that `stash` made."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a stashed table that nothing reads any more."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        drop_path(df.sparkSession, folder)
-
-
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings for the jobs run inside; underscores stand for dots."""
