@@ -16,7 +16,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups up to this size are collected into one row, or sorted in one task.
+# Rows of a burst or reminder in one row, and groups up to this size sorted in one task.
 PART_ROWS = 10_000
 WINDOW_ROWS = 1_000_000
 # Tables of up to this many rows are broadcast, after they have been counted.
@@ -137,9 +137,11 @@ def split_groups(
 
 
 def split_large_groups(
-    rows: DataFrame, keys: Sequence[str], levels: Sequence[Column], size: int = PART_ROWS
+    rows: DataFrame, keys: Sequence[str], levels: Sequence[Column], size: int | None = None
 ) -> DataFrame:
-    """`split_groups` for callers that treat all groups alike."""
+    """`split_groups` for callers that treat all groups alike; without `size` none is split."""
+    if size is None:
+        return rows.withColumn("part", no_part())
     return split_groups(rows, keys, levels, size)[0]
 
 
@@ -210,12 +212,12 @@ def pack_ordered(
     keys: Sequence[str],
     order: Sequence[str],
     value: Column,
-    levels: Sequence[Column],
-    size: int = PART_ROWS,
+    levels: Sequence[Column] = (),
+    size: int | None = None,
 ) -> DataFrame:
     """One row per group with its values as an ordered array: `keys, part, items`.
 
-    Groups of more than `size` rows come in several rows, ordered by `part`.
+    With `size`, groups of more rows than that come in several rows, ordered by `part`.
     """
     parts = split_large_groups(rows, keys, levels, size)
     listed = F.array_sort(F.collect_list(F.struct(*order, value.alias("_value"))))
@@ -226,14 +228,14 @@ def pack_ordered(
     )
 
 
-def time_levels(time: str, id_col: str, size: int) -> list[Column]:
+def time_levels(time: str, id_col: str, size: int | None) -> list[Column]:
     """Levels for rows in order of epoch seconds, then unique id: hour, second, block of ids."""
     return [F.floor(F.col(time) / 3600), F.col(time), id_block(id_col, size)]
 
 
-def id_block(column: str, size: int = PART_ROWS) -> Column:
+def id_block(column: str, size: int | None = None) -> Column:
     """Block of `size` consecutive ids a row falls in."""
-    return F.floor(F.col(column) / size)
+    return F.floor(F.col(column) / (size or PART_ROWS))
 
 
 def part_text(part: Column) -> Column:

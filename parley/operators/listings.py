@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.clock import from_epoch, time_text
-from parley.functions.ordered import PART_ROWS, id_block, is_small, no_part, split_large_groups
+from parley.functions.ordered import id_block, is_small, no_part, split_large_groups
 from parley.functions.values import raw_json
 from parley.operators.calendar import describe_cron
 from parley.operators.filters import apply_filters, paginate, search_contains
@@ -74,13 +74,14 @@ def tasks_of_friend(tasks: DataFrame, friend_id: int) -> DataFrame:
 
 
 def friends_with_tasks(
-    friends: DataFrame, tasks: DataFrame, size: int = PART_ROWS
+    friends: DataFrame, tasks: DataFrame, size: int | None = None
 ) -> DataFrame:
     """Every contact with its active tasks, nested in id order.
 
-    A contact with more than `size` tasks comes in several rows, one per `part`,
-    which in order hold all its tasks. For a page or another small set of
-    contacts only their tasks are shuffled.
+    A contact is one row, however many tasks it has. Only if a `size` is asked for,
+    one with more tasks comes in several rows, one per `part`, which in order hold
+    all its tasks. For a page or another small set of contacts only their tasks are
+    shuffled.
     """
     people = friends.select(F.col("id").alias("friend_id"))
     if is_small(people):

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from parley.functions.clock import hours_before, spoken_now, time_text
 from parley.functions.ordered import (
-    PART_ROWS,
     broadcast_if_small,
     first_per_key,
     no_part,
@@ -208,7 +207,7 @@ def _insert_lists(filled: DataFrame, lists: DataFrame, key: str, placeholder: st
     )
 
 
-def _history_json(turns: DataFrame, size: int) -> DataFrame:
+def _history_json(turns: DataFrame, size: int | None) -> DataFrame:
     """Histories as the inside of a JSON list, in parts: `request_id, part, items`."""
     levels = time_levels("create_time", "message_id", size)
     parts = split_large_groups(turns, ["request_id"], levels, size)
@@ -242,7 +241,7 @@ def build_prompts(
     hours: int | None = None,
     system: DataFrame | None = None,
     with_history: bool = True,
-    size: int = PART_ROWS,
+    size: int | None = None,
 ) -> DataFrame:
     """Prompts of requests (`request_id, friend_id, text`), one row per turn.
 
@@ -251,9 +250,9 @@ def build_prompts(
     of the system text and looks back a fixed time. The look-back of the other
     variants is `hours`, or the configured one in `system`.
 
-    The system text lists all active tasks of the contact. Where that is more
-    than `size` tasks (or turns, in a summary), the system turn comes in
-    several rows, in order of `piece`, whose contents joined make up its text.
+    The system text lists all active tasks of the contact, in one row. If a `size` is
+    asked for and there are more tasks (or turns, in a summary), the system turn comes
+    in several rows, in order of `piece`, whose contents joined make up its text.
     So does a user turn whose request has its text in several rows by `part`.
     """
     asked = _friend_requests(requests, friends, accounts)
@@ -359,12 +358,12 @@ def burst_requests(bursts: DataFrame, friends: DataFrame) -> DataFrame:
     )
 
 
-def packed_prompts(turns: DataFrame, size: int = PART_ROWS) -> DataFrame:
+def packed_prompts(turns: DataFrame, size: int | None = None) -> DataFrame:
     """Prompts with their turns in one ordered array: `request_id, part, turns`.
 
-    A prompt of more than `size` turns comes in several rows by `part`. The
-    turns are looked at twice, for their number and for the arrays: prompts that
-    take long to build should be written or persisted first.
+    With `size`, a prompt of more turns comes in several rows by `part`. The turns
+    are then looked at twice, for their number and for the arrays: prompts that take
+    long to build should be written or persisted first.
     """
     levels = [F.col("section"), *time_levels("create_time", "message_id", size)]
     order = ["section", "create_time", "message_id", "piece"]

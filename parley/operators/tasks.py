@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.clock import validity_state
-from parley.functions.ordered import PART_ROWS, first_per_key, id_block, split_large_groups
+from parley.functions.ordered import first_per_key, id_block, split_large_groups
 from parley.functions.values import blank, or_else, raw_json, send_delay_ms
 
 
@@ -129,11 +129,12 @@ def active_task_items(tasks: DataFrame) -> DataFrame:
     )
 
 
-def active_task_json(tasks: DataFrame, size: int = PART_ROWS) -> DataFrame:
+def active_task_json(tasks: DataFrame, size: int | None = None) -> DataFrame:
     """The active tasks of each contact as JSON list items in id order.
 
-    `items` is the inside of the list. A contact with more than `size` tasks
-    comes in several rows by `part`, to be joined with commas.
+    `items` is the inside of the list, in one row per contact. Only if a `size` is
+    asked for, a contact with more tasks comes in several rows by `part`, to be
+    joined with commas.
     """
     parts = split_large_groups(
         active_task_items(tasks), ["friend_id"], [id_block("id", size)], size

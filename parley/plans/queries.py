@@ -806,7 +806,6 @@ def exchange_log_rows(s):
         ["conv_id"],
         ["turn"],
         F.struct("role", "content"),
-        [F.floor(F.col("turn") / 10_000)],
     )
     exchanges = turns.select(
         "conv_id",
