@@ -34,14 +34,16 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
     "six": "6", "seven": "7", "eight": "8", "nine": "9",
-    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "sechs": "6",
-    "sieben": "7", "acht": "8", "neun": "9",
-    "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "f\u00fcnf": "5",
+    "fu\u0308nf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "z\u00e9ro": "0", "ze\u0301ro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8",
     "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6",
     "siete": "7", "ocho": "8", "nueve": "9",
 }
 AT_WORDS = ("at", "arroba", "arobase")
+#: At-words that mean nothing else, so that an address with plain dots counts.
+SURE_AT_WORDS = ("arroba", "arobase")
 DOT_WORDS = ("dot", "punkt", "point", "punto")
 # Cyrillic and Greek letters that look like Latin ones, and what they look like (fixed values).
 LOOKALIKES = dict(
@@ -51,18 +53,30 @@ LOOKALIKES = dict(
         strict=True,
     )
 )
-#: So many spelled digits in a row are a number.
+#: So many digits in a row, all spelled or spelled and literal ones, are a number.
 LEAST_DIGITS = 4
 
 _WORD = r"(?<![A-Za-z0-9])(?:{})(?![A-Za-z0-9])"
+_WORDS = "|".join(sorted(DIGITS, key=len, reverse=True))
+_PARTING = r"[\x20,-]{1,2}"
 _SPELLED = re.compile(
-    _WORD.format("|".join(sorted(DIGITS, key=len, reverse=True)))
-    + r"(?:[\x20,-]{1,2}(?:"
-    + "|".join(sorted(DIGITS, key=len, reverse=True))
-    + r")(?![A-Za-z0-9])){" + str(LEAST_DIGITS - 1) + ",}",
+    _WORD.format(_WORDS)
+    + rf"(?:{_PARTING}(?:{_WORDS})(?![A-Za-z0-9])){{{LEAST_DIGITS - 1},}}",
     re.I,
 )
-_ONE = re.compile("|".join(sorted(DIGITS, key=len, reverse=True)), re.I)
+_ONE = re.compile(_WORDS, re.I)
+# A run with literal digits as well.
+_MIXED = re.compile(
+    _WORD.format(f"{_WORDS}|[0-9]+")
+    + rf"(?:{_PARTING}(?:{_WORDS}|[0-9]+)(?![A-Za-z0-9]))+",
+    re.I,
+)
+# Where a spelled digit meets a literal one, sought from the literal one.
+_FOLLOWED = re.compile(rf"[0-9]{_PARTING}(?:{_WORDS})(?![A-Za-z0-9])", re.I)
+_LED = re.compile(r"[0-9](?:(?<=[A-Za-z][\x20,-][0-9])|(?<=[A-Za-z][\x20,-][\x20,-][0-9]))")
+_LEADS = re.compile(rf"(?<![A-Za-z0-9])(?:{_WORDS}){_PARTING}\Z", re.I)
+_LONGEST = max(map(len, DIGITS)) + 3
+_ITEM = re.compile(f"{_WORDS}|[0-9]+", re.I)
 _OPEN, _CLOSE = r"[\[({<]\x20?", r"\x20?[\])}>]"
 _SIGN_AT = rf"(?:\x20?{_OPEN}(?:at|@|arroba|arobase){_CLOSE}\x20?|\x20(?:{'|'.join(AT_WORDS)})\x20|\x20@\x20)"
 _SIGN_DOT = rf"(?:\x20?{_OPEN}(?:\.|{'|'.join(DOT_WORDS)}){_CLOSE}\x20?|\x20(?:{'|'.join(DOT_WORDS)})\x20)"
@@ -80,7 +94,7 @@ _IP_WORDS = re.compile(
 )
 _HINT = re.compile(
     r"[\[({<]\x20?(?:at|@|dot|\.|punkt|point|punto|arroba|arobase)\x20?[\])}>]"
-    r"|\x20(?:dot|punkt|point|punto)\x20|\x20@\x20",
+    r"|\x20(?:dot|punkt|point|punto|" + "|".join(SURE_AT_WORDS) + r")\x20|\x20@\x20",
     re.I,
 )
 _DOTS = re.compile(_SIGN_DOT, re.I)
@@ -178,6 +192,20 @@ def _fold(out: Rewritten) -> None:
         out.edit([(i, i + 1, _folded(c)) for i, c in enumerate(out.text) if c in odd])
 
 
+def _value(word: str) -> str:
+    """The digit a word spells; where case is ignored, a dotted or dotless i stands for i."""
+    low = word.lower()
+    return DIGITS.get(low) or DIGITS[low.replace("i\u0307", "i").replace("\u0131", "i")]
+
+
+def _meets(text: str) -> bool:
+    """Whether a spelled digit stands beside a literal one."""
+    if _FOLLOWED.search(text):
+        return True
+    starts = (m.start() for m in _LED.finditer(text))
+    return any(_LEADS.search(text[max(0, s - _LONGEST) : s]) for s in starts)
+
+
 def _spell(out: Rewritten) -> None:
     """Runs of spelled digits."""
     edits = []
@@ -186,7 +214,26 @@ def _spell(out: Rewritten) -> None:
         for i, one in enumerate(inner):
             # What parts two digits goes with the first.
             end = inner[i + 1].start() if i + 1 < len(inner) else one.end()
-            edits.append((one.start(), end, DIGITS[one[0].lower()]))
+            edits.append((one.start(), end, _value(one[0])))
+    out.edit(edits)
+
+
+def _spell_mixed(out: Rewritten) -> None:
+    """Runs of spelled and literal digits."""
+    edits = []
+    for m in _MIXED.finditer(out.text):
+        items = list(_ITEM.finditer(out.text, m.start(), m.end()))
+        spelled = [not i[0].isdigit() for i in items]
+        digits = sum(1 if s else len(i[0]) for i, s in zip(items, spelled))
+        if not any(spelled) or all(spelled) or digits < LEAST_DIGITS:
+            continue
+        for i, one in enumerate(items):
+            last = i + 1 == len(items)
+            end = one.end() if last else items[i + 1].start()
+            if spelled[i]:
+                edits.append((one.start(), end, _value(one[0])))
+            elif not last and spelled[i + 1]:
+                edits.append((one.end(), end, ""))
     out.edit(edits)
 
 
@@ -196,7 +243,7 @@ def _undisguise(out: Rewritten) -> None:
     for m in _ADDRESS.finditer(out.text):
         at, domain = m["at"], m["domain"]
         worded = _DOTS.search(domain)
-        free = at.strip().isalpha()
+        free = at.strip().isalpha() and at.strip().lower() not in SURE_AT_WORDS
         # "me at home dot com" is an address, "met at noon" and "look at example.com" are not.
         if at == "@" and not worded and not _DOTS.search(m["local"]) or free and not worded:
             continue
@@ -218,21 +265,30 @@ def disguised_spans(
 ) -> list[tuple[str, int, int]]:
     """Spans of the source that hold an identifier only once rewritten."""
     hints = not text.isascii() and any(ord(c) > 0xFF for c in set(text))
-    if not hints and not _HINT.search(text) and not _SPELLED.search(text):
+    meets = _meets(text)
+    if not hints and not meets and not _HINT.search(text) and not _SPELLED.search(text):
         return []
+    taken = sorted((s, e) for _, s, e in plain)
+    found: list[tuple[str, int, int]] = []
+    if hints or meets:
+        # Apart from the other rewriting, which a number before an address or a place of it would change.
+        mixed = Rewritten(text)
+        _fold(mixed)
+        _spell_mixed(mixed)
+        found += [s for s in _mapped(mixed, taken) if s[0] in ("card", "phone")]
     out = Rewritten(text)
     _fold(out)
     _spell(out)
     _undisguise(out)
+    return found + _mapped(out, [*taken, *((s, e) for _, s, e in found)])
+
+
+def _mapped(out: Rewritten, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Identifiers of a rewritten text by their places in the source, without those that touch taken ones."""
     if out.begins is None:
         return []
-    taken = sorted((s, e) for _, s, e in plain)
-    found: list[tuple[str, int, int]] = []
-    for kind, start, end in plain_spans(out.text):
-        start, end = out.source(start, end)
-        if not any(s < end and start < e for s, e in taken):
-            found.append((kind, start, end))
-    return found
+    spans = [(kind, *out.source(start, end)) for kind, start, end in plain_spans(out.text)]
+    return [x for x in spans if not any(s < x[2] and x[1] < e for s, e in taken)]
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
