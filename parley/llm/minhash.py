@@ -157,6 +157,7 @@ _SIGNED = pa.schema(
     [
         ("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()),
         ("set_id", pa.binary()), ("text_id", pa.int64()), ("signature", pa.binary()),
+        ("text_sha256", pa.binary()),
     ]
 )
 
@@ -177,6 +178,7 @@ def _sign(size: int, places: int):
                             _digest(found.tobytes(), 16) if known else None,
                             int.from_bytes(_digest(raw, 8), "little", signed=True),
                             signature(found, a, b).tobytes() if known else None,
+                            hashlib.sha256(raw).digest(),
                         )
                     )
                     row += 1
@@ -327,7 +329,8 @@ class _Job:
         self.places = self.chunks * PLACES
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
         fields = (
-            "row long, doc_id long, n_shingles long, set_id binary, text_id long, signature binary"
+            "row long, doc_id long, n_shingles long, set_id binary, text_id long, signature binary, "
+            "text_sha256 binary"
         )
         self.rows = stash(
             self.texts.mapInArrow(_sign(words, self.places), fields), "signatures"
@@ -530,6 +533,20 @@ def near_duplicates(
     dropped together. Other columns are ignored; an empty table gives no rows. `docs` should be a stored table,
     as it is read twice.
     """
+    rows = _components(docs, shingle_words, percent, id_col, text_col)
+    return rows.select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+def _components(
+    docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str
+) -> DataFrame:
+    """The rows with `component_id`, `text_sha256`, and `keep_sha256`: of the texts with the smallest
+    id of a component, the one with the smallest digest."""
     job = _Job(docs, shingle_words, percent, id_col, text_col)
     nodes = job.nodes.select("set_id", "node")
     labels = job.run().withColumnRenamed("node", "_node")
@@ -542,30 +559,49 @@ def near_duplicates(
     grouped = stash(
         job.rows.filter("n_shingles > 0")
         .join(of_set, "set_id")
-        .select("doc_id", "n_shingles", "component"),
+        .select("doc_id", "n_shingles", "component", "text_sha256"),
         "grouped",
     )
+    # Null ids last.
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256"))
     least = stash(
-        grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least"
+        grouped.groupBy("component")
+        .agg(first.alias("first"))
+        .select(
+            "component",
+            F.col("first.doc_id").alias("component_id"),
+            F.col("first.text_sha256").alias("keep_sha256"),
+        ),
+        "least",
     )
-    linked = grouped.join(least, "component").select("doc_id", "n_shingles", "component_id")
+    columns = ["doc_id", "n_shingles", "component_id", "text_sha256", "keep_sha256"]
+    linked = grouped.join(least, "component").select(*columns)
     alone = job.rows.filter("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
-    )
-    return linked.unionAll(alone).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+        "doc_id",
+        "n_shingles",
+        F.col("doc_id").alias("component_id"),
+        "text_sha256",
+        F.col("text_sha256").alias("keep_sha256"),
     )
+    return linked.unionAll(alone)
 
 
 def drop_near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps; rows without an id are all kept."""
+    """One text of each group of `near_duplicates`: that of the smallest id, then of the smallest digest.
+
+    Rows are told apart by id and text, so texts that share an id are kept or dropped each by itself; rows
+    that are the same in both stay together. Rows without an id are all kept.
+    """
     dropped = stash(
-        near_duplicates(docs, shingle_words, percent)
-        .filter("doc_id is not null and not kept")
-        .select(F.col("doc_id").alias("_dropped"))
+        _components(docs, shingle_words, percent, "doc_id", "text")
+        .filter("doc_id <> component_id or text_sha256 <> keep_sha256")
+        .select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_dropped_text"))
+        .filter("_dropped is not null")
         .distinct(),
         "dropped",
     )
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    on = (F.col("doc_id") == F.col("_dropped")) & (F.col("_row_text") == F.col("_dropped_text"))
+    return docs.withColumn("_row_text", digest).join(dropped, on, "left_anti").drop("_row_text")
