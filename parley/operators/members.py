@@ -71,12 +71,18 @@ def reminder_pieces(listed: DataFrame, ending: str = EXPIRED_END) -> DataFrame:
     """The blocks of `member_reminder` as pieces of one message: `piece, member_count, content`.
 
     In order of `piece` the contents, put together, are the message: it opens once and ends once.
+    Pieces are numbered from the block ids alone; the names stay where they were put together.
     """
     order = Window.orderBy("block")
-    start = F.when(F.row_number().over(order) == 1, REMINDER_START).otherwise(",")
-    end = F.when(F.lead("block").over(order).isNull(), ending).otherwise("")
-    return listed.select(
+    places = listed.select(
+        F.col("block").alias("_block"),
         (F.row_number().over(order) - 1).cast("long").alias("piece"),
+        F.lead(F.lit(True)).over(order).isNull().alias("_last"),
+    )
+    start = F.when(F.col("piece") == 0, REMINDER_START).otherwise(",")
+    end = F.when(F.col("_last"), ending).otherwise("")
+    return listed.join(places, F.col("block").eqNullSafe(F.col("_block"))).select(
+        "piece",
         "member_count",
         F.concat(start, F.col("names"), end).alias("content"),
     )
