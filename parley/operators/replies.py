@@ -1,4 +1,4 @@
-"""Model replies: repair, and unpacking into messages, task operations and records (K5, K6)."""
+"""Model replies: repair, unpacking into messages, task operations and records, sent rows."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions.clock import epoch_of, moment
+from parley.functions.ordered import first_per_key
 from parley.functions.replies import balanced_text, strict_json, tidied_text, unwrapped_text
 from parley.operators.changes import TASK_OP_COLUMNS
+from parley.schemas import DEFAULTS
 
 # Fixed value: what a text that cannot be repaired is reported as.
 PARSE_FAILED = "JSON_PARSE_FAILED"
@@ -118,3 +121,56 @@ def task_change_notices(replies: DataFrame, friends: DataFrame, friend_id: str =
     return changed.join(names, friend_id).withColumn(
         "content", F.concat(F.lit(NOTICE_START), name, F.lit(NOTICE_MIDDLE), listed)
     )
+
+
+# Fixed values of a message that was sent: its direction, and that it is text.
+SENT, TEXT_KIND = 1, 1
+
+
+def _sent_rows(sent: DataFrame, keys: Sequence[str], as_of) -> DataFrame:
+    """Rows of the message table for texts an account (`wx_id`) sent to a contact (`wxid`).
+
+    Type, kind and time are filled, so that sent rows count and stand in histories (Q8). A text that
+    has no account with a key, no contact or no content is not sent.
+    """
+    given = [F.coalesce(F.col(c), F.lit("")) != "" for c in ("auth_key", "wxid", "content")]
+    return sent.where(given[0] & given[1] & given[2]).select(
+        *keys,
+        F.col("wx_id").alias("from_user"),
+        F.col("wxid").alias("to_user"),
+        "content",
+        F.lit(DEFAULTS["messages"]["status"]).alias("status"),
+        F.lit(1).alias("is_ai"),
+        F.lit(SENT).alias("type"),
+        F.lit(TEXT_KIND).alias("msg_type"),
+        epoch_of(moment(as_of)).alias("create_time"),
+        moment(as_of).alias("create_at"),
+        moment(as_of).alias("update_at"),
+    )
+
+
+def sent_message_rows(
+    messages: DataFrame, friends: DataFrame, accounts: DataFrame, as_of
+) -> DataFrame:
+    """Rows of the replies that are sent to their bursts, one per message.
+
+    `messages` is what `reply_messages` gives with the keys of bursts: `from_user, to_user, burst_start`,
+    then `position, content`. They go out from the account the burst came to, if the contact is active
+    with AI and its `ai_reply` is 1. Of several contacts or accounts of a name the lowest id counts.
+    """
+    talking = friends.where((F.col("is_active") == 1) & (F.col("ai_active") == 1))
+    contacts = first_per_key(talking.select("wxid", "id", "ai_reply"), ["wxid"], ["id"])
+    senders = first_per_key(accounts.select("wx_id", "id", "auth_key"), ["wx_id"], ["id"])
+    answered = messages.withColumnsRenamed({"from_user": "wxid", "to_user": "wx_id"})
+    allowed = contacts.where(F.col("ai_reply") == 1).select("wxid")
+    sent = answered.join(allowed, "wxid", "left_semi").join(senders.drop("id"), "wx_id")
+    return _sent_rows(sent, ["burst_start", "position"], as_of)
+
+
+def sent_task_rows(copies: DataFrame, targets: DataFrame, as_of) -> DataFrame:
+    """Rows of the task messages that are sent, one per request.
+
+    `copies` holds `request_id, content`, the edited texts; `targets` is what `resolve_targets` gives.
+    """
+    sent = copies.select("request_id", "content").join(targets, "request_id")
+    return _sent_rows(sent.withColumnRenamed("sender_wxid", "wx_id"), ["request_id"], as_of)
