@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import (
     chat,
+    collocations,
     embedding_dedup,
     exact_dedup,
     minhash,
@@ -16,8 +17,10 @@ from parley.llm import (
     packing,
     pii,
     secrets,
+    substrings,
     toxicity,
     url_filter,
+    whitening,
 )
 from parley.llm.common import read_table
 
@@ -110,3 +113,21 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
         pii.joined(F.col("found")).alias("spans"),
     )
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.drop_repeats(read_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_words", "n_removed", substrings.kept_digest(F.col("kept_text")).alias("kept_sha256")
+    )

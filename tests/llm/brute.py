@@ -126,3 +126,74 @@ def joined(spans):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def whitening(rows):
+    """(vec_id, x) of the rows that count, the number and sums of the distinct vectors, and exactly n^3 V."""
+    kept = []
+    for vec_id, vector in rows:
+        if vector and all(c is not None and np.isfinite(c) for c in vector):
+            kept.append((vec_id, tuple(int(np.floor(64 * float(c))) + 1_000_000 for c in vector)))
+    fit = sorted({x for _, x in kept})
+    n = len(fit)
+    sums = [sum(column) for column in zip(*fit)]
+    gaps = [[n * v - s for v, s in zip(x, sums)] for x in fit]
+    scatter = [[sum(g[i] * g[j] for g in gaps) for j in range(len(sums))] for i in range(len(sums))]
+    return kept, n, sums, scatter
+
+
+def phrases(rows, longest, least, percent, top):
+    """The rows of the collocations of (lang, text)."""
+    words, found = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            w = re.findall("[^\x20\x09]+", piece)
+            words[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    found[lang, tuple(w[i : i + k])] += 1
+    often = {p for p, a in found.items() if a >= least and len(p[1]) > 1}
+    gone = set()
+    for lang, p in often:
+        for size in range(2, len(p)):
+            for i in range(len(p) - size + 1):
+                part = lang, p[i : i + size]
+                if 100 * found[lang, p] >= percent * found[part]:
+                    gone.add(part)
+    out = []
+    for lang in words:
+        scored = []
+        for of, p in often - gone:
+            if of == lang:
+                a, n = found[lang, p], words[lang]
+                cuts = []
+                for k in range(1, len(p)):
+                    left, right = found[lang, p[:k]], found[lang, p[k:]]
+                    cuts.append((1000 * a * n // (left * right), k, left, right))
+                score, _, left, right = min(cuts)
+                scored.append((-score, -a, " ".join(p).encode(), left, right, n))
+        for rank, (s, a, p, left, right, n) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n, -s))
+    return sorted(out)
+
+
+def repeats(rows, min_words):
+    """Per row (doc_id, n_words, n_removed, kept text), for rows (doc_id, text)."""
+    first, parts = {}, []
+    for doc_id, text in rows:
+        w = re.findall("[^\x20\x09-\x0D]+", text or "")
+        order = (doc_id is None, doc_id or 0)
+        parts.append((doc_id, order, w))
+        for i in range(len(w) - min_words + 1):
+            key = tuple(w[i : i + min_words])
+            first[key] = min(first.get(key, order), order)
+    out = []
+    for doc_id, order, w in parts:
+        gone = set()
+        for i in range(len(w) - min_words + 1):
+            if first[tuple(w[i : i + min_words])] < order:
+                gone.update(range(i, i + min_words))
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        out.append((doc_id, len(w), len(gone), " ".join(kept)))
+    return sorted(out, key=repr)
