@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,9 @@ def raw_json(document: Column) -> Column:
 
 def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for item in values.items() for x in item])
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a value worked out once, however often `f` uses it, also after Catalyst has joined
+    projections and pushed filters."""
+    return F.transform(F.array(value), f)[0]

@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 
 from parley.functions.clock import epoch_of, moment
 from parley.functions.ordered import first_per_key
-from parley.functions.replies import balanced_text, strict_json, tidied_text, unwrapped_text
+from parley.functions.replies import repaired
 from parley.operators.changes import TASK_OP_COLUMNS
 from parley.schemas import DEFAULTS
 
-# Fixed value: what a text that cannot be repaired is reported as.
-PARSE_FAILED = "JSON_PARSE_FAILED"
-
 # Operations are read as maps: an absent column and a null one mean different things.
 REPLY_SCHEMA = (
     "`continue` string, message array<string>, cron array<map<string,string>>, "
@@ -34,26 +31,9 @@ def repair_json(df: DataFrame, col: str) -> DataFrame:
     Status is `ok` if the cleaned text is valid, `balanced` if it is after
     braces were added, else `JSON_PARSE_FAILED`.
     """
-    # In steps, as each is looked at several times by the next.
-    tidied = df.withColumn("cleaned", tidied_text(F.col(col)))
-    cleaned = tidied.withColumn("cleaned", unwrapped_text(F.col("cleaned")))
-    # Both checks are independent, so they share one exchange of Arrow batches.
-    # Where braces balance there is no second text to check.
-    completed = F.nullif(balanced_text(F.col("cleaned")), F.col("cleaned"))
-    judged = cleaned.withColumn("_balanced", completed).withColumns(
-        {"_first": strict_json(F.col("cleaned")), "_second": strict_json(F.col("_balanced"))}
-    )
-    status = (
-        F.when(F.col("_first"), F.lit("ok"))
-        .when(F.col("_second"), F.lit("balanced"))
-        .otherwise(F.lit(PARSE_FAILED))
-    )
-    parsed = F.when(F.col("_first"), F.col("cleaned")).when(F.col("_second"), F.col("_balanced"))
-    return (
-        judged.withColumn("status", status)
-        .withColumn("parsed", parsed)
-        .drop("_first", "_balanced", "_second")
-    )
+    found = df.withColumn("_repaired", repaired(F.col(col)))
+    parts = {c: F.col("_repaired")[c] for c in ("cleaned", "status", "parsed")}
+    return found.withColumns(parts).drop("_repaired")
 
 
 def parse_replies(df: DataFrame, col: str) -> DataFrame:
@@ -63,7 +43,8 @@ def parse_replies(df: DataFrame, col: str) -> DataFrame:
 
 def reply_messages(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per message to send, in order; null and empty ones are left out (K6)."""
-    listed = replies.select(*keys, F.posexplode("reply_doc.message").alias("position", "content"))
+    # Outer here and below: else a filter on the list is pushed down, and each reply repaired twice.
+    listed = replies.select(*keys, F.posexplode_outer("reply_doc.message").alias("position", "content"))
     return listed.where(F.coalesce("content", F.lit("")) != "")
 
 
@@ -73,7 +54,7 @@ def reply_task_ops(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
     The form is the one `apply_task_ops` takes: operations apply in the order
     of `keys`, then of their place in the reply.
     """
-    listed = replies.select(*keys, F.posexplode("reply_doc.cron").alias("position", "_op"))
+    listed = replies.select(*keys, F.posexplode_outer("reply_doc.cron").alias("position", "_op"))
     op = F.col("_op")
     kinds = {"friend_id": "int", "is_active": "int"}
     stated = [
@@ -96,7 +77,7 @@ def reply_summaries(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A number may be text; a fraction is rounded, and what is no number is null.
     """
-    listed = replies.select(*keys, F.posexplode("reply_doc.summarize").alias("position", "_record"))
+    listed = replies.select(*keys, F.posexplode_outer("reply_doc.summarize").alias("position", "_record"))
 
     def value(name: str, kind: str) -> Column:
         text = F.try_element_at("_record", F.lit(name))

@@ -57,7 +57,6 @@ def parse_frames(raw: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFr
     read = raw.withColumn("_frame", F.from_json("value", schema, options))
     whole = F.startswith(F.ltrim("value", F.lit(" \t\r\n")), F.lit("{"))
     fine = whole & (strict_json(F.col("value")) if strict else F.col("_frame._corrupt").isNull())
-    # One column, so that the check of a row is made once.
     read = read.withColumn("_fine", F.coalesce(fine, F.lit(False)))
     frame = F.col("_frame")
     good = read.where("_fine").select(
