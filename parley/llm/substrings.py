@@ -11,8 +11,7 @@ different ids go on. From an anchor the match is extended to both sides:
   less, to each window that holds the anchor, and windows are matched.
 
 So a passage that a third of all documents share costs a row for each anchor and context, never a pair of
-documents. Matches that overlap or touch are joined to maximal repeats. Hashes of words are cryptographic, windows
-and contexts are matched by 128 bits.
+documents. Matches that overlap or touch are joined to maximal repeats. Windows and contexts are matched by 128 bits.
 
 Nothing depends on the order or the numbering of rows: a document is known by its id and the digest of its text.
 """
@@ -20,12 +19,11 @@ Nothing depends on the order or the numbering of rows: a document is known by it
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count as counting
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,35 +80,29 @@ class _Part:
     """The words of a few texts as two numbers each, and where the texts begin."""
 
     def __init__(self, texts: list[bytes]):
-        number: defaultdict[bytes, int] = defaultdict(counting().__next__)
-        ids, bounds = [], [0]
+        digests, bounds = [], [0]
         for raw in texts:
             n = 0
             for words in words_of(raw):
-                ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                digests.append(b"".join(map(xxhash.xxh3_128_digest, words)))
                 n += len(words)
             bounds.append(bounds[-1] + n)
         self.bounds = np.array(bounds)
-        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in number)
         # Numbers of words are never 0, which stands for no word.
-        self.lanes = np.frombuffer(digests, "<u8").reshape(-1, 2) | _U(1)
-
-    def hashes(self, low: int, high: int, lane: int) -> np.ndarray:
-        return self.lanes[self.ids[low:high], lane]
+        self.lanes = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2) | _U(1)
 
 
 def _anchors(part: _Part, min_words: int, seed_words: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Anchors in blocks: text, place, hash of the seed, hash of the context."""
     reach = min_words - seed_words
-    total = len(part.ids)
+    total = len(part.lanes)
     previous = -1
     for low in range(0, total, BLOCK_WORDS):
         # Windows that begin in the block, and the words that their contexts reach.
         high = min(low + BLOCK_WORDS, total - min_words + 1)
         if high <= low:
             break
-        words = part.hashes(low, high + min_words - 1, 0)
+        words = part.lanes[low : high + min_words - 1, 0]
         n = len(words) - seed_words + 1
         seeds = _chain((words[i : i + n] for i in range(seed_words)), n, seed_words)
         text = np.searchsorted(part.bounds, np.arange(low, high + min_words - 1), "right") - 1
@@ -130,7 +122,7 @@ def _anchors(part: _Part, min_words: int, seed_words: int) -> Iterator[tuple[np.
         around = (
             np.where(
                 (place + i >= first) & (place + i < end),
-                part.lanes[part.ids[np.clip(place + i, 0, total - 1)], 1],
+                part.lanes[np.clip(place + i, 0, total - 1), 1],
                 _U(0),
             )
             for i in range(-reach, min_words)
@@ -180,28 +172,34 @@ def _windows(min_words: int, seed_words: int):
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column("places").to_pylist()
-            for at, (doc_id, key, text) in enumerate(
-                zip(batch.column("doc_id").to_pylist(), batch.column("key"), batch.column("text"))
-            ):
-                part = _Part([text.as_buffer().to_pybytes()])
-                starts = np.unique(
-                    np.array(places[at])[:, None] - np.arange(reach + 1)[None, :]
-                )
-                starts = starts[(starts >= 0) & (starts <= len(part.ids) - min_words)]
+            at = 0
+            for ids, texts in _texts(batch):
+                rows = slice(at, at + len(ids))
+                at += len(ids)
+                part = _Part(texts)
+                keys = batch.column("key")[rows]
+                places = batch.column("places")[rows]
+                text = np.repeat(np.arange(len(ids)), places.value_lengths().to_numpy())
+                anchors = part.bounds[text] + places.flatten().to_numpy()
+                starts = np.unique((anchors[:, None] - np.arange(reach + 1)[None, :]).ravel())
+                # An anchor lies in its text, a window around it may not.
+                text = np.searchsorted(part.bounds, np.clip(starts, 0, None), "right") - 1
+                near = np.searchsorted(part.bounds, starts + min_words - 1, "right") - 1
+                inside = (starts >= 0) & (text == near)
+                starts, text = starts[inside], text[inside]
                 for low in range(0, len(starts), BLOCK_WORDS):
-                    some = starts[low : low + BLOCK_WORDS]
+                    some, of = (x[low : low + BLOCK_WORDS] for x in (starts, text))
                     one, two = (
                         _chain(
-                            (part.lanes[part.ids[some + i], lane] for i in range(min_words)),
+                            (part.lanes[some + i, lane] for i in range(min_words)),
                             len(some), lane + 1,
                         )
                         for lane in (0, 1)
                     )
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(one), _signed(two), pa.array(np.full(len(some), doc_id)),
-                         pa.array([key.as_py()] * len(some), pa.binary()),
-                         pa.array(some.astype(np.int32))],
+                        [_signed(one), _signed(two), pa.array(np.array(ids)[of]),
+                         keys.take(pa.array(of)),
+                         pa.array((some - part.bounds[of]).astype(np.int32))],
                         ["one", "two", "doc_id", "key", "start"],
                     )
 
