@@ -7,11 +7,11 @@ so brings together all pairs within `guaranteed_distance`, and the number of chu
 the similarity asked for is missed with a chance of at most `MISS`.
 
 Documents with equal sets are one node. The nodes of a key are first held against one of them; what is
-linked then forms components, and only pairs of one key in different components are held against each
-other afterwards. Of the nodes that are left it is counted how many shingles no other component has: what nodes of two
-components share is at most the rest, which rules out most pairs by numbers. So large groups
-of copies cost a few comparisons a document, and no link between components is lost. All links are confirmed
-on the full sets.
+linked then forms components. Nodes that still share keys across components make up clumps. All of a clump
+are held against its middle, the hub; then only what sets each apart from the hub is compared, rare elements
+first, which gives the few pairs of different components that can be similar enough at all. So large
+groups of copies cost a few comparisons a document, near misses of one text are not paired, and no link
+between components is lost. All links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -66,7 +66,33 @@ def _powers(n: int) -> np.ndarray:
 
 
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """The hashes of the words of each text, in order; A-Z count as a-z."""
+    """The hashes of the words of each text, in order; A-Z count as a-z. A long text is hashed
+    in stretches, as the work takes many times its bytes."""
+    if sum(map(len, texts)) <= 2 * PART_BYTES:
+        return _word_hashes(texts)
+    return [
+        _word_hashes([t])[0] if len(t) <= PART_BYTES
+        else np.concatenate([_word_hashes([part])[0] for part in _stretches(t)])
+        for t in texts
+    ]
+
+
+def _stretches(raw: bytes) -> Iterator[bytes]:
+    """The parts of a text, cut at white space."""
+    at = 0
+    while at < len(raw):
+        end = at + PART_BYTES
+        while end < len(raw):
+            cut = max(raw.rfind(c.encode(), at, end) for c in SPACES) + 1
+            if cut > at:
+                end = cut
+                break
+            end += PART_BYTES
+        yield raw[at:end]
+        at = end
+
+
+def _word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     data = b" ".join(texts).lower() + b" "
     codes = np.frombuffer(data, np.uint8)
     gap = _IS_SPACE[codes]
@@ -90,11 +116,15 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     if not len(words):
         return words
     size = min(size, len(words))
-    n = len(words) - size + 1
-    out = np.full(n, _U(size))
-    for i in range(size):
-        out = _mix(out * _BASE + words[i : i + n])
-    return np.unique(out)
+    found = []
+    for low in range(0, len(words) - size + 1, PART_BYTES):
+        some = words[low : low + PART_BYTES + size - 1]
+        n = len(some) - size + 1
+        out = np.full(n, _U(size))
+        for i in range(size):
+            out = _mix(out * _BASE + some[i : i + n])
+        found.append(np.unique(out))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def chunks_for(percent: int) -> int:
@@ -263,20 +293,59 @@ def _read_sets(size: int, words: np.ndarray):
     return read
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shingle of each node, with its component."""
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
-        if sets:
-            sizes = [len(x) for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(np.repeat(batch.column(c).to_numpy(), sizes))
-                      for c in ("node", "component")),
-                    pa.array(np.concatenate(sets)),
-                ],
-                ["node", "component", "shingle"],
-            )
+_ELEMENTS = (
+    "clump long, base int, node long, component long, n int, delta int, element long"
+)
+
+
+def _differences(percent: int):
+    """The elements in which a node's set differs from the hub's (base 1), an element a row.
+
+    A hub of more than twice as many elements would only make the differences long: there, the set
+    itself is given (base 0). Around that limit both are, so that nodes that are similar enough always
+    meet in one of the forms.
+    """
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [batch.column(c).to_pylist() for c in ("clump", "node", "component")]
+            held = 0
+            out: list[tuple] = []
+            parts: list[np.ndarray] = []
+            for clump, node, component, one, hub in zip(
+                *ids, batch.column("shingles"), batch.column("hub_shingles"), strict=True
+            ):
+                own = np.frombuffer(one.as_buffer(), _U)
+                of_hub = np.frombuffer(hub.as_buffer(), _U)
+                forms = []
+                if len(of_hub) <= 2 * len(own):
+                    forms.append((1, np.setxor1d(own, of_hub, assume_unique=True)))
+                if 100 * len(of_hub) > 2 * percent * len(own):
+                    forms.append((0, own))
+                for base, found in forms:
+                    if len(found):
+                        out.append((clump, base, node, component, len(own), len(found)))
+                        parts.append(found)
+                        held += len(found)
+                if held > 1 << 18:
+                    yield _element_rows(out, parts)
+                    out, parts, held = [], [], 0
+            if out:
+                yield _element_rows(out, parts)
+
+    return differences
+
+
+def _element_rows(nodes: list[tuple], parts: list[np.ndarray]) -> pa.RecordBatch:
+    sizes = [len(x) for x in parts]
+    kinds = (np.int64, np.int32, np.int64, np.int64, np.int32, np.int32)
+    columns = [
+        pa.array(np.repeat(np.array(c, k), sizes)) for c, k in zip(zip(*nodes), kinds, strict=True)
+    ]
+    return pa.RecordBatch.from_arrays(
+        [*columns, pa.array(np.concatenate(parts).view(np.int64))],
+        ["clump", "base", "node", "component", "n", "delta", "element"],
+    )
 
 
 def _listed(words: np.ndarray, text_id: bytes) -> bool:
@@ -421,33 +490,136 @@ class _Job:
         left = self.open_keys(members.select("key", "node"), labels)
         if left.isEmpty():
             return labels
-        # Then whatever may still join two components, first to the node of a key that has least alone.
         sets = self.sets(left.select("node").distinct())
-        left = self.numbered(left, sets)
-        hubs = stash(
-            left.groupBy("key")
-            .agg(F.min(F.struct(F.col("alone") / F.col("n"), "node")).alias("hub"))
-            .select("key", F.col("hub.node").alias("node")),
-            "hubs",
-        )
-        hubs = stash(left.join(hubs, ["key", "node"]), "hubs")
-        tried = self.nearest(self.near(self.across(left, hubs)))
-        done = best.unionAll(tried).select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+        clumps = self.clumps(left)
+        # All that share a key with others are held against the middle of their clump.
+        tries = clumps.filter("node <> hub").select(
+            F.col("node").alias("a"), F.col("hub").alias("b")
         )
-        links = stash(links.unionAll(self.confirmed(tried, sets)), "links")
+        links = stash(links.unionAll(self.confirmed(self.apart(tries, labels), sets)), "links")
         labels = components(links)
-        left = self.open_keys(left.select("key", "node"), labels)
-        left = self.numbered(left, sets)
-        rest = self.near(
-            self.across(left, left)
-            .filter("a > b")
-            .join(done, ["a", "b"], "left_anti")
-        )
+        rest = self.apart(self.overlapping(self.elements(clumps, labels, sets)), labels)
         if rest.isEmpty():
             return labels
         return components(links.unionAll(self.confirmed(rest, sets)))
 
+    def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose nodes are not known to be of one component."""
+        for x in "ab":
+            of = labels.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+            pairs = pairs.join(of, x, "left").withColumn(f"_{x}", F.coalesce(f"_{x}", x))
+        return stash(pairs.filter("_a <> _b").select("a", "b"), "apart")
+
+    def clumps(self, members: DataFrame) -> DataFrame:
+        """`node, clump, hub`: nodes are of one clump if keys lead from one to the other. The hub
+        is the node that meets most others on its keys."""
+        keys = stash(
+            members.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("others")),
+            "key-sizes",
+        )
+        met = stash(members.select("key", "node").join(keys, "key"), "met")
+        clumps = components(met.select(F.col("node").alias("a"), "b"))
+        degrees = met.groupBy("node").agg(F.sum("others").alias("others"))
+        known = stash(
+            clumps.select("node", F.col("component").alias("clump")).join(degrees, "node"), "degrees"
+        )
+        hubs = stash(
+            known.groupBy("clump").agg(F.max(F.struct("others", "node")).alias("hub")).select(
+                "clump", F.col("hub.node").alias("hub")
+            ),
+            "hubs",
+        )
+        return stash(known.select("node", "clump").join(hubs, "clump"), "clumps")
+
+    def elements(self, clumps: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+        """What sets the nodes apart from the hub of their clump, an element a row.
+
+        Only clumps that still have nodes of several components are looked at.
+        """
+        nodes = stash(
+            clumps.join(labels, "node", "left").withColumn(
+                "component", F.coalesce("component", "node")
+            ),
+            "clumped",
+        )
+        several = stash(
+            nodes.groupBy("clump")
+            .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+            .filter("_low <> _high")
+            .select("clump"),
+            "several",
+        )
+        hub_sets = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"))
+        return stash(
+            nodes.join(several, "clump", "left_semi")
+            .join(sets, "node")
+            .join(hub_sets, "hub")
+            .select("clump", "node", "component", "shingles", "hub_shingles")
+            .mapInArrow(_differences(self.percent), _ELEMENTS),
+            "elements",
+        )
+
+    def overlapping(self, elements: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a clump, in different components, that may be similar enough.
+
+        With x and y the sets of two nodes and D what sets each apart from the hub, D(x) and D(y) differ
+        just where x and y do. So a pair that is similar enough has a least number of elements of D in common.
+        In any order of elements, the first that they have in common then stands, in both, so far
+        before the end that the others can follow. Rare elements come first; those of one component only are
+        never in common, and are just counted.
+        """
+        group = ["clump", "base", "element"]
+        shared = stash(
+            elements.groupBy(*group)
+            .agg(
+                F.count("*").alias("found"),
+                F.min("component").alias("_low"),
+                F.max("component").alias("_high"),
+            )
+            .filter("_low <> _high")
+            .select(*group, "found"),
+            "shared-elements",
+        )
+        p = self.percent
+        private = F.col("delta") - F.size("listed")
+        # Those further back are the first in common of no pair.
+        reach = F.floor(F.col("n") * (100 - p) / p).cast("int") + 1 - private
+        listed = F.array_sort(F.collect_list(F.struct("found", "element")))
+        node = ["clump", "base", "node", "component", "n", "delta"]
+        placed = stash(
+            elements.join(shared, group)
+            .groupBy(*node)
+            .agg(listed.alias("listed"))
+            .withColumn("private", private)
+            .withColumn("first", F.slice("listed", F.lit(1), F.greatest(reach, F.lit(0))))
+            .select(*node, "private", F.posexplode("first").alias("at", "e"))
+            .select(
+                *node, F.col("e.element").alias("element"),
+                (F.col("private") + F.col("at") + 1).alias("place"),
+            ),
+            "placed",
+        )
+        x, y = (
+            placed.select(*group, *(F.col(c).alias(f"{c}_{s}") for c in _PLACED)) for s in "xy"
+        )
+        sizes = F.col("n_x") + F.col("n_y")
+        most = F.floor(sizes * (100 - p) / (100 + p))
+        deltas = F.col("delta_x") + F.col("delta_y")
+        least = F.greatest(F.floor((deltas - most + 1) / 2), F.lit(1))
+        possible = (
+            (F.col("node_x") > F.col("node_y"))
+            & (F.col("component_x") != F.col("component_y"))
+            & (100 * F.least("n_x", "n_y") >= p * F.greatest("n_x", "n_y"))
+            & (F.col("place_x") <= F.col("delta_x") - least + 1)
+            & (F.col("place_y") <= F.col("delta_y") - least + 1)
+        )
+        return (
+            x.join(y, group)
+            .filter(possible)
+            .select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+            .distinct()
+        )
+
     @staticmethod
     def nearest(pairs: DataFrame) -> DataFrame:
         """For each `a` the pair whose signatures differ least."""
@@ -472,48 +644,8 @@ class _Job:
         )
         return stash(known.join(keys, "key", "left_semi"), "left")
 
-    def numbered(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """The members with `n` shingles, of which `alone` are in no node of another component."""
-        nodes = stash(
-            members.select("node", "component").distinct().join(sets, "node"), "component-sets"
-        )
-        each = nodes.mapInArrow(_spread, "node long, component long, shingle long")
-        within = stash(
-            each.groupBy("shingle")
-            .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-            .filter("_low = _high")
-            .select("shingle"),
-            "within",
-        )
-        alone = each.join(within, "shingle").groupBy("node").agg(F.count("*").alias("alone"))
-        numbers = stash(
-            nodes.select("node", (F.length("shingles") / 8).cast("long").alias("n"))
-            .join(alone, "node", "left")
-            .withColumn("alone", F.coalesce("alone", F.lit(0).cast("long"))),
-            "numbers",
-        )
-        return stash(
-            members.select("key", "node", "component").join(numbers, "node"), "numbered"
-        )
-
-    def across(self, some: DataFrame, others: DataFrame) -> DataFrame:
-        """Distinct pairs (a of some, b of others) of a key, in different components, that their
-        numbers allow to be linked."""
-        one, two = (
-            side.select("key", *(F.col(c).alias(f"{c}_{x}") for c in _NUMBERS))
-            for side, x in ((some, "x"), (others, "y"))
-        )
-        shared = F.least(F.col("n_x") - F.col("alone_x"), F.col("n_y") - F.col("alone_y"))
-        possible = 100 * shared >= self.percent * (F.col("n_x") + F.col("n_y") - shared)
-        return (
-            one.join(two, "key")
-            .filter((F.col("component_x") != F.col("component_y")) & possible)
-            .select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-            .distinct()
-        )
-
 
-_NUMBERS = ("node", "component", "n", "alone")
+_PLACED = ("node", "component", "n", "delta", "place")
 
 
 def near_duplicates(
