@@ -12,8 +12,8 @@ frequent phrases one word shorter. The filter only saves work: what it lets thro
 right and then found rare. Words are numbered within a task and phrases named by pairs of numbers, so nothing
 is counted by a hash.
 
-A stripe is never held whole: a prefix that a third of all rows has meets with its next words
-in many tasks, as elements are merged by (prefix, next word) and combined before the shuffle.
+A stripe is never held whole: it comes in parts by the hash of the next word, which meet in different
+tasks, so a prefix that a third of all rows has is spread. Tasks combine what they count before the shuffle.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ TOP = 2000
 #: Words counted together in a task, and bytes of a text that are parted at a time.
 BLOCK_WORDS = 1 << 20
 PART_BYTES = 1 << 20
+#: Parts of a stripe by the hash of the next word: of the stripe of all words, and of any other.
+WORD_PARTS, STRIPE_PARTS = 1024, 32
 #: Bits of the filter for each frequent phrase, and the most it may have (32 MB).
 FILTER_BITS_EACH = 16
 MOST_FILTER_BITS = 1 << 28
@@ -118,57 +120,61 @@ class _Stripes:
         self.held += 1
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        words = list(self.number)
         # Numbers are given in order, but for the mark, which comes first.
-        texts = [w.decode("utf-8", "replace") for w in words]
-        texts[0] = ""
+        words = [b"", *list(self.number)[1:]]
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
         for lang, parts in self.parts.items():
             ids = np.concatenate(parts)
             if len(ids):
-                yield from self._stripes(lang, ids, texts, hashes)
+                yield from self._stripes(lang, ids, words, hashes)
         self.reset()
 
-    def _stripes(self, lang, ids, texts, hashes) -> Iterator[pa.RecordBatch]:
+    def _stripes(self, lang, ids, words, hashes) -> Iterator[pa.RecordBatch]:
         size, n = self.size, len(ids) - self.size
         if n <= 0:
             return
-        starts = np.arange(n)
-        for k in range(size + 1):
-            starts = starts[ids[starts + k] != 0]
-        if size:
-            for first in (0, 1):
-                h = np.repeat(_seed(lang, size), len(starts))
-                for k in range(size):
-                    h = _mix(h * _BASE + hashes[ids[starts + first + k]])
-                h %= _U(len(self.passes) * 64)
-                ok = (self.passes[h >> _U(6)] >> (h & _U(63))) & _U(1)
-                starts = starts[ok.astype(bool)]
+        whole = ids[:n] != 0
+        for k in range(1, size + 1):
+            whole &= ids[k : n + k] != 0
+        starts = np.flatnonzero(whole)
+        for first in (0, 1) if size else ():
+            h = np.repeat(_seed(lang, size), len(starts))
+            for k in range(size):
+                h = _mix(h * _BASE + hashes[ids[starts + (first + k)]])
+            h %= _U(len(self.passes) * 64)
+            ok = (self.passes[h >> _U(6)] >> (h & _U(63))) & _U(1)
+            starts = starts[ok.astype(bool)]
         if not len(starts):
             return
-        # Names of phrases: pairs of the name of all but the last word, and that word.
-        names = np.zeros(len(starts), np.int64)
-        for k in range(size):
-            _, names = np.unique(names * len(texts) + ids[starts + k], return_inverse=True)
+        # Names of prefixes: a word's number, then pairs of a name and the next word's number.
+        names = ids[starts] if size else np.zeros(len(starts), np.int64)
+        for k in range(1, size):
+            _, names = np.unique(names * len(words) + ids[starts + k], return_inverse=True)
+        parts = STRIPE_PARTS if size else WORD_PARTS
+        part = (hashes % _U(parts)).astype(np.int64)
+        following = ids[starts + size]
+        # The parts of a stripe one after the other.
         pairs, at, found = np.unique(
-            names * len(texts) + ids[starts + size], return_index=True, return_counts=True
+            (names * parts + part[following]) * len(words) + following,
+            return_index=True, return_counts=True,
         )
-        prefix = pairs // len(texts)
-        heads = np.flatnonzero(np.diff(prefix, prepend=-1))
+        heads = np.flatnonzero(np.diff(pairs // len(words), prepend=-1))
         first = starts[at]
-        names_of_next = pa.array(texts).take(pa.array(ids[first + size]))
+        texts = pa.array(words, pa.binary()).view(pa.string())
         prefixes = [
-            " ".join([texts[i] for i in ids[s : s + size]]) for s in first[heads].tolist()
+            b" ".join([words[i] for i in ids[s : s + size].tolist()]) for s in first[heads].tolist()
         ]
         offsets = pa.array(np.append(heads, len(pairs)).astype(np.int32))
+        following = ids[first + size]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([lang] * len(heads), pa.string()),
-                pa.array(prefixes, pa.string()),
-                pa.ListArray.from_arrays(offsets, names_of_next),
-                pa.ListArray.from_arrays(offsets, pa.array(found.astype(np.int64))),
+                pa.array(prefixes, pa.binary()).view(pa.string()),
+                pa.array(part[following[heads]].astype(np.int32)),
+                pa.ListArray.from_arrays(offsets, texts.take(pa.array(following))),
+                pa.ListArray.from_arrays(offsets, pa.array(found.astype(np.int32))),
             ],
-            ["lang", "prefix", "next", "found"],
+            ["lang", "prefix", "part", "next", "found"],
         )
 
 
@@ -224,12 +230,16 @@ def merged_stripes(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
         F.col(text_col).alias("text"),
     ).mapInArrow(
-        _count(size, passes), "lang string, prefix string, next array<string>, found array<long>"
+        _count(size, passes),
+        "lang string, prefix string, part int, next array<string>, found array<int>",
     )
+    # Stripes are shuffled whole, and merged where they meet.
     return (
-        stripes.select("lang", "prefix", F.inline(F.arrays_zip("next", "found")))
-        .groupBy("lang", "prefix", "next")
+        stripes.repartition("lang", "prefix", "part")
+        .select("lang", "prefix", "part", F.inline(F.arrays_zip("next", "found")))
+        .groupBy("lang", "prefix", "part", "next")
         .agg(F.sum("found").alias("found"))
+        .drop("part")
     )
 
 
