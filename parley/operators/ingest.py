@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,7 +165,7 @@ def merge_bursts(
 def merge_assigned(
     bursts: DataFrame, keys: Sequence[str] = ("from_user", "to_user"), size: int = PART_ROWS
 ) -> DataFrame:
-    """The messages of `assign_bursts`, merged.
+    """The messages of `assign_bursts`, merged. `burst_number` tells bursts without a time apart.
 
     Places in a burst are known, so a long one is cut without a look at sizes,
     and the grouping goes on in the partitions the bursts were found in.
@@ -177,14 +179,15 @@ def merge_assigned(
         F.array_sort(F.collect_list(text)).alias("_texts"),
     )
     content = F.array_join(F.transform("_texts", lambda x: x["content"]), "\n")
-    return merged.withColumn("content", content).drop("_texts", *number)
+    return merged.withColumn("content", content).drop("_texts")
 
 
 def burst_status(bursts: DataFrame, friends: DataFrame, replies: DataFrame) -> DataFrame:
     """Status patches (`msg_id, status`) of the messages of handled bursts (T5).
 
     `bursts` is the output of `assign_bursts`. `replies` has a row per handled
-    burst (`from_user, to_user, burst_start`) and `failed`. Bursts of senders
+    burst (`from_user, to_user, burst_start`, and `burst_number` if `bursts` has it) and
+    `failed`. Missing receivers and times are equal to missing ones. Bursts of senders
     without an active AI contact, and bursts not handled yet, give no patch.
     """
     ai_members = (
@@ -193,12 +196,14 @@ def burst_status(bursts: DataFrame, friends: DataFrame, replies: DataFrame) -> D
         .distinct()
     )
     status = F.when(F.col("failed"), F.lit("failed")).otherwise(F.lit("processed"))
-    handled = replies.select("from_user", "to_user", "burst_start", "failed").join(
-        ai_members, "from_user", "left_semi"
-    )
-    return bursts.join(handled, ["from_user", "to_user", "burst_start"]).select(
-        "msg_id", status.alias("status")
+    keys = ["from_user", "to_user", "burst_start"]
+    if "burst_number" in bursts.columns and "burst_number" in replies.columns:
+        keys.append("burst_number")
+    handled = replies.select(*[F.col(k).alias(f"_{k}") for k in keys], "failed").join(
+        ai_members, F.col("_from_user") == F.col("from_user"), "left_semi"
     )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return bursts.join(handled, same).select("msg_id", status.alias("status"))
 
 
 # --- connections ------------------------------------------------------------

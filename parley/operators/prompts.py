@@ -338,8 +338,12 @@ def burst_requests(bursts: DataFrame, friends: DataFrame) -> DataFrame:
     """Merged bursts as prompt requests of active AI contacts.
 
     Of several contacts of one name the lowest id counts. A very long burst
-    keeps its parts: joined in order of `part` they are its text.
+    keeps its parts: joined in order of `part` they are its text. The id of a burst without a
+    time ends with its number instead.
     """
+    began = F.col("burst_start").cast("string")
+    if "burst_number" in bursts.columns:
+        began = F.coalesce(began, F.concat(F.lit("n"), F.col("burst_number").cast("string")))
     members = friends.where((F.col("is_active") == 1) & (F.col("ai_active") == 1)).select(
         F.col("wxid").alias("from_user"), F.col("id").alias("friend_id")
     )
@@ -350,7 +354,7 @@ def burst_requests(bursts: DataFrame, friends: DataFrame) -> DataFrame:
     return asked.join(members, "from_user").select(
         # A missing receiver keeps its place, so that ids of other bursts are not met.
         F.concat_ws(
-            "/", "from_user", F.coalesce("to_user", F.lit("")), "burst_start"
+            "/", "from_user", F.coalesce("to_user", F.lit("")), began
         ).alias("request_id"),
         "friend_id",
         "part",

@@ -153,6 +153,26 @@ TABLES = {
         FROM burst_rows b
         WHERE b.burst_start < epoch({EVENTS_NOW}) AND EXISTS (
             SELECT 1 FROM friends f WHERE f.wxid = b.from_user AND f.is_active = 1 AND f.ai_active = 1)""",
+    "odd_incoming": """
+        SELECT * REPLACE (CASE WHEN id % 23 <> 0 THEN create_time END AS create_time,
+                          CASE WHEN id % 29 <> 0 THEN msg_id END AS msg_id)
+        FROM incoming""",
+    "odd_gaps": f"""
+        SELECT *, row_number() OVER w AS number,
+               coalesce(create_time - lag(create_time) OVER w > {GAP}, true) AS begins
+        FROM odd_incoming
+        WINDOW w AS (PARTITION BY from_user, to_user ORDER BY create_time NULLS FIRST, id)""",
+    "odd_burst_rows": """
+        SELECT *, max(CASE WHEN begins THEN create_time END) OVER w AS burst_start,
+               max(CASE WHEN begins THEN number END) OVER w AS burst_number
+        FROM odd_gaps
+        WINDOW w AS (PARTITION BY from_user, to_user ORDER BY number ROWS UNBOUNDED PRECEDING)""",
+    "odd_bursts": """
+        SELECT from_user, to_user, burst_start, burst_number,
+               CAST(floor(burst_place / 10000) AS BIGINT) AS part, count(*) AS message_count,
+               max(create_time) AS last_received, string_agg(content, chr(10) ORDER BY number) AS content
+        FROM (SELECT *, number - burst_number AS burst_place FROM odd_burst_rows)
+        GROUP BY from_user, to_user, burst_start, burst_number, part""",
     "history": f"""
         SELECT f.wxid AS party_a, 'a' || f.own_account AS party_b, f.id AS friend_id, m.*
         FROM messages m JOIN friends f
@@ -231,6 +251,10 @@ PARTS = {
     "burst_rows": ("incoming", "gaps"),
     "bursts": ("incoming", "gaps", "burst_rows"),
     "status_patches": ("friends", "incoming", "gaps", "burst_rows"),
+    "odd_incoming": ("incoming",),
+    "odd_gaps": ("incoming", "odd_incoming"),
+    "odd_burst_rows": ("incoming", "odd_incoming", "odd_gaps"),
+    "odd_bursts": ("incoming", "odd_incoming", "odd_gaps", "odd_burst_rows"),
     "history": ("messages", "friends"),
     "spoken": ("messages", "friends", "history"),
     "task_lists": ("tasks",),
@@ -595,13 +619,22 @@ SELECT msg_id, from_user, to_user, content, CASE route WHEN 1 THEN 'done' ELSE '
        {EVENTS_NOW} AS create_at, {EVENTS_NOW} AS update_at
 FROM (SELECT m.*, {ROUTE} AS route FROM frames m {ROUTED}) r
 WHERE from_user IS NOT NULL AND route <> 0 AND msg_type <> 51 AND content <> ''""")
-ORACLE["stream_messages"] = ORACLE["message_rows"]
+oracle("stream_messages", "frames accounts friends", f"""
+SELECT CASE WHEN arrival % 29 <> 0 THEN msg_id END AS msg_id, from_user, to_user, content,
+       CASE route WHEN 1 THEN 'done' ELSE 'queued' END AS status, 0 AS is_ai,
+       CASE route WHEN 1 THEN 1 ELSE 0 END AS type, msg_type, create_time,
+       {EVENTS_NOW} AS create_at, {EVENTS_NOW} AS update_at
+FROM (SELECT m.*, {ROUTE} AS route FROM frames m {ROUTED}) r
+WHERE from_user IS NOT NULL AND route <> 0 AND msg_type <> 51 AND content <> ''""")
 oracle("dedup_messages", "messages", """
 SELECT msg_id, create_time, content FROM messages WHERE type <> 1""")
-oracle("merge_bursts", "bursts", "SELECT * FROM bursts")
+oracle("merge_bursts", "odd_bursts", "SELECT * FROM odd_bursts")
 AI_MEMBERS = "SELECT wxid FROM friends WHERE is_active = 1 AND ai_active = 1"
 oracle("stream_bursts", "bursts friends", f"SELECT * FROM bursts WHERE from_user IN ({AI_MEMBERS})")
-oracle("burst_status", "status_patches", "SELECT msg_id, status FROM status_patches")
+oracle("burst_status", "odd_burst_rows friends", f"""
+SELECT msg_id, CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE 'processed' END AS status
+FROM odd_burst_rows
+WHERE coalesce(burst_start, 0) < epoch({EVENTS_NOW}) AND from_user IN ({AI_MEMBERS})""")
 oracle("set_message_status", "messages status_patches", f"""
 SELECT m.id, coalesce(p.status, 'queued') AS status,
        CASE WHEN p.msg_id IS NULL THEN m.create_at ELSE {EVENTS_NOW} END AS update_at
@@ -687,10 +720,11 @@ SELECT id + 500, 1, NULL, NULL, '', 'system',
        (SELECT prompt FROM roles WHERE id = 1000) || ' 我的账号是' || wx_id FROM accounts
 UNION ALL
 SELECT id + 500, 2, NULL, NULL, '', 'user', nickname FROM accounts""")
-oracle("burst_requests", "bursts friends", """
-SELECT b.from_user || '/' || b.to_user || '/' || b.burst_start AS request_id, f.id AS friend_id,
-       b.part, b.content AS text
-FROM bursts b JOIN friends f ON f.wxid = b.from_user AND f.is_active = 1 AND f.ai_active = 1""")
+oracle("burst_requests", "odd_bursts friends", """
+SELECT b.from_user || '/' || b.to_user || '/' || coalesce(CAST(b.burst_start AS VARCHAR), 'n' || b.burst_number)
+         AS request_id, f.id AS friend_id, b.part,
+       CASE WHEN part > 0 THEN chr(10) ELSE '' END || b.content AS text
+FROM odd_bursts b JOIN friends f ON f.wxid = b.from_user AND f.is_active = 1 AND f.ai_active = 1""")
 oracle("exchange_log_rows", "", """
 SELECT conv_id, 're: ' || arg_min(role, turn) AS reply,
        CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS msg,

@@ -93,6 +93,15 @@ class Standins:
             prefixed("k", F.col("user_id") % ACCOUNTS).alias("auth_key"),
         )
 
+    def odd_messages(self) -> DataFrame:
+        """Received messages; every 23rd has no time, every 29th no `msg_id`."""
+        return self.messages(both_ways=False).withColumns(
+            {
+                "create_time": F.when(~every("id", 23), F.col("create_time")),
+                "msg_id": F.when(~every("id", 29), F.col("msg_id")),
+            }
+        )
+
     def friends(self, own_account: bool = False) -> DataFrame:
         """Contacts; with `own_account`, under the account their messages go to."""
         key = F.col("c_custkey")
@@ -215,12 +224,14 @@ class Standins:
             F.col("ts").alias("timestamp"),
         )
 
-    def frames(self) -> DataFrame:
-        """Frames as JSON text; every tenth is cut off, every eleventh has text behind it."""
+    def frames(self, odd: bool = False) -> DataFrame:
+        """Frames as JSON text; every tenth is cut off, every eleventh has text behind it. With
+        `odd`, every 29th has no `msg_id`."""
+        named_by = F.when(~every("id", 29), F.col("id")) if odd else F.col("id")
         m = self.messages(both_ways=False)
         named = F.when(F.col("id") % 13 != 0, F.struct(F.col("from_user").alias("str")))
         frame = F.struct(
-            F.col("id").alias("msg_id"),
+            named_by.alias("msg_id"),
             named.alias("from_user_name"),
             F.struct(F.col("to_user").alias("str")).alias("to_user_name"),
             F.when(F.col("id") % 17 == 0, 51).otherwise(F.col("msg_type")).alias("msg_type"),

@@ -74,12 +74,37 @@ def write_version(df: DataFrame, root: str, version: str | int) -> str:
     return path
 
 
+def newest_version(spark: SparkSession, root: str) -> str:
+    """The path of the newest whole version `write_version` has made below `root`.
+
+    Whole numbers count as numbers. A version that is still being written has no `_SUCCESS` yet.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = []
+    for status in files.listStatus(path):
+        name = status.getPath().getName()
+        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name.startswith("version=") and files.exists(done):
+            version = name.removeprefix("version=")
+            number = int(version) if version.isdecimal() else -1
+            whole.append((number, version, status.getPath().toString()))
+    if not whole:
+        raise FileNotFoundError(f"no version below {root}")
+    return max(whole)[2]
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder all executors can reach, below `spark.checkpoint.dir`.
 
-    Only where that is not set, as in local tests, a temporary folder is used.
+    Where that is not set, a session in one process, as in tests, uses a temporary folder; on a
+    cluster there is none that all executors see, so it has to be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="parley-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
