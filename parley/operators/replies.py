@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.clock import epoch_of, moment
-from parley.functions.ordered import first_per_key
+from parley.functions.ordered import first_per_key, left_join_unique
 from parley.functions.replies import repaired
 from parley.operators.changes import TASK_OP_COLUMNS
 from parley.schemas import DEFAULTS
@@ -143,8 +143,9 @@ def sent_message_rows(
     contacts = first_per_key(talking.select("wxid", "id", "ai_reply"), ["wxid"], ["id"])
     senders = first_per_key(accounts.select("wx_id", "id", "auth_key"), ["wx_id"], ["id"])
     answered = messages.withColumnsRenamed({"from_user": "wxid", "to_user": "wx_id"})
-    allowed = contacts.where(F.col("ai_reply") == 1).select("wxid")
-    sent = answered.join(allowed, "wxid", "left_semi").join(senders.drop("id"), "wx_id")
+    # All replies of an account, or to a contact, may be a third of all: these joins spread them.
+    allowed = left_join_unique(answered, contacts.drop("id"), ["wxid"]).where(F.col("ai_reply") == 1)
+    sent = left_join_unique(allowed.drop("ai_reply"), senders.drop("id"), ["wx_id"])
     return _sent_rows(sent, ["burst_start", "position"], as_of)
 
 

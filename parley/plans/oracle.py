@@ -741,6 +741,17 @@ FROM reply_docs""")
 oracle("reply_messages", "reply_parts", """
 SELECT reply_id, 0 AS position, 'm' || k AS content FROM reply_parts WHERE damage < 7
 UNION ALL SELECT reply_id, 3, 'n' || reply_id FROM reply_parts WHERE damage < 7""")
+_SENT = """'queued' AS status, 1 AS is_ai, 1 AS type, 1 AS msg_type,
+       CAST(epoch({now}) AS BIGINT) AS create_time, {now} AS create_at, {now} AS update_at"""
+oracle("sent_messages", "burst_rows reply_parts friends accounts", f"""
+SELECT b.burst_start, s.position, b.to_user AS from_user, b.from_user AS to_user, s.content,
+       {_SENT.format(now=EVENTS_NOW)}
+FROM burst_rows b
+JOIN (SELECT reply_id, damage, 0 AS position, 'm' || k AS content FROM reply_parts
+      UNION ALL SELECT reply_id, damage, 3, 'n' || reply_id FROM reply_parts) s ON s.reply_id = b.id
+JOIN friends f ON f.wxid = b.from_user AND f.is_active = 1 AND f.ai_active = 1 AND f.ai_reply = 1
+JOIN accounts a ON a.wx_id = b.to_user
+WHERE b.begins AND s.damage < 7""")
 oracle("reply_task_ops", "reply_parts", """
 SELECT reply_id, 0 AS position, target AS id, operate, CAST(user_id AS INTEGER) AS friend_id,
        't' || k AS task_name, '0 0 8 ? * *' AS cron_expression,
@@ -755,3 +766,8 @@ oracle("task_change_notices", "reply_cron friends", """
 SELECT r.reply_id, r.user_id AS friend_id,
        '当前' || f.remark || '的cron任务列表已更新：[' || r.cron || ']' AS content
 FROM reply_cron r JOIN friends f ON f.id = r.user_id WHERE r.damage < 7""")
+ORACLE["sent_tasks"] = f"""
+SELECT t.request_id, t.sender_wxid AS from_user, t.wxid AS to_user, 'hi ' || o.o_orderpriority AS content,
+       {_SENT.format(now=ORDERS_NOW)}
+FROM ({ORACLE["resolve_targets"]}) t JOIN orders o ON o.o_orderkey = t.request_id
+WHERE t.request_id % 6 <> 0 AND coalesce(t.auth_key, '') <> '' AND coalesce(t.wxid, '') <> ''"""

@@ -840,6 +840,27 @@ def reply_messages(s):
     return replies.reply_messages(replies.parse_replies(s.replies(), "text"), ["reply_id"])
 
 
+@query
+def sent_messages(s):
+    """Rows of the replies to the bursts; the reply to a burst is that to its first message."""
+    heads = _bursts(s).where("burst_position = 0").select(
+        F.col("id").alias("reply_id"), "from_user", "to_user", "burst_start"
+    )
+    answers = s.replies().select("reply_id", "text").join(heads, "reply_id")
+    said = replies.reply_messages(
+        replies.parse_replies(answers, "text"), ["from_user", "to_user", "burst_start"]
+    )
+    return replies.sent_message_rows(said, s.friends(), s.accounts(), EVENTS_NOW)
+
+
+@query
+def sent_tasks(s):
+    """Rows of the task messages sent to their targets; every sixth text is empty."""
+    text = F.when(~every("id", 6), F.concat(F.lit("hi "), "task_name")).otherwise("")
+    copies = s.tasks().select(F.col("id").alias("request_id"), text.alias("content"))
+    return replies.sent_task_rows(copies, resolve_targets(s), ORDERS_NOW)
+
+
 @query
 def reply_task_ops(s):
     ops = replies.reply_task_ops(replies.parse_replies(s.replies(), "text"), ["reply_id"])
