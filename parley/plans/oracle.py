@@ -648,6 +648,7 @@ oracle("state_changes", "state_events", """
 SELECT * FROM (SELECT *, lag(state) OVER (PARTITION BY url ORDER BY timestamp, event_id) AS previous_state
                FROM state_events) s
 WHERE previous_state IS NULL OR previous_state <> state""")
+ORACLE["stream_state_changes"] = ORACLE["state_changes"]
 oracle("ws_status_patches", "state_events accounts", f"""
 SELECT id, ws_status, CAST(code AS VARCHAR) AS new_status, state
 FROM (SELECT a.id, a.ws_status, coalesce(s.state, 'NOT_FOUND') AS state,

@@ -27,6 +27,7 @@ from parley.sources.standins import CRONS, Standins, every, pick, prefixed
 from parley.sources import store
 from parley.sources.tables import shared_dir
 from parley.streaming import frames as streams
+from parley.streaming import states
 
 EVENTS_NOW = "2024-01-30 12:30:00"
 ORDERS_NOW = "2001-07-31 12:00:00"
@@ -696,6 +697,20 @@ def state_changes(s):
     return ingest.state_changes(s.state_events())
 
 
+@query
+def stream_state_changes(s):
+    """The rows of `state_changes`, by a stream that goes on three times as events come in."""
+    spark = s.spark
+    root = shared_dir(spark, "stream-states")
+    events, day = s.state_events(), F.dayofmonth("timestamp")
+    for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
+        events.where(part).write.mode("append").parquet(f"{root}/events")
+        source = spark.readStream.schema(events.schema).parquet(f"{root}/events")
+        changes = states.state_changes_stream(source)
+        streams.run_stream(changes, f"{root}/changes", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/changes").select(*events.columns, "previous_state")
+
+
 @query
 def ws_status_patches(s):
     # Events of one connection come under a name no account has.
