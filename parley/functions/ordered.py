@@ -16,6 +16,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.sources.tables import shared_dir
+
 # Rows of a burst or reminder in one row, and groups up to this size sorted in one task.
 PART_ROWS = 10_000
 WINDOW_ROWS = 1_000_000
@@ -265,25 +267,34 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def numbered_ids(
-    rows: DataFrame, keys: Sequence[str], highest: Column, buckets: int = 4096
+    rows: DataFrame, keys: Sequence[str], highest: Column, partitions: int | None = None
 ) -> DataFrame:
-    """Give new rows consecutive ids after the highest id in use, in column `id`.
+    """Give new rows consecutive ids after the highest id in use, in order of `keys`, in column `id`.
 
-    `keys` must be unique in `rows`.
-    Rows are numbered inside hash buckets of their key, and each bucket starts
-    after the rows of the buckets before it: `buckets` counts are all that is
-    put in one place.
+    `keys` must be unique in `rows`; nulls come first. Rows are dealt by ranges of the keys, sorted, and
+    written to the shared folder with their place in the range; each range starts after the rows of the
+    ranges before it. Only the counts of the ranges are put in one place. As the rows are written once,
+    a task that runs again finds the same ids.
     """
-    placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    spark = rows.sparkSession
+    dealt = (
+        rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    )
+    # A number of the partition in the upper bits, of the row in it in the lower 33.
+    placed = dealt.sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    path = shared_dir(spark, "new-rows")
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path).withColumn(
+        "_range", F.shiftright("_place", 33)
+    )
+    counts = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+        "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
-    within = Window.partitionBy("_bucket").orderBy(*keys)
+    number = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return (
-        placed.withColumn("_number", F.row_number().over(within))
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn("id", highest + F.col("_offset") + F.col("_number"))
-        .drop("_bucket", "_number", "_offset")
+        stored.join(F.broadcast(offsets), "_range")
+        .withColumn("id", highest + F.col("_offset") + number)
+        .drop("_range", "_place", "_offset")
     )

@@ -68,7 +68,7 @@ def _max_id(df: DataFrame) -> Column:
 
 
 def _insert(df: DataFrame, rows: DataFrame, keys: Sequence[str], table: str, as_of) -> DataFrame:
-    """`rows` shaped like `df`, with defaults and new ids."""
+    """`rows` shaped like `df`, with defaults and new ids in order of `keys`."""
     numbered = numbered_ids(rows, keys, _max_id(df))
     full = conform(numbered, table, as_of)
     return full.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns])
@@ -87,20 +87,20 @@ def upsert_contacts(
     """Contacts of a snapshot added or updated by account and contact name.
 
     Matched rows take the profile columns, empty text included; flags, prompt,
-    role and times stay. New rows get defaults and new ids. Of a contact listed
+    role and times stay. New rows get defaults, and new ids by account in order of `seq`. Of a contact listed
     twice for an account the last by `seq` counts. If several stored rows match,
     the one with the lowest id is updated.
     """
     keys = ["account_id", "wxid"]
     profile = [c for c in CONTACT_COLUMNS if c not in keys and c in friends.columns]
-    once = last_per_key(contacts.select(*keys, *profile, seq), keys, [seq]).drop(seq)
+    once = last_per_key(contacts.select(*keys, *profile, seq), keys, [seq])
     # Only stored rows a contact matches are grouped; each contact finds the one it updates.
     named = friends.select(*keys, "id").join(once, keys, "left_semi")
     target = named.groupBy(*keys).agg(F.min("id").alias("id"))
     patches = target.join(once, keys).select("id", *profile)
     updated = apply_patch(friends, patches, "id", profile, as_of)
     added = once.join(target, keys, "left_anti")
-    return updated.unionByName(_insert(friends, added, keys, "friends", as_of))
+    return updated.unionByName(_insert(friends, added, ["account_id", seq, "wxid"], "friends", as_of))
 
 
 def set_friend_count(accounts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -109,12 +109,13 @@ def set_friend_count(accounts: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def upsert_accounts(accounts: DataFrame, patches: DataFrame, as_of=None, seq: str = "seq") -> DataFrame:
-    """Accounts added or updated by their `wx_id` (M4). The last patch by `seq` wins."""
+    """Accounts added or updated by their `wx_id` (M4). The last patch by `seq` wins; new ids are in
+    its order."""
     cols = [c for c in patches.columns if c not in ("wx_id", seq)]
-    once = last_per_key(patches, ["wx_id"], [seq]).drop(seq)
+    once = last_per_key(patches, ["wx_id"], [seq])
     updated = apply_patch(accounts, once, "wx_id", cols, as_of)
     added = once.join(accounts, "wx_id", "left_anti")
-    return updated.unionByName(_insert(accounts, added, ["wx_id"], "accounts", as_of))
+    return updated.unionByName(_insert(accounts, added, [seq, "wx_id"], "accounts", as_of))
 
 
 def upsert_by_id(df: DataFrame, rows: DataFrame, table: str, seq: str, as_of=None) -> DataFrame:

@@ -447,19 +447,22 @@ oracle("delete_rows", "roles", """
 SELECT id, name, 'kept' AS outcome FROM roles WHERE name NOT LIKE 'red%' OR guarded
 UNION ALL SELECT id, name, 'refused' FROM roles WHERE name LIKE 'red%' AND guarded""")
 oracle("upsert_contacts", "friends snapshot", f"""
-SELECT f.id AS old_id, f.account_id, f.wxid, coalesce(s.nickname, f.nickname) AS nickname,
+SELECT f.id, f.account_id, f.wxid, coalesce(s.nickname, f.nickname) AS nickname,
        CASE WHEN s.wxid IS NULL THEN f.remark ELSE '' END AS remark,
        coalesce(s.province, 'old') AS province, f.is_active, f.role_id,
        CASE WHEN s.wxid IS NULL THEN f.update_time ELSE {EVENTS_NOW} END AS update_time
 FROM friends f LEFT JOIN snapshot s ON s.account_id = f.account_id AND s.wxid = f.wxid
 UNION ALL
-SELECT NULL, account_id, wxid, nickname, '', province, 0, 1009, {EVENTS_NOW}
+SELECT (SELECT max(id) FROM friends) + row_number() OVER (ORDER BY account_id, wxid), account_id, wxid,
+       nickname, '', province, 0, 1009, {EVENTS_NOW}
 FROM snapshot WHERE wxid LIKE 'n%'""")
 oracle("snapshot_counts", "accounts snapshot", """
 SELECT a.id, CASE WHEN count(s.wxid) = 0 THEN 0 ELSE count(s.wxid) * 2 END AS friend_count
 FROM accounts a LEFT JOIN snapshot s ON s.account_id = a.id GROUP BY a.id""")
 oracle("upsert_accounts", "accounts logins", """
-SELECT coalesce(a.wx_id, l.wx_id) AS wx_id, coalesce(l.auth_key, a.auth_key) AS auth_key,
+SELECT CAST(coalesce(a.id, (SELECT max(id) FROM accounts)
+           + row_number() OVER (PARTITION BY a.id IS NULL ORDER BY l.seq)) AS INTEGER) AS id,
+       coalesce(a.wx_id, l.wx_id) AS wx_id, coalesce(l.auth_key, a.auth_key) AS auth_key,
        CASE WHEN l.wx_id IS NULL THEN a.nickname ELSE l.nickname END AS nickname,
        l.remaining AS auth_key_remaining_time, a.other AS totalOnline,
        coalesce(a.ws_status, '0') AS ws_status
@@ -482,14 +485,16 @@ SELECT a.id, a.nickname, CASE WHEN NOT leaves THEN onlineTime END AS onlineTime,
        CASE WHEN NOT leaves THEN other END AS onlineDays, CASE WHEN NOT leaves THEN other END AS totalOnline
 FROM (SELECT *, id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 3000) AS leaves FROM accounts) a""")
 oracle("upsert_by_id", "friends tasks", f"""
-SELECT t.id AS old_id, CASE WHEN f.id IS NULL THEN t.friend_id ELSE f.id END AS friend_id,
+SELECT t.id, CASE WHEN f.id IS NULL THEN t.friend_id ELSE f.id END AS friend_id,
        coalesce(f.nickname, t.task_name) AS task_name,
        CASE WHEN f.id IS NULL THEN t.cron_expression ELSE '0 0 8 * * *' END AS cron_expression,
        t.is_active, t.execution_count,
        CASE WHEN f.id IS NULL THEN t.update_time ELSE {ORDERS_NOW} END AS update_time
 FROM tasks t LEFT JOIN friends f ON f.id = t.id AND f.id % 3 = 0
 UNION ALL
-SELECT NULL, id, nickname, '0 0 8 * * *', 1, 0, {ORDERS_NOW} FROM friends WHERE id % 3 <> 0""")
+SELECT (SELECT max(id) FROM tasks) + row_number() OVER (ORDER BY id), id, nickname, '0 0 8 * * *', 1, 0,
+       {ORDERS_NOW}
+FROM friends WHERE id % 3 <> 0""")
 oracle("set_all", "friends", "SELECT id, 0 AS ai_reply FROM friends")
 
 # --- tasks ------------------------------------------------------------------
@@ -530,7 +535,7 @@ FULL JOIN (SELECT o_orderkey + 10 AS id,
            FROM orders) p ON p.id = w.id""")
 oracle("active_task_json", "task_lists", "SELECT friend_id, '' AS part, task_count, items FROM task_lists")
 oracle("apply_task_ops", "tasks ops", f"""
-SELECT t.id AS old_id, t.friend_id, coalesce(n.task_name, t.task_name) AS task_name,
+SELECT t.id, t.friend_id, coalesce(n.task_name, t.task_name) AS task_name,
        CASE WHEN c.id IS NULL THEN t.cron_expression ELSE c.cron_expression END AS cron_expression,
        CASE WHEN c.id IS NULL THEN t.start_date END AS start_date,
        CASE WHEN n.id IS NULL THEN t.end_date ELSE '2030-01-01' END AS end_date,
@@ -543,8 +548,8 @@ LEFT JOIN (SELECT * FROM ops WHERE operate = 'update' AND NOT gives_cron
            QUALIFY row_number() OVER (PARTITION BY id ORDER BY op_seq DESC) = 1) n ON n.id = t.id
 WHERE t.id NOT IN (SELECT id FROM ops WHERE operate = 'delete')
 UNION ALL
-SELECT NULL, friend_id, task_name, cron_expression, NULL,
-       '2030-01-01', 1, 0, {ORDERS_NOW}
+SELECT (SELECT max(id) FROM tasks) + row_number() OVER (ORDER BY op_seq), friend_id, task_name,
+       cron_expression, NULL, '2030-01-01', 1, 0, {ORDERS_NOW}
 FROM ops WHERE operate = 'add' AND id = -1""")
 oracle("record_executions", "tasks runs", """
 SELECT t.id, CAST(t.execution_count + coalesce(r.n, 0) AS INTEGER) AS execution_count,

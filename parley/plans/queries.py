@@ -301,10 +301,8 @@ def upsert_contacts(s):
     contacts = documents.contacts_from_snapshot(_snapshots(s), s.accounts())
     stored = s.friends().withColumn("province", F.lit("old"))
     merged = changes.upsert_contacts(stored, contacts, EVENTS_NOW)
-    is_new = F.col("wxid").startswith("n")
     return merged.select(
-        F.when(~is_new, F.col("id")).alias("old_id"),
-        "account_id", "wxid", "nickname", "remark", "province", "is_active", "role_id",
+        "id", "account_id", "wxid", "nickname", "remark", "province", "is_active", "role_id",
         "update_time",
     )
 
@@ -335,7 +333,7 @@ def upsert_accounts(s):
     )
     merged = changes.upsert_accounts(s.accounts(), documents.account_patch_from_login(docs))
     return merged.select(
-        "wx_id", "auth_key", "nickname", "auth_key_remaining_time", "totalOnline", "ws_status"
+        "id", "wx_id", "auth_key", "nickname", "auth_key_remaining_time", "totalOnline", "ws_status"
     )
 
 
@@ -401,10 +399,8 @@ def upsert_by_id(s):
         F.lit("0 0 8 * * *").alias("cron_expression"),
     )
     merged = changes.upsert_by_id(s.tasks(), rows, "friends_task", "seq", ORDERS_NOW)
-    added = F.col("task_name").startswith("Customer") & (F.col("friend_id") % 3 != 0)
     return merged.select(
-        F.when(~added, F.col("id")).alias("old_id"),
-        "friend_id", "task_name", "cron_expression", "is_active", "execution_count", "update_time",
+        "id", "friend_id", "task_name", "cron_expression", "is_active", "execution_count", "update_time",
     )
 
 
@@ -503,10 +499,8 @@ def _ops(s):
 @query
 def apply_task_ops(s):
     changed = changes.apply_task_ops(s.tasks(), _ops(s), ORDERS_NOW)
-    added = (F.col("update_time") == F.col("create_time")) & (F.year("create_time") == 2001)
-    is_new = added & F.col("task_name").startswith("t") & F.col("start_date").isNull()
     return changed.select(
-        F.when(~is_new, F.col("id")).alias("old_id"), "friend_id", "task_name", "cron_expression",
+        "id", "friend_id", "task_name", "cron_expression",
         "start_date", "end_date", "is_active", "execution_count", "update_time",
     )
 

@@ -203,6 +203,13 @@ def test_ids_of_new_rows_are_consecutive_and_new(spark):
     assert ids == list(range(42, 542))
 
 
+def test_ids_of_new_rows_follow_their_order(spark):
+    new = spark.createDataFrame([(n % 7, f"k{n:03}") for n in range(500)] + [(None, "z")], "g int, k string")
+    rows = sorted(ordered.numbered_ids(new.repartition(5), ["g", "k"], F.lit(9), 6).collect(), key=lambda r: r.id)
+    assert [r.id for r in rows] == list(range(10, 511))
+    assert [(r.g, r.k) for r in rows] == [(None, "z")] + sorted((n % 7, f"k{n:03}") for n in range(500))
+
+
 def test_first_and_last_per_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, None)], "k string, o int, v string")
     assert sorted(ordered.first_per_key(df, ["k"], ["o"]).collect()) == [("a", 1, "y"), ("b", 5, None)]
