@@ -12,8 +12,9 @@ frequent phrases one word shorter. The filter only saves work: what it lets thro
 right and then found rare. Words are numbered within a task and phrases named by pairs of numbers, so nothing
 is counted by a hash.
 
-A stripe is never held whole: it comes in parts by the hash of the next word, which meet in different
-tasks, so a prefix that a third of all rows has is spread. Tasks combine what they count before the shuffle.
+Stripes are shuffled whole, but for those of hot prefixes (at most 256 of a length), which come in parts
+by the hash of the next word, so a prefix that a third of all rows has is spread. The stripe of all words is merged
+word by word, combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ TOP = 2000
 #: Words counted together in a task, and bytes of a text that are parted at a time.
 BLOCK_WORDS = 1 << 20
 PART_BYTES = 1 << 20
-#: Parts of a stripe by the hash of the next word: of the stripe of all words, and of any other.
-WORD_PARTS, STRIPE_PARTS = 1024, 32
+#: A prefix is hot if one word in so many follows it; so many there can be at most. Stripes of hot
+#: prefixes come in parts by the hash of the next word.
+HOT_SHARE, HOT_PARTS = 256, 128
 #: Bits of the filter for each frequent phrase, and the most it may have (32 MB).
 FILTER_BITS_EACH = 16
 MOST_FILTER_BITS = 1 << 28
@@ -69,6 +71,13 @@ def _seed(lang: str, size: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(lang.encode())], _U) * _BASE + _U(size)
 
 
+def _phrase_hash(lang: str, phrase: str, size: int) -> int:
+    h = _seed(lang, size)
+    for w in phrase.encode().split(b" "):
+        h = _mix(h * _BASE + _U(xxhash.xxh3_64_intdigest(w)))
+    return int(h[0])
+
+
 def _tokens(raw: bytes) -> Iterator[list[bytes]]:
     """The words of a text, lower-cased, with marks where pieces end, in parts of limited size."""
     raw = raw.lower().translate(_TO_END)
@@ -89,8 +98,8 @@ def _tokens(raw: bytes) -> Iterator[list[bytes]]:
 class _Stripes:
     """Counts the words that follow prefixes of `size` words, in blocks of texts of one task."""
 
-    def __init__(self, size: int, passes: np.ndarray | None):
-        self.size, self.passes = size, passes
+    def __init__(self, size: int, passes: np.ndarray | None, hot: list[int]):
+        self.size, self.passes, self.hot = size, passes, np.array(hot, _U)
         self.reset()
 
     def reset(self) -> None:
@@ -137,25 +146,26 @@ class _Stripes:
         for k in range(1, size + 1):
             whole &= ids[k : n + k] != 0
         starts = np.flatnonzero(whole)
-        for first in (0, 1) if size else ():
+        known = np.zeros(len(starts), _U)
+        for first in (1, 0) if size else ():
             h = np.repeat(_seed(lang, size), len(starts))
             for k in range(size):
                 h = _mix(h * _BASE + hashes[ids[starts + (first + k)]])
-            h %= _U(len(self.passes) * 64)
-            ok = (self.passes[h >> _U(6)] >> (h & _U(63))) & _U(1)
-            starts = starts[ok.astype(bool)]
+            place = h % _U(len(self.passes) * 64)
+            ok = ((self.passes[place >> _U(6)] >> (place & _U(63))) & _U(1)).astype(bool)
+            starts, known = starts[ok], h[ok]
         if not len(starts):
             return
         # Names of prefixes: a word's number, then pairs of a name and the next word's number.
         names = ids[starts] if size else np.zeros(len(starts), np.int64)
         for k in range(1, size):
             _, names = np.unique(names * len(words) + ids[starts + k], return_inverse=True)
-        parts = STRIPE_PARTS if size else WORD_PARTS
-        part = (hashes % _U(parts)).astype(np.int64)
         following = ids[starts + size]
+        part = np.where(np.isin(known, self.hot), hashes[following] % _U(HOT_PARTS), _U(0))
+        part = part.astype(np.int64)
         # The parts of a stripe one after the other.
         pairs, at, found = np.unique(
-            (names * parts + part[following]) * len(words) + following,
+            (names * HOT_PARTS + part) * len(words) + following,
             return_index=True, return_counts=True,
         )
         heads = np.flatnonzero(np.diff(pairs // len(words), prepend=-1))
@@ -170,7 +180,7 @@ class _Stripes:
             [
                 pa.array([lang] * len(heads), pa.string()),
                 pa.array(prefixes, pa.binary()).view(pa.string()),
-                pa.array(part[following[heads]].astype(np.int32)),
+                pa.array(part[at[heads]].astype(np.int32)),
                 pa.ListArray.from_arrays(offsets, texts.take(pa.array(following))),
                 pa.ListArray.from_arrays(offsets, pa.array(found.astype(np.int32))),
             ],
@@ -178,9 +188,9 @@ class _Stripes:
         )
 
 
-def _count(size: int, passes: np.ndarray | None):
+def _count(size: int, passes: np.ndarray | None, hot: list[int]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes = _Stripes(size, passes)
+        stripes = _Stripes(size, passes, hot)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if text.is_valid:
@@ -194,10 +204,7 @@ def _filter_words(batches: Iterator[pa.RecordBatch], size: int, bits: int):
     for batch in batches:
         out: dict[int, int] = defaultdict(int)
         for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            h = _seed(lang, size)
-            for w in phrase.encode().split(b" "):
-                h = _mix(h * _BASE + _U(xxhash.xxh3_64_intdigest(w)))
-            place = int(h[0]) % bits
+            place = _phrase_hash(lang, phrase, size) % bits
             out[place >> 6] |= 1 << (place & 63)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(out), pa.int64()),
@@ -223,26 +230,37 @@ def phrase_filter(phrases: DataFrame, size: int) -> np.ndarray:
 
 
 def merged_stripes(
-    docs: DataFrame, size: int, passes: np.ndarray | None, lang_col: str, text_col: str
+    docs: DataFrame,
+    size: int,
+    passes: np.ndarray | None,
+    hot: list[int],
+    lang_col: str,
+    text_col: str,
 ) -> DataFrame:
     """The elements (lang, prefix, next, found) of the merged stripes of prefixes of `size` words."""
     stripes = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
         F.col(text_col).alias("text"),
     ).mapInArrow(
-        _count(size, passes),
+        _count(size, passes, hot),
         "lang string, prefix string, part int, next array<string>, found array<int>",
     )
-    # Stripes are shuffled whole, and merged where they meet.
+    if size:
+        stripes = stripes.repartition("lang", "prefix", "part")
     return (
-        stripes.repartition("lang", "prefix", "part")
-        .select("lang", "prefix", "part", F.inline(F.arrays_zip("next", "found")))
+        stripes.select("lang", "prefix", "part", F.inline(F.arrays_zip("next", "found")))
         .groupBy("lang", "prefix", "part", "next")
         .agg(F.sum("found").alias("found"))
         .drop("part")
     )
 
 
+def hot_prefixes(phrases: DataFrame, size: int, n: int) -> list[int]:
+    """The numbers of the phrases of `size` words that make up one in HOT_SHARE of `n` places or more."""
+    rows = phrases.filter(F.col("found") * HOT_SHARE >= n).select("lang", "phrase").collect()
+    return [_phrase_hash(r.lang, r.phrase, size) for r in rows]
+
+
 def frequent_phrases(
     docs: DataFrame,
     longest: int = LONGEST,
@@ -254,15 +272,17 @@ def frequent_phrases(
 
     The first table has `lang, size, prefix, next, phrase, found`, the second `lang, n`.
     """
-    words = stash(merged_stripes(docs, 0, None, lang_col, text_col), "stripes-0")
+    words = stash(merged_stripes(docs, 0, None, [], lang_col, text_col), "stripes-0")
     totals = stash(words.groupBy("lang").agg(F.sum("found").alias("n")), "totals")
+    n = totals.agg(F.sum("n")).first()[0] or 0
     levels, rows = [], words
     for size in range(longest):
         if size:
             passes = phrase_filter(levels[-1], size)
             if not passes.any():
                 break
-            rows = merged_stripes(docs, size, passes, lang_col, text_col)
+            hot = hot_prefixes(levels[-1], size, n)
+            rows = merged_stripes(docs, size, passes, hot, lang_col, text_col)
         phrase = F.concat_ws(" ", "prefix", "next") if size else F.col("next")
         levels.append(
             stash(
