@@ -272,10 +272,18 @@ def frequent_phrases(
 
     The first table has `lang, size, prefix, next, phrase, found`, the second `lang, n`.
     """
-    words = stash(merged_stripes(docs, 0, None, [], lang_col, text_col), "stripes-0")
+    # Rare words are only counted: all those of a language in one row, without a word.
+    often = F.when(F.col("found") >= least, F.col("next")).alias("next")
+    words = stash(
+        merged_stripes(docs, 0, None, [], lang_col, text_col)
+        .groupBy("lang", often)
+        .agg(F.sum("found").alias("found"))
+        .withColumn("prefix", F.lit("")),
+        "words",
+    )
     totals = stash(words.groupBy("lang").agg(F.sum("found").alias("n")), "totals")
     n = totals.agg(F.sum("n")).first()[0] or 0
-    levels, rows = [], words
+    levels, rows = [], words.filter(F.col("next").isNotNull())
     for size in range(longest):
         if size:
             passes = phrase_filter(levels[-1], size)
