@@ -50,6 +50,26 @@ def from_epoch(seconds: Column, offset_hours: int = 0) -> Column:
     )
 
 
+def local_time(seconds: Column, zone: str | Column) -> Column:
+    """What clocks of a named zone show at epoch seconds, as a zone-less timestamp."""
+    return F.convert_timezone(F.lit("UTC"), _zone(zone), from_epoch(seconds))
+
+
+def instant_of(local: Column, zone: str | Column) -> Column:
+    """Epoch seconds at which clocks of a named zone show `local`.
+
+    A time that clocks show twice, as they are set back, is the first of the two. One they leave out, as
+    they are set forward, is no instant, and gives null.
+    """
+    there = F.convert_timezone(_zone(zone), F.lit("UTC"), local)
+    shown = F.convert_timezone(F.lit("UTC"), _zone(zone), there)
+    return F.when(shown == local, epoch_of(there))
+
+
+def _zone(zone: str | Column) -> Column:
+    return zone if isinstance(zone, Column) else F.lit(zone)
+
+
 def epoch_seconds(value: Column) -> Column:
     """Epoch values come in seconds or milliseconds; give seconds (Q7)."""
     return F.when(value > 100_000_000_000, F.floor(value / 1000)).otherwise(value).cast("long")

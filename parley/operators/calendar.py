@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import cron
-from parley.functions.clock import moment
+from parley.functions.clock import instant_of, moment
 
 _FIELDS = "_cron_fields"
 
@@ -71,6 +71,18 @@ def cron_fires(tasks: DataFrame, start, end) -> DataFrame:
     )
 
 
+def zoned_fires(tasks: DataFrame, start, end, zone: str | Column) -> DataFrame:
+    """`cron_fires` by the clocks of a named zone, with the epoch seconds in `fire_epoch`.
+
+    `start` and `end` are times of that zone, which may differ from task to task (a column). Fires in the
+    hour that clocks leave out do not happen, those in the hour they show twice happen the first time.
+    """
+    fires = cron_fires(tasks, start, end)
+    return fires.withColumn("fire_epoch", instant_of(F.col("fire_time"), zone)).where(
+        F.col("fire_epoch").isNotNull()
+    )
+
+
 def next_fire(tasks: DataFrame, as_of, horizon_days: int = 366) -> DataFrame:
     """Tasks with their first fire after `as_of`, null if none within the horizon (K7)."""
     planned, plan = _with_plan(tasks)

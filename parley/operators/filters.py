@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.clock import hours_before
 from parley.functions.values import blank, pair_key
 from parley.schemas import LENGTHS
+from parley.sources.tables import shared_dir
 
 # Fixed value: the accepted form of a time typed in by hand.
 TIME_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\z"
@@ -151,15 +152,108 @@ def lookup_one(df: DataFrame, values: Mapping[str, object], order: Sequence[str]
     return filter_eq(df, values).orderBy(*order).limit(1)
 
 
+# Pages that begin within so many rows are taken as the first rows of each task; later ones by rank.
+SHALLOW_ROWS = 10_000
+# Columns of a ranked listing: the range a row is in, and its place over all ranges.
+RANGE, PLACE = "_range", "_place"
+
+
 def paginate(
-    df: DataFrame, order: Sequence[Column | str], page: int = 1, size: int = 10
+    df: DataFrame,
+    order: Sequence[Column | str],
+    page: int = 1,
+    size: int = 10,
+    shallow_rows: int = SHALLOW_ROWS,
 ) -> DataFrame:
-    """One page in a total order, with the row count and the page count."""
+    """One page in a total order, with the row count and the page count.
+
+    A page that ends within the first `shallow_rows` rows is cut from the first rows of each task. For a
+    later one that would put all rows before it in one place; it is read by rank (`write_ranked`).
+    """
+    if page * size > shallow_rows:
+        path = shared_dir(df.sparkSession, "ranked")
+        write_ranked(df, order, path)
+        return ranked_page(df.sparkSession, path, page, size)
     rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
     counted = rows.withColumn("total_rows", df.agg(F.count(F.lit(1))).scalar())
     return counted.withColumn("total_pages", F.ceil(F.col("total_rows") / size).cast("long"))
 
 
+def write_ranked(
+    df: DataFrame, order: Sequence[Column | str], path: str, partitions: int | None = None
+) -> None:
+    """Write `df` to `path` as a listing whose pages can be read alone.
+
+    Rows are dealt by ranges of `order`, a total order, and each range is a folder of rows sorted by their
+    place. No task holds more than a range. Pages of one written listing fit together, whatever is
+    added to the table meanwhile.
+    """
+    dealt = (
+        df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    )
+    # A number of the range in the upper bits, of the row in it in the lower 33.
+    placed = dealt.sortWithinPartitions(*order).withColumn(PLACE, F.monotonically_increasing_id())
+    ranged = placed.withColumn(RANGE, F.shiftright(PLACE, 33))
+    ranged.sortWithinPartitions(RANGE, PLACE).write.partitionBy(RANGE).parquet(path)
+    _range_counts(ranged.sparkSession, path).coalesce(1).write.parquet(f"{path}-counts")
+    ranged.limit(0).drop(RANGE).write.parquet(f"{path}-schema")
+
+
+def _range_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of each range, from the folder names and file footers alone."""
+    stored = spark.read.schema(f"{RANGE} long").parquet(path)
+    return stored.groupBy(RANGE).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def ranked_page(spark: SparkSession, path: str, page: int = 1, size: int = 10) -> DataFrame:
+    """One page of a listing of `write_ranked`, with the row count and the page count.
+
+    The counts of the ranges, one row for each, tell where the page begins and ends. Only those folders are
+    read, and in them only stretches of places the page can hold.
+    """
+    counts = spark.read.parquet(f"{path}-counts").orderBy(RANGE).collect()
+    total = sum(r._rows for r in counts)
+    first, last = (page - 1) * size, min(page * size, total) - 1
+
+    def place_of(rank: int) -> tuple[int, int]:
+        for r in counts:
+            if rank < r._rows:
+                return r[RANGE], (r[RANGE] << 33) + rank
+            rank -= r._rows
+        return -1, -1
+
+    schema = spark.read.parquet(f"{path}-schema").schema
+    stored = spark.read.schema(schema.add(RANGE, "long")).parquet(path)
+    if first < 0 or first > last:
+        found = stored.where(F.lit(False))
+    else:
+        (low, begin), (high, end) = place_of(first), place_of(last)
+        found = stored.where(F.col(RANGE).between(low, high) & F.col(PLACE).between(begin, end))
+    return found.orderBy(PLACE).drop(PLACE, RANGE).withColumns(
+        {
+            "total_rows": F.lit(total).cast("long"),
+            "total_pages": F.lit(-(-total // size)).cast("long"),
+        }
+    )
+
+
+def ranked_rows(spark: SparkSession, path: str, size: int = 10) -> DataFrame:
+    """All rows of a listing of `write_ranked` with `rank` (from 1), `page` and `page_row` (from 1)."""
+    schema = spark.read.parquet(f"{path}-schema").schema
+    stored = spark.read.schema(schema.add(RANGE, "long")).parquet(path)
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spark.read.parquet(f"{path}-counts").select(
+        RANGE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    )
+    place = F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1))
+    # One row for each range, so the side is small at every size.
+    ranked = stored.join(F.broadcast(offsets), RANGE).withColumn("rank", F.col("_offset") + place + 1)
+    return ranked.withColumns(
+        {
+            "page": F.floor((F.col("rank") - 1) / size) + 1,
+            "page_row": F.pmod(F.col("rank") - 1, F.lit(size)) + 1,
+        }
+    ).drop(PLACE, RANGE, "_offset")
 
 
 def check_lengths(df: DataFrame, table: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.clock import from_epoch, time_text
+from parley.functions.clock import from_epoch, local_time, time_text
 from parley.functions.ordered import id_block, is_small, no_part, split_large_groups
 from parley.functions.values import raw_json
 from parley.operators.calendar import describe_cron
@@ -111,10 +111,16 @@ def account_friend_counts(accounts: DataFrame, friends: DataFrame) -> DataFrame:
     ).select(*kept, F.coalesce("_friends", F.lit(0)).alias("friend_count"))
 
 
-def admin_listing(admins: DataFrame, offset_hours: int = 8) -> DataFrame:
-    """Admins not deleted, without password, with the login time as text."""
+def admin_listing(
+    admins: DataFrame, offset_hours: int = 8, zone: str | Column | None = None
+) -> DataFrame:
+    """Admins not deleted, without password, with the login time as text.
+
+    The time is that of a named `zone`, or at a fixed offset from UTC.
+    """
     login = F.col("last_login_time")
-    shown = F.when(login != 0, time_text(from_epoch(login, offset_hours)))
+    time = from_epoch(login, offset_hours) if zone is None else local_time(login, zone)
+    shown = F.when(login != 0, time_text(time))
     return (
         admins.where(F.col("is_delete") == 0)
         .withColumn("last_login_time", F.coalesce(shown, F.lit(NEVER_LOGGED_IN)))

@@ -365,6 +365,11 @@ SELECT {LISTED}, count(*) OVER () AS total_rows,
        CAST(ceil(count(*) OVER () / 15.0) AS BIGINT) AS total_pages
 FROM friends f LEFT JOIN accounts a ON a.id = f.account_id WHERE f.is_active = 0
 ORDER BY f.is_active DESC, f.account_id DESC, f.nickname DESC, f.id LIMIT 15 OFFSET 15""")
+oracle("friend_ranks", "friends", """
+SELECT id, n AS rank, (n - 1) // 15 + 1 AS page, (n - 1) % 15 + 1 AS page_row
+FROM (SELECT id, row_number() OVER (ORDER BY is_active DESC NULLS LAST, account_id DESC NULLS LAST,
+             nickname DESC NULLS LAST, id) AS n FROM friends)""")
+ORACLE["friend_page_by_rank"] = ORACLE["friend_page"]
 oracle("friends_with_tasks", "friends tasks", """
 SELECT f.id, f.nickname, '' AS part, count(t.id) AS task_count,
        coalesce(string_agg(t.id || '|' || t.task_name || '|' || t.cron_words, ';' ORDER BY t.id), '') AS task_lines
@@ -592,6 +597,27 @@ fires AS (
 oracle("cron_fires", "tasks", """
 SELECT t.id, f.fire AS fire_time FROM tasks t JOIN fires f ON f.cron_no = t.cron_no
 """, _fires("TIMESTAMP '2024-03-01'", "TIMESTAMP '2024-03-07 23:59:00'"))
+
+
+def _zoned(forward: bool) -> str:
+    """Hours from UTC of the clocks, and the hour of them that is left out, written in."""
+    changed = "TIMESTAMP '2024-03-10 01:00:00'" if forward else "TIMESTAMP '2024-11-03 01:00:00'"
+    before, after = (-5, -4) if forward else (-4, -5)
+    hours = f"""CASE t.id % 3 WHEN 1 THEN 8 WHEN 2 THEN 0
+                ELSE CASE WHEN f.fire < {changed} THEN {before} ELSE {after} END END"""
+    missing = "AND NOT (t.id % 3 = 0 AND f.fire >= TIMESTAMP '2024-03-10 00:00:00' AND f.fire < " + (
+        "TIMESTAMP '2024-03-10 01:00:00')"
+    )
+    return f"""
+SELECT t.id, CASE t.id % 3 WHEN 0 THEN 'America/Havana' WHEN 1 THEN 'Asia/Shanghai' ELSE 'UTC' END AS zone,
+       f.fire AS fire_time, CAST(epoch(f.fire) AS BIGINT) - 3600 * CAST({hours} AS BIGINT) AS fire_epoch
+FROM tasks t JOIN fires f ON f.cron_no = t.cron_no {missing if forward else ""}"""
+
+
+oracle("zoned_fires_forward", "tasks", _zoned(True),
+       _fires("TIMESTAMP '2024-03-09'", "TIMESTAMP '2024-03-11 23:59:00'"))
+oracle("zoned_fires_back", "tasks", _zoned(False),
+       _fires("TIMESTAMP '2024-11-02'", "TIMESTAMP '2024-11-04 23:59:00'"))
 NEXT = _fires(ORDERS_NOW, f"{ORDERS_NOW} + INTERVAL 366 DAY") + f""",
 firsts AS (SELECT cron_no, min(fire) AS next_fire FROM fires WHERE fire > {ORDERS_NOW} GROUP BY 1)"""
 oracle("next_fire", "tasks", """

@@ -110,6 +110,24 @@ def friend_page(s):
     return page.select(*LISTED, "total_rows", "total_pages")
 
 
+@query
+def friend_ranks(s):
+    """Every contact with its place and page in the listing, from a listing written by ranges."""
+    path = shared_dir(s.spark, "ranked")
+    filters.write_ranked(s.friends(), listings.friend_order(), path)
+    return filters.ranked_rows(s.spark, path, 15).select("id", "rank", "page", "page_row")
+
+
+@query
+def friend_page_by_rank(s):
+    """The page of `friend_page`, read by rank."""
+    wanted = filters.apply_filters(s.friends(), {"is_active": "0"})
+    page = filters.paginate(wanted, listings.friend_order(), 2, 15, shallow_rows=0)
+    named = listings.flags_as_text(listings.with_owner(page, s.accounts()))
+    # The join to owners keeps the columns of contacts; the counts are of the page.
+    return named.select(*LISTED, "total_rows", "total_pages")
+
+
 @query
 def friends_with_tasks(s):
     nested = listings.friends_with_tasks(s.friends(), s.tasks())
@@ -547,6 +565,28 @@ def cron_fires(s):
     return calendar.cron_fires(s.tasks(), FIRES_START, FIRES_END).select("id", "fire_time")
 
 
+ZONES = ("America/Havana", "Asia/Shanghai", "UTC")
+
+
+def _zoned_fires(s, start, end):
+    names = F.array(*[F.lit(z) for z in ZONES])
+    tasks = s.tasks().withColumn("zone", F.get(names, (F.col("id") % len(ZONES)).cast("int")))
+    fires = calendar.zoned_fires(tasks, start, end, F.col("zone"))
+    return fires.select("id", "zone", "fire_time", "fire_epoch")
+
+
+@query
+def zoned_fires_forward(s):
+    """Clocks of one of the zones are set forward at midnight of the second day."""
+    return _zoned_fires(s, "2024-03-09 00:00:00", "2024-03-12 00:00:00")
+
+
+@query
+def zoned_fires_back(s):
+    """Clocks of one of the zones are set back at one o'clock of the second day."""
+    return _zoned_fires(s, "2024-11-02 00:00:00", "2024-11-05 00:00:00")
+
+
 @query
 def next_fire(s):
     return calendar.next_fire(s.tasks(), ORDERS_NOW).select("id", "next_fire")
