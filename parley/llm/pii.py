@@ -3,14 +3,16 @@
 Plain forms are matched in the text itself. Disguises are undone by transducers that rewrite a
 text and note for each character it puts out which characters of the source it stands for: letters
 that look like Latin ones or digits, spelled-out digits, and words for the at sign and the dot. The same
-identifiers are then sought in the rewritten text, and their places mapped back to the source. Found
-spans that touch a plain one are left out, so that plain ones always stay.
+identifiers are then sought in the rewritten text, and their places mapped back to the source. Plain spans
+always stay. A found span that touches a plain one is added if it properly holds it, is of its kind and goes
+beyond it without free blanks, as where one lookalike cuts an address in two; others that touch one are left out.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -53,6 +55,10 @@ LOOKALIKES = dict(
         strict=True,
     )
 )
+# Characters that print as nothing, and ones that print as a hyphen or a blank (fixed values).
+UNSEEN = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
+HYPHENS = frozenset("\u2010\u2011\u2012\u2212")
+BLANKS = frozenset("\u00a0\u2007\u202f")
 #: So many digits in a row, all spelled or spelled and literal ones, are a number.
 LEAST_DIGITS = 4
 
@@ -78,8 +84,11 @@ _LEADS = re.compile(rf"(?<![A-Za-z0-9])(?:{_WORDS}){_PARTING}\Z", re.I)
 _LONGEST = max(map(len, DIGITS)) + 3
 _ITEM = re.compile(f"{_WORDS}|[0-9]+", re.I)
 _OPEN, _CLOSE = r"[\[({<]\x20?", r"\x20?[\])}>]"
-_SIGN_AT = rf"(?:\x20?{_OPEN}(?:at|@|arroba|arobase){_CLOSE}\x20?|\x20(?:{'|'.join(AT_WORDS)})\x20|\x20@\x20)"
-_SIGN_DOT = rf"(?:\x20?{_OPEN}(?:\.|{'|'.join(DOT_WORDS)}){_CLOSE}\x20?|\x20(?:{'|'.join(DOT_WORDS)})\x20)"
+_ENTITY_AT, _ENTITY_DOT = r"&(?:#0*64|#x0*40|commat);", r"&(?:#0*46|#x0*2e|period);"
+#: Without blanks around it, an a in brackets is an at sign too.
+_A_SIGN = r"[\[({<]a[\])}>]"
+_SIGN_AT = rf"(?:{_ENTITY_AT}|{_A_SIGN}|\x20?{_OPEN}(?:at|ät|@|arroba|arobase){_CLOSE}\x20?|\x20(?:{'|'.join(AT_WORDS)})\x20|\x20@\x20)"
+_SIGN_DOT = rf"(?:{_ENTITY_DOT}|\x20?{_OPEN}(?:\.|{'|'.join(DOT_WORDS)}){_CLOSE}\x20?|\x20(?:{'|'.join(DOT_WORDS)})\x20)"
 _NAME = r"[A-Za-z0-9_%+-]{1,64}"
 #: A whole address in which the at sign or a dot is disguised. Words that stand free need both.
 _ADDRESS = re.compile(
@@ -93,11 +102,14 @@ _IP_WORDS = re.compile(
     rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_SIGN_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I
 )
 _HINT = re.compile(
-    r"[\[({<]\x20?(?:at|@|dot|\.|punkt|point|punto|arroba|arobase)\x20?[\])}>]"
+    rf"{_ENTITY_AT}|{_ENTITY_DOT}|{_A_SIGN}(?=[A-Za-z0-9])|"
+    r"[\[({<]\x20?(?:at|ät|@|dot|\.|punkt|point|punto|arroba|arobase)\x20?[\])}>]"
     r"|\x20(?:dot|punkt|point|punto|" + "|".join(SURE_AT_WORDS) + r")\x20|\x20@\x20",
     re.I,
 )
 _DOTS = re.compile(_SIGN_DOT, re.I)
+_BRACKETED = re.compile(rf"\x20?{_OPEN}[^\[\](){{}}<>\s]+{_CLOSE}\x20?")
+_PLUS = re.compile(r"(?<![A-Za-z0-9])plus\x20\Z", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -181,13 +193,21 @@ def _folded(char: str) -> str:
         return LOOKALIKES[char]
     if unicodedata.category(char) == "Nd":
         return str(unicodedata.decimal(char))
+    if char in UNSEEN:
+        return ""
+    if char in HYPHENS or char in BLANKS:
+        return "-" if char in HYPHENS else " "
     plain = unicodedata.normalize("NFKC", char)
     return plain if len(plain) == 1 and plain.isascii() and not plain.isspace() else char
 
 
+def _odd(char: str) -> bool:
+    return ord(char) > 0xFF or char in UNSEEN or char in BLANKS
+
+
 def _fold(out: Rewritten) -> None:
-    """Letters and digits that look like ASCII ones."""
-    odd = {c for c in set(out.text) if ord(c) > 0xFF and _folded(c) != c}
+    """Letters, digits, hyphens and blanks that look like ASCII ones; characters that are not seen go."""
+    odd = {c for c in set(out.text) if _odd(c) and _folded(c) != c}
     if odd:
         out.edit([(i, i + 1, _folded(c)) for i, c in enumerate(out.text) if c in odd])
 
@@ -211,6 +231,9 @@ def _spell(out: Rewritten) -> None:
     edits = []
     for m in _SPELLED.finditer(out.text):
         inner = list(_ONE.finditer(out.text, m.start(), m.end()))
+        plus = _PLUS.search(out.text, max(0, m.start() - 6), m.start())
+        if plus and len(inner) >= 8:
+            edits.append((plus.start(), m.start(), "+"))
         for i, one in enumerate(inner):
             # What parts two digits goes with the first.
             end = inner[i + 1].start() if i + 1 < len(inner) else one.end()
@@ -247,6 +270,9 @@ def _undisguise(out: Rewritten) -> None:
         # "me at home dot com" is an address, "met at noon" and "look at example.com" are not.
         if at == "@" and not worded and not _DOTS.search(m["local"]) or free and not worded:
             continue
+        # In code, an a in brackets is an argument: the address has to end as addresses do.
+        if re.fullmatch(_A_SIGN, at, re.I) and not re.search(r"[A-Za-z]{2,}\Z", domain):
+            continue
         dots = [
             (m.start(part) + d.start(), m.start(part) + d.end(), ".")
             for part in ("local", "domain") for d in _DOTS.finditer(m[part])
@@ -264,31 +290,73 @@ def disguised_spans(
     text: str, plain: list[tuple[str, int, int]]
 ) -> list[tuple[str, int, int]]:
     """Spans of the source that hold an identifier only once rewritten."""
-    hints = not text.isascii() and any(ord(c) > 0xFF for c in set(text))
+    hints = not text.isascii() and any(_odd(c) for c in set(text))
     meets = _meets(text)
     if not hints and not meets and not _HINT.search(text) and not _SPELLED.search(text):
         return []
-    taken = sorted((s, e) for _, s, e in plain)
     found: list[tuple[str, int, int]] = []
     if hints or meets:
         # Apart from the other rewriting, which a number before an address or a place of it would change.
         mixed = Rewritten(text)
         _fold(mixed)
         _spell_mixed(mixed)
-        found += [s for s in _mapped(mixed, taken) if s[0] in ("card", "phone")]
+        found += [s for s in _mapped(mixed, text, plain, []) if s[0] in ("card", "phone")]
     out = Rewritten(text)
     _fold(out)
     _spell(out)
     _undisguise(out)
-    return found + _mapped(out, [*taken, *((s, e) for _, s, e in found)])
+    return found + _mapped(out, text, plain, found)
 
 
-def _mapped(out: Rewritten, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Identifiers of a rewritten text by their places in the source, without those that touch taken ones."""
+def _mapped(
+    out: Rewritten,
+    text: str,
+    plain: list[tuple[str, int, int]],
+    found: list[tuple[str, int, int]],
+) -> list[tuple[str, int, int]]:
+    """Identifiers of a rewritten text by their places in the source, without those that touch found ones, or
+    touch plain ones and do not extend them."""
     if out.begins is None:
         return []
     spans = [(kind, *out.source(start, end)) for kind, start, end in plain_spans(out.text)]
-    return [x for x in spans if not any(s < x[2] and x[1] < e for s, e in taken)]
+    plain_by, found_by = _by_kind(plain), _by_kind(found)
+    return [
+        x
+        for x in spans
+        if not _touched(x, found_by) and all(_extends(text, x, p) for p in _touched(x, plain_by))
+    ]
+
+
+Span = tuple[str, int, int]
+
+
+def _by_kind(spans: list[Span]) -> list[tuple[list[Span], list[int]]]:
+    """Spans of each kind, which do not overlap, in order of place, and their ends."""
+    sides = [sorted(s for s in spans if s[0] == kind) for kind in KINDS]
+    return [(side, [s[2] for s in side]) for side in sides if side]
+
+
+def _touched(span: Span, sides: list[tuple[list[Span], list[int]]]) -> list[Span]:
+    touched = []
+    for side, ends in sides:
+        i = bisect_right(ends, span[1])
+        while i < len(side) and side[i][1] < span[2]:
+            touched.append(side[i])
+            i += 1
+    return touched
+
+
+def _extends(text: str, span: tuple[str, int, int], plain: tuple[str, int, int]) -> bool:
+    """Whether a span properly holds a plain one of its kind and adds no free blank or part of a word."""
+    (kind, start, end), (plain_kind, low, high) = span, plain
+    if kind != plain_kind or start > low or end < high or end - start == high - low:
+        return False
+    if start < low and text[start - 1 : start].isalnum() and start > 0:
+        return False
+    if end > high and text[end : end + 1].isalnum():
+        return False
+    added = (text[start:low], text[high:end])
+    return not any(c.isspace() for part in added for c in _BRACKETED.sub("", part))
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -323,7 +391,7 @@ def find_personal_data(
     """Emails, IP addresses, payment cards and phone numbers of each whole text.
 
     One row per row of `docs`: `doc_id`, `base` (the plain forms) and `found` (these and the disguised ones that
-    touch none of them), arrays of `kind`, `start`, `end` in order of kind, then start. Places are code points,
+    touch none of them or hold one of their kind and more), arrays of `kind`, `start`, `end` in order of kind, then start. Places are code points,
     ends exclusive. A null text counts as empty and has none; null and repeated ids are kept as they are; other
     columns are ignored; an empty table gives no rows.
     """
