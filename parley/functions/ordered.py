@@ -9,6 +9,7 @@ one value per part is carried from part to part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
@@ -46,6 +47,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def kept(rows: DataFrame, purpose: str) -> DataFrame:
+    """`rows`, worked out once: written to the shared folder and read again.
+
+    Rows with columns that Parquet has no type for are left as they are.
+    """
+    if re.search(r"[:<](void|interval|variant)\b", rows.schema.simpleString()):
+        return rows
+    spark = rows.sparkSession
+    path = shared_dir(spark, purpose)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def left_join_unique(
     rows: DataFrame,
     side: DataFrame,
@@ -58,13 +72,16 @@ def left_join_unique(
     Adaptive execution does not split skewed partitions of a join to an
     aggregate. So a small `side` is broadcast, and for a large one the rows of
     keys with more than `heavy_rows` rows, and of null keys, are joined to the
-    few side rows of just those keys, by broadcast. A stream is joined plainly.
+    few side rows of just those keys, by broadcast. The rows are counted and then
+    joined, so with a large `side` they are kept in the shared folder, and what they
+    come from, such as parsed text, is worked out once. A stream is joined plainly.
     """
     columns = [*rows.columns, *[c for c in side.columns if c not in keys]]
     if rows.isStreaming:
         return rows.join(side, list(keys), "left").select(*columns)
     if is_small(side, broadcast_rows):
         return rows.join(F.broadcast(side), list(keys), "left").select(*columns)
+    rows = kept(rows, "joined-rows")
     heavy = (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
