@@ -18,7 +18,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,14 +36,16 @@ END_ID = 2
 BATCH_WINDOWS = 128
 #: Words whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 200_000
+#: Characters of the texts whose words are looked up together.
+TOGETHER = 1 << 17
 VOCABULARY = "word_bpe_49k.json"
 
 #: Marks the end of a word among the ranks.
 END = b"\x01"
-#: Stretches without an apostrophe, control character or special token, of ASCII and Latin-1 letters.
-PLAIN = re.compile(r"(?!.*<\|)[!-&(-~À-ÖØ-öø-ÿ]+")
+#: Among lines, those without an apostrophe, control character or special token, of ASCII and Latin-1 letters.
+PLAIN = re.compile(r"^(?!.*<\|)[!-&(-~À-ÖØ-öø-ÿ]+$", re.MULTILINE)
 #: What the vocabulary takes as a word in them: letters, one digit, or signs.
-PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+")
 
 _PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _known: dict[str, tuple] = {}
@@ -107,14 +109,16 @@ class WordIds:
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen = {"": b""}
             new = [w for w in words if w]
-        plain = [w for w in new if PLAIN.fullmatch(w)]
+        plain = PLAIN.findall("\n".join(new))
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
-            marked = [PARTS.sub(r"\g<0>" + END.decode(), w.lower()) for w in part]
-            ranks = np.asarray(self.plain.encode_ordinary("".join(marked)))
+            marked = PARTS.sub(r"\g<0>" + END.decode(), "\n".join(part).lower())
+            ranks = np.asarray(self.plain.encode_ordinary(marked.replace("\n", "")))
             ids = self.id_of[ranks].tobytes()
             at = np.flatnonzero(self.ends[ranks])
-            until = at[np.cumsum([m.count(END.decode()) for m in marked]) - 1] + 1
+            # The parts there are up to the end of each word, then the ids.
+            signs = np.frombuffer(marked.encode("latin-1") + b"\n", np.uint8)
+            until = at[np.cumsum(signs == END[0])[signs == 10] - 1] + 1
             begin = 0
             for word, end in zip(part, (4 * until).tolist(), strict=True):
                 self.seen[word] = ids[begin:end]
@@ -127,10 +131,15 @@ class WordIds:
             ):
                 self.seen[word] = np.asarray(found.ids, "<u4").tobytes()
 
+    def ids_of(self, texts: list[str]) -> Iterator[bytes]:
+        """Of each text; words new in any of them are learnt together."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        self.learn(set().union(*split))
+        for words in split:
+            yield b"".join(map(self.seen.__getitem__, words))
+
     def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        self.learn(set(words))
-        return b"".join(map(self.seen.__getitem__, words))
+        return next(self.ids_of([text]))
 
 
 def _pair(merge: str | list[str]) -> list[str]:
@@ -143,6 +152,19 @@ def _word_ids(path: str) -> WordIds:
     return _known[path][0]
 
 
+def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in order, as many at a time as TOGETHER allows, at least one."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
 def _pieces(path: str, window: int, cut: int, end_id: int):
     schema = pa.schema([(n, pa.int64()) for n in
                         ("row", "doc_id", "start", "length", "ids_crc32", "doc_tokens")])
@@ -153,8 +175,10 @@ def _pieces(path: str, window: int, cut: int, end_id: int):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.ids(text.as_py() or "") + end
+            texts = (text.as_py() or "" for text in batch.column(1))
+            all_ids = (ids for group in _groups(texts) for ids in words.ids_of(group))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), all_ids, strict=True):
+                ids += end
                 total, at = len(ids) // 4, 0
                 while at < total:
                     n = window if total - at >= window else min(cut, total - at)
@@ -171,25 +195,46 @@ def _pieces(path: str, window: int, cut: int, end_id: int):
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
     """Indexes of `lengths` in so many parts with nearly equal sums."""
+    parts: list[list[int]] = [[] for _ in range(windows)]
     if not lengths:
-        return [[] for _ in range(windows)]
-    heap = []
-    for i, n in enumerate(lengths):
-        sums = np.zeros(windows, np.int64)
-        sums[0] = n
-        heap.append((-n, i, sums, [[i], *[[] for _ in range(windows - 1)]]))
+        return parts
+    slot = np.min_scalar_type(windows)
+    heap = [(-n, i) for i, n in enumerate(lengths)]
     heapq.heapify(heap)
-    made = len(lengths)
+    # Sums less than zero, so that they sort from the fullest; of each merge, the two parts and where
+    # the sums went. Members are found from these at the end, not moved at each merge.
+    sums: dict[int, np.ndarray] = {}
+    merges: list[tuple[int, int, np.ndarray]] = []
+
+    def sums_of(node: int) -> np.ndarray:
+        if node >= len(lengths):
+            return sums.pop(node)
+        single = np.zeros(windows, np.int64)
+        single[0] = -lengths[node]
+        return single
+
     while len(heap) > 1:
-        _, _, a, of_a = heapq.heappop(heap)
-        _, _, b, of_b = heapq.heappop(heap)
-        sums = a + b[::-1]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        members = [of_a[j] + of_b[windows - 1 - j] for j in order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), made, sums, members))
-        made += 1
-    return heap[0][3]
+        _, a = heapq.heappop(heap)
+        _, b = heap[0]
+        total = sums_of(a) + sums_of(b)[::-1]
+        order = total.argsort(kind="stable")
+        total = total[order]
+        made = len(lengths) + len(merges)
+        sums[made] = total
+        merges.append((a, b, order.astype(slot)))
+        heapq.heapreplace(heap, (int(total[0] - total[-1]), made))
+    # From the last merge back: the part that each sum of a node has become.
+    todo = [(heap[0][1], np.arange(windows))]
+    while todo:
+        node, place = todo.pop()
+        if node < len(lengths):
+            parts[place[0]].append(node)
+            continue
+        a, b, order = merges[node - len(lengths)]
+        before = np.empty_like(place)
+        before[order] = place
+        todo += [(b, before[::-1]), (a, before)]
+    return parts
 
 
 def fill(lengths: list[int], window: int) -> list[list[int]]:
