@@ -4,8 +4,8 @@ Rows lie below `writer=<w>/batch=<n>/date=<day>/bucket=<b>`: the writer is the s
 runs again replaces just what it wrote before, rows without an id included. `bucket` is a hash of
 `msg_id`. Beside the rows, in folders that a plain read of the table leaves out, lie:
 
-* `_filters`: for each of these partitions a Bloom filter of its ids, as bitmaps. A new batch asks them which
-  partitions may hold an id of its own, and reads only those;
+* `_ids`: the 64-bit hash of each id with its partition. A new batch asks them which partitions may hold
+  an id of its own, and reads only those. They take what the ids take, however many partitions a batch has;
 * `_versions`: which version of each table a batch was worked on with, so that it is the same again.
 """
 
@@ -15,13 +15,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.functions.ordered import broadcast_if_small
 from parley.operators.filters import since
 
 BUCKETS = 64
-#: Bits of a piece of a filter (what one bitmap of Spark's holds), pieces, and bits set for an id.
-PIECE_BITS = 32768
-FILTER_PIECES = 8
-FILTER_HASHES = 2
 LAYOUT = ["writer", "batch", "date", "bucket"]
 _LAYOUT_TYPES = "writer string, batch long, date date, bucket int"
 
@@ -31,9 +28,9 @@ def _batch_dir(root: str, kind: str, writer: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/{middle}writer={writer}/batch={batch_id}"
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame | None:
+def _read(spark: SparkSession, root: str, schema, folders: list[str] | None = None) -> DataFrame | None:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("basePath", root).parquet(*folders or [root])
     except AnalysisException as error:
         # The first batch finds no table.
         if error.getCondition() != "PATH_NOT_FOUND":
@@ -56,26 +53,18 @@ def laid_out(rows: DataFrame) -> DataFrame:
     return rows.withColumn("date", day).withColumn("bucket", bucket)
 
 
-def _places(ids: DataFrame) -> DataFrame:
-    """One row for each bit of each id: the piece of the filter and the place in it."""
-    hashes = F.array(*[F.xxhash64("msg_id", F.lit(n)) for n in range(FILTER_HASHES)])
-    spread = ids.withColumn("_hash", F.explode(hashes))
-    place = F.pmod(F.col("_hash"), F.lit(PIECE_BITS * FILTER_PIECES))
-    return (
-        spread.withColumn("piece", F.floor(place / PIECE_BITS).cast("int"))
-        .withColumn("place", (place % PIECE_BITS).cast("int"))
-        .drop("_hash")
-    )
+def _hashed(ids: DataFrame) -> DataFrame:
+    return ids.where(F.col("msg_id").isNotNull()).withColumn("hash", F.xxhash64("msg_id"))
 
 
 def write_batch(rows: DataFrame, root: str, writer: str, batch_id: int) -> None:
-    """Write the rows of a batch and the filters of their ids, in place of what it wrote before."""
+    """Write the rows of a batch and the hashes of their ids, in place of what it wrote before."""
     placed = laid_out(rows)
-    ids = placed.where(F.col("msg_id").isNotNull()).select("date", "bucket", "msg_id").distinct()
-    filters = _places(ids).groupBy("date", "bucket", "piece").agg(
-        F.bitmap_construct_agg("place").alias("bits")
-    )
-    filters.coalesce(1).write.mode("overwrite").parquet(_batch_dir(root, "_filters", writer, batch_id))
+    hashes = _hashed(placed).select("date", "bucket", "hash")
+    # Dealt by bucket, so that partitions are runs of equal values in a file.
+    hashes.hint("rebalance", "bucket").sortWithinPartitions("bucket", "date").write.mode(
+        "overwrite"
+    ).parquet(_batch_dir(root, "_ids", writer, batch_id))
     (
         placed.hint("rebalance", "date", "bucket")
         .write.mode("overwrite")
@@ -87,38 +76,32 @@ def write_batch(rows: DataFrame, root: str, writer: str, batch_id: int) -> None:
 def partitions_holding(
     ids: DataFrame, root: str, writer: str, batch_id: int
 ) -> list[str]:
-    """The partitions, as `writer/batch/date/bucket`, whose filters let one of the `msg_id` pass.
+    """The partitions, as `writer/batch/date/bucket`, with an id of the same hash as one of the `msg_id`.
 
-    None of what this batch itself has written is among them. Names of partitions come to the
-    driver, as they do when the table is listed.
+    None of what this batch itself has written is among them. Each stored hash is met with those asked
+    for once, whatever the number of partitions. Names of partitions come to the driver, as they do when
+    the table is listed.
     """
-    spark = ids.sparkSession
-    schema = f"date date, bucket int, piece int, bits binary, {_LAYOUT_TYPES.split(', date')[0]}"
-    filters = _read(spark, f"{root.rstrip('/')}/_filters", schema)
-    if filters is None:
+    schema = f"date date, bucket int, hash long, {_LAYOUT_TYPES.split(', date')[0]}"
+    hashes = _read(ids.sparkSession, f"{root.rstrip('/')}/_ids", schema)
+    if hashes is None:
         return []
-    others = filters.where(~((F.col("writer") == writer) & (F.col("batch") == batch_id)))
-    asked = _places(ids.select("msg_id", bucket_of(F.col("msg_id")).alias("bucket")))
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("place") / 8).cast("int") + 1, 1)), 16, 10)
-    is_set = F.getbit(byte.cast("int"), F.col("place") % 8) == 1
-    passing = (
-        asked.join(others, ["bucket", "piece"])
-        .where(is_set)
-        .groupBy("msg_id", *LAYOUT)
-        .agg(F.count(F.lit(1)).alias("_bits"))
-        .where(F.col("_bits") == FILTER_HASHES)
-    )
-    return [r.name for r in passing.select(_partition_name().alias("name")).distinct().collect()]
+    others = hashes.where(~((F.col("writer") == writer) & (F.col("batch") == batch_id)))
+    asked = broadcast_if_small(_hashed(ids).select("hash").distinct())
+    passing = others.join(asked, "hash", "left_semi").select(*LAYOUT).distinct()
+    return [r.name for r in passing.select(_partition_name().alias("name")).collect()]
 
 
 def _partition_name() -> Column:
     return F.concat_ws("/", *[F.col(c).cast("string") for c in LAYOUT])
 
 
-def read_store(spark: SparkSession, root: str, schema) -> DataFrame | None:
-    """All rows of the store, with the columns of its layout; None before the first batch."""
+def read_store(
+    spark: SparkSession, root: str, schema, folders: list[str] | None = None
+) -> DataFrame | None:
+    """All rows of the store, or of some `folders` of it, with the columns of its layout; None if there are none."""
     types = schema if isinstance(schema, str) else schema.toDDL()
-    return _read(spark, root, f"{types}, {_LAYOUT_TYPES}")
+    return _read(spark, root, f"{types}, {_LAYOUT_TYPES}", folders)
 
 
 def stored_copies(
@@ -126,13 +109,19 @@ def stored_copies(
     look_back_hours: int | None = None,
 ) -> DataFrame | None:
     """The stored rows among which copies of `rows` can be; None if there are no such rows."""
-    stored = read_store(rows.sparkSession, root, rows.schema)
-    if stored is None:
-        return None
     ids = rows.where(F.col("msg_id").isNotNull()).select("msg_id").distinct()
     names = partitions_holding(ids, root, writer, batch_id)
     if not names:
         return None
+    # Only folders of batches with such partitions are listed.
+    batches = sorted({tuple(name.split("/")[:2]) for name in names})
+    folders = [_batch_dir(root, "", *batch) for batch in batches]
+    stored = read_store(rows.sparkSession, root, rows.schema, folders)
+    if stored is None:
+        # Another stream has written the hashes of a batch, but not yet its rows.
+        stored = read_store(rows.sparkSession, root, rows.schema)
+    if stored is None:
+        return None
     # A condition on the columns of the layout alone: other partitions are not read.
     stored = stored.where(_partition_name().isin(names))
     if look_back_hours is not None:

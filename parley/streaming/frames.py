@@ -182,7 +182,7 @@ def store_batch(
     """Write one micro-batch of routed messages to the message store.
 
     Of copies in the batch the first to arrive counts; ids already stored are left out, and only partitions
-    whose filters know one of the ids are read for that. A batch (`writer`, `batch_id`) that runs again
+    that hold the hash of one of the ids are read for that. A batch (`writer`, `batch_id`) that runs again
     replaces its rows, so it adds nothing, with ids or without.
     With `look_back_hours`, only rows stored since then are compared: for long
     tables of which copies cannot come later than that.
@@ -190,8 +190,12 @@ def store_batch(
     rows = to_message_rows(dedup_messages(batch, ["arrival"]), as_of).persist()
     try:
         stored = stored_copies(rows, messages_path, writer, batch_id, as_of, look_back_hours)
-        fresh = rows if stored is None else new_messages(rows, stored)
-        write_batch(fresh, messages_path, writer, batch_id)
+        # Written twice, as hashes and as rows.
+        fresh = rows if stored is None else new_messages(rows, stored).persist()
+        try:
+            write_batch(fresh, messages_path, writer, batch_id)
+        finally:
+            fresh.unpersist()
     finally:
         rows.unpersist()
 
